@@ -87,3 +87,15 @@ def words(text: Column, space: str = SPACE_CLASS, chars: str = SPACE_CHARS) -> C
 def doc_key(*cols: str) -> list[Column]:
     """A row's identity where ids may repeat or be null: the id and a hash of the text."""
     return [F.col(cols[0]).alias("_id"), F.md5(F.coalesce(F.col(cols[1]), F.lit("")).cast("binary")).alias("_h")]
+
+
+#: Rows of a stored side that may be broadcast, a few tens of bytes each.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``side``, a stored DataFrame, hinted for broadcast if it has at most ``most`` rows.
+
+    Beyond that Spark plans a shuffled join, with the same rows.
+    """
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side

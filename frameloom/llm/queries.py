@@ -7,16 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import bpe, simhash, warc
+from frameloom.llm import bpe, decontaminate, linededup, pii, quality, simhash, warc
 from frameloom.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines of recurring templates."""
+    return linededup.deduped(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived and read back, in global capture order."""
     merged = warc.captured(table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return merged.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "intact")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: base counts and digest, and all spans."""
+    found = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(pii.listed(F.filter("spans", lambda x: x["base"])), 256)
+    score = F.round(F.aggregate("spans", F.lit(0.0), lambda acc, x: acc + x["score"]), 2)
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), base.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), score.alias("total_score"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's byte-level BPE ids, and what they decode to, as digests."""
     import public_tokenizers
@@ -31,10 +45,28 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(marked, bits=2).select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base measures and verdict."""
+    judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside benchmark windows, and the items found."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    rows = decontaminate.marked(docs, items)
+    n_hit = decontaminate.covered(F.col("hits"))
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
+    "op3_pii": op3_pii,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {}
