@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import bpe, decontaminate, linededup, pii, quality, simhash, warc
+from frameloom.llm import bpe, ctw, decontaminate, linededup, pii, quality, simhash, warc
 from frameloom.llm.common import table
 
 
@@ -31,6 +31,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), base.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), score.alias("total_score"))
 
 
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's code length under the training part's context tree, and the base model's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7, F.lit(0))
+    out = ctw.scored(docs, "doc_id", "text", remainder != 2, direct=True)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "code_bits")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's byte-level BPE ids, and what they decode to, as digests."""
     import public_tokenizers
@@ -63,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
     "op3_pii": op3_pii,
+    "op4_ctw": op4_ctw,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
