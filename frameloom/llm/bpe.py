@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-Every merge rank owns a bucket of linked-list positions. A bitmap of 64-bit words,
-stacked until one word covers all ranks, marks the buckets that hold entries;
-find-first-set from the top word down gives the lowest rank in as many steps as
-there are levels, however many entries are queued. Entries are never removed when
+Every merge rank owns a bucket of linked-list positions. A bitmap of two levels marks
+the buckets that hold entries: words of about the square root of the number of ranks
+in bits, and above them one word that marks those that are not zero. Find-first-set on
+the top word, then on the word it names, gives the lowest rank in two steps,
+however many entries are queued. Entries are never removed when
 a neighbour merges: a popped entry whose position has died or whose pair has since
 changed rank is stale and skipped. A pre-token of n bytes so takes O(n) queue
 operations, which is what very long pre-tokens need.
@@ -35,57 +36,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Lowest-rank-first queue of positions over a fixed number of ranks."""
-
-    def __init__(self, ranks: int) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        n = ranks
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for words in self.levels:
-            word = at >> 6
-            before = words[word]
-            words[word] = before | (1 << (at & 63))
-            if before:
-                return
-            at = word
-
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, leftmost position) of the lowest rank, None if nothing is queued."""
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            if not word:
-                return None
-            at = (at << 6) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[at]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rank = at
-            for words in self.levels:
-                word = rank >> 6
-                words[word] &= ~(1 << (rank & 63))
-                if words[word]:
-                    break
-                rank = word
-            return at, position
-        return at, position
-
-
 class BytePairCoder:
     """Encoder and decoder over a table of ranks and a pre-token pattern."""
 
@@ -97,7 +47,12 @@ class BytePairCoder:
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.shift = (max(ranks.values(), default=0).bit_length() + 1) // 2
+        self.low = [0] * (1 << self.shift)
+        self.pairs = [-1] * 65536  # ranks of two bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
         self.memo = _Memo(self)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -106,33 +61,58 @@ class BytePairCoder:
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, longest, queue = len(piece), self.longest, self.queue
+        n, longest, low, shift, get = len(piece), self.longest, self.low, self.shift, ranks.get
+        mask, top = (1 << shift) - 1, 0
+        buckets: dict[int, list[int]] = {}
         after = list(range(1, n + 1))  # where the token at a position ends, which is where the next begins
         before = list(range(-1, n - 1))
-        pair = [-1] * n  # the rank under which a position is queued now
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
+        pair = [self.pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # the rank a position is queued under
+        pair.append(-1)
+        for i, rank in enumerate(pair):
+            if rank >= 0:
+                if (bucket := buckets.get(rank)) is not None:
+                    bucket.append(i)
+                else:
+                    buckets[rank] = [i]
+                    top |= 1 << (word := rank >> shift)
+                    low[word] |= 1 << (rank & mask)
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = word << shift | ((bits & -bits).bit_length() - 1)
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)  # the leftmost first
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[word] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
             if pair[i] != rank:
-                continue
+                continue  # stale
             gone = after[i]
-            end = after[gone]
-            after[i], pair[gone], pair[i] = end, -1, -1
+            after[i] = end = after[gone]
+            pair[gone] = pair[i] = -1
+            left = before[i]
+            found = []
             if end < n:
                 before[end] = i
-                if after[end] - i <= longest and (rank := ranks.get(piece[i : after[end]])) is not None:
+                if (stop := after[end]) - i <= longest and (rank := get(piece[i:stop])) is not None:
                     pair[i] = rank
-                    queue.push(rank, i)
-            left = before[i]
+                    found.append((rank, i))
             if left >= 0:
                 pair[left] = -1
-                if end - left <= longest and (rank := ranks.get(piece[left:end])) is not None:
+                if end - left <= longest and (rank := get(piece[left:end])) is not None:
                     pair[left] = rank
-                    queue.push(rank, left)
+                    found.append((rank, left))
+            for rank, at in found:
+                if (bucket := buckets.get(rank)) is not None:
+                    heappush(bucket, at)
+                else:
+                    buckets[rank] = [at]
+                    top |= 1 << (word := rank >> shift)
+                    low[word] |= 1 << (rank & mask)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
