@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import bpe, ctw, decontaminate, linededup, pii, quality, simhash, warc
+from frameloom.llm import bpe, ctw, decontaminate, linededup, pii, quality, simhash, toxicity, urls, warc
 from frameloom.llm.common import table
 
 
@@ -59,6 +59,30 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The fixed host and path rules of the URL filter.
+URL_RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules, else by trees fitted to what the rules judge."""
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), "url", ["page_id"], URL_RULES)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity under a model learned from four fifths of the labels."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5, F.lit(0)) == 0
+    model = toxicity.fitted(docs, labels, "doc_id", "text", "toxic", ~held)
+    out = toxicity.scored(docs, "text", ["doc_id"], model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows, and the items found."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -75,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op8_urls": op8_urls,
+    "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
 
