@@ -37,8 +37,8 @@ from frameloom.llm.common import arrow_bounds, stored
 
 DEPTH = 4
 BLOCK_BYTES = 16 << 20
-#: Entries of a counting table before it is flushed.
-TABLE_ENTRIES = 400_000
+#: Entries of a task's counting tables before they are flushed.
+TABLE_ENTRIES = 2_000_000
 CHUNK_BYTES = 2 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -115,11 +115,11 @@ def block_counts(rows: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for block, table in words.items():
                 n = len(table)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array([w.decode() for w in table], pa.string()), pa.nulls(n, pa.int64()), pa.array(list(table.values()), pa.int64())], names=["block", "word", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(list(table), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(table.values()), pa.int64())], names=["block", "word", "gram", "n"])
             for block, parts in seen.items():
                 key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
                 n = np.bincount(at, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.nulls(len(key), pa.string()), pa.array(key), pa.array(n)], names=["block", "word", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.nulls(len(key), pa.binary()), pa.array(key), pa.array(n)], names=["block", "word", "gram", "n"])
             words.clear()
             seen.clear()
 
@@ -149,13 +149,13 @@ def block_counts(rows: DataFrame) -> DataFrame:
                     if len(parts) > 15:
                         key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
                         seen[block] = [(key, np.bincount(at, weights=np.concatenate([c for _, c in parts])).astype(np.int64))]
-            if held > TABLE_ENTRIES or sum(len(k) for parts in seen.values() for k, _ in parts) > 4 * TABLE_ENTRIES:
+            if held > TABLE_ENTRIES or sum(len(k) for parts in seen.values() for k, _ in parts) > 2 * TABLE_ENTRIES:
                 yield from flush()
                 held = 0
         yield from flush()
 
     arrow_bounds(rows.sparkSession)
-    return rows.select("text", "train", "block").mapInArrow(run, "block long, word string, gram long, n long")
+    return rows.select("text", "train", "block").mapInArrow(run, "block long, word binary, gram long, n long")
 
 
 def _nodes(ctx, u, n0, n1, below):
@@ -260,8 +260,8 @@ def scored(docs: DataFrame, doc_id: str, text: str, train: Column, direct: bool
     ends = rows.where("train").count()
     big_n, big_v = total + ends, distinct + (1 if ends else 0)
 
-    back = words.where("shared").select("block", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value")).distinct()
-    back = back.unionByName(counts.where("gram IS NOT NULL").select("block", "gram").distinct().join(scores, "gram").select("block", F.lit(None).cast("string").alias("word"), "gram", F.col("score").alias("value")))
+    back = words.where("shared").select("block", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
+    back = back.unionByName(counts.where("gram IS NOT NULL").select("block", "gram").join(scores, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", F.col("score").alias("value")))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
@@ -269,20 +269,22 @@ def scored(docs: DataFrame, doc_id: str, text: str, train: Column, direct: bool
         texts = [_lowered(t) for t in left["text"].to_pylist()]
         learns = left["train"].to_pylist()
         known = right.filter(right["word"].is_valid())
-        c = dict(zip(known["word"].to_pylist(), known["value"].to_pylist(), strict=True))
+        logs = dict(zip(known["word"].to_pylist(), np.log10(known["value"].to_numpy() + 1).tolist(), strict=True))
         local: Counter = Counter()
         for t, yes in zip(texts, learns, strict=True):
             if yes:
-                local.update(x for x in map(bytes.decode, t.split()) if x not in c)
-        logs = {k: math.log10(v + 1) for k, v in c.items()} | {k: math.log10(v + 1) for k, v in local.items()}
+                local.update(t.split())
+        for w, n in local.items():
+            if w not in logs:
+                logs[w] = math.log10(n + 1)
         table = right.filter(right["gram"].is_valid())
         key, value = table["gram"].to_numpy(), table["value"].to_numpy()
         order = np.argsort(key)
         key, value = key[order], value[order]
         per_token, end = math.log10(big_n + big_v + 1), math.log10(ends + 1)
-        n_tokens, n_known, base = [], [], []
+        n_tokens, n_known, base, look = [], [], [], logs.get
         for t in texts:
-            parts = [logs.get(x, 0.0) for x in map(bytes.decode, t.split())]
+            parts = [look(x, 0.0) for x in t.split()]
             n_tokens.append(len(parts) + 1)
             n_known.append(len(parts) - parts.count(0.0) + (ends > 0))
             base.append(math.fsum(parts) + end - (len(parts) + 1) * per_token)
