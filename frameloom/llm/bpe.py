@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from frameloom.llm.common import arrow_bounds
 
@@ -186,7 +187,7 @@ def encoded(docs: DataFrame, text: str, keep: list[str], ranks: dict[bytes, int]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = source.schema[:-1]
-    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *((("token_ids", "array<int>"),) if ids else ())):
+    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *((("token_ids", T.ArrayType(T.IntegerType())),) if ids else ())):
         schema = schema.add(name, kind)
     return source.mapInArrow(run, schema)
 

@@ -84,6 +84,29 @@ def words(text: Column, space: str = SPACE_CLASS, chars: str = SPACE_CHARS) -> C
     return F.when(F.coalesce(F.length(inner), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(inner, f"[{space}]+"))
 
 
+def packed(rows: DataFrame, **named: str) -> DataFrame:
+    """The whole row as struct ``_row``, and the named columns beside it: no outer name can clash with inner ones."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    return rows.select(whole.alias("_row"), *(F.col(f"`{column}`").alias(name) for name, column in named.items()))
+
+
+def unpacked(rows: DataFrame, columns: list[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The packed columns again, and the new ones; a new one takes the place of an old one of its name."""
+    new = new or {}
+    taken = {n.lower() for n in new}
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in columns if c.lower() not in taken), *(v.alias(n) for n, v in new.items()))
+
+
+def filtered(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows that fulfil ``condition``, judged where it stands.
+
+    The optimiser would push the condition below the projections it comes from and
+    repeat their nested expressions once for each use. A column that is not
+    deterministic keeps it in place.
+    """
+    return rows.withColumn("_place", F.monotonically_increasing_id()).where(condition & (F.col("_place") >= 0)).drop("_place")
+
+
 def doc_key(*cols: str) -> list[Column]:
     """A row's identity where ids may repeat or be null: the id and a hash of the text."""
     return [F.col(cols[0]).alias("_id"), F.md5(F.coalesce(F.col(cols[1]), F.lit("")).cast("binary")).alias("_h")]

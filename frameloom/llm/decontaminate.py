@@ -24,10 +24,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from frameloom.llm.common import ascii_lower, bounded, doc_key, stored
+from frameloom.llm.common import ascii_lower, bounded, doc_key, packed, stored, unpacked
 
 WIDTH = 10
 #: What separates words: ASCII but for digits and lower-case letters (after lower-casing).
@@ -111,9 +110,9 @@ def marked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     toks = known.select("item", "item_id", F.col("toks").alias("itoks"))
     per_doc = at.join(bounded(toks), "item").groupBy("_id", "_h").agg(F.collect_list(F.struct(F.col("item_id").cast("string").alias("item_id"), "at", "itoks")).alias("_c"))
     per_doc = per_doc.withColumnsRenamed({"_id": "_cid", "_h": "_ch"})
-    keyed = docs.withColumn("_h", F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")))
-    rows = keyed.join(per_doc, keyed[doc_id].eqNullSafe(F.col("_cid")) & (keyed["_h"] == F.col("_ch")), "left").drop("_cid", "_ch", "_h")
-    rows = rows.withColumn("_t", tokens(F.col(text)))
+    keyed = packed(docs, _id=doc_id, _text=text).withColumn("_h", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")))
+    rows = keyed.join(per_doc, keyed["_id"].eqNullSafe(F.col("_cid")) & (keyed["_h"] == F.col("_ch")), "left")
+    rows = rows.withColumn("_t", tokens(F.col("_text")))
 
     def starts(c: Column) -> Column:
         n = F.least(F.size(c["itoks"]), F.lit(width))
@@ -127,12 +126,13 @@ def marked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     rows = rows.withColumn("_m", F.filter(F.transform(F.transform("_c", starts), hits), lambda x: F.size(x["at"]) > 0))
     spans = F.sort_array(F.array_distinct(F.flatten(F.transform("_m", lambda x: x["at"]))))
     names = F.sort_array(F.array_distinct(F.filter(F.transform("_m", lambda x: x["item_id"]), lambda x: x.isNotNull())))
-    return (
-        rows.withColumn("n_words", F.size("_t").cast("long"))
-        .withColumn("hits", F.coalesce(spans, F.array().cast(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])))))
-        .withColumn("hit_items", F.coalesce(names, F.array().cast("array<string>")))
-        .drop("_c", "_t", "_m")
-    )
+    hit = "array<struct<start:int,length:int>>"
+    new = {
+        "n_words": F.size("_t").cast("long"),
+        "hits": F.coalesce(spans, F.array().cast(hit)),
+        "hit_items": F.coalesce(names, F.array().cast("array<string>")),
+    }
+    return unpacked(rows, docs.columns, new)
 
 
 def covered(hits: Column) -> Column:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import SPACE_CHARS, SPACE_CLASS, bounded, doc_key, stored
+from frameloom.llm.common import SPACE_CHARS, SPACE_CLASS, bounded, doc_key, packed, stored, unpacked
 
 DEPTH = 3
 BLOCKS = 2
@@ -72,13 +72,13 @@ def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_doc
     lines = tree.select("_id", "_h", F.posexplode("lines").alias("line", "keys")).select("_id", "_h", "line", F.explode("keys").alias("template"))
     gone = lines.join(known, "template").where(~F.col("_id").eqNullSafe(F.col("first"))).groupBy("_id", "_h").agg(F.collect_set("line").alias("_gone"))
     gone = gone.withColumnsRenamed({"_id": "_gid", "_h": "_gh"})
-    keyed = docs.withColumn("_h", F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")))
-    rows = keyed.join(gone, keyed[doc_id].eqNullSafe(F.col("_gid")) & (keyed["_h"] == F.col("_gh")), "left").drop("_gid", "_gh", "_h")
-    all_lines = F.split(F.col(text), "\n")
+    keyed = packed(docs, _id=doc_id, _text=text).withColumn("_h", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")))
+    rows = keyed.join(gone, keyed["_id"].eqNullSafe(F.col("_gid")) & (keyed["_h"] == F.col("_gh")), "left")
+    all_lines = F.split("_text", "\n")
     left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return (
-        rows.withColumn("n_lines", F.coalesce(F.size(all_lines), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn(text, F.when(F.col("_gone").isNotNull(), left).otherwise(F.col(text)))
-        .drop("_gone")
-    )
+    new = {
+        text: F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("_text")),
+        "n_lines": F.coalesce(F.when(F.col("_text").isNotNull(), F.size(all_lines)), F.lit(0)).cast("long"),
+        "n_dropped": F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long"),
+    }
+    return unpacked(rows, docs.columns, new)

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.llm.common import packed, unpacked
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Characters before a span that are searched for context words.
 CONTEXT = 48
@@ -129,7 +131,7 @@ def found(docs: DataFrame, text: str) -> DataFrame:
 
     Spans that fail their check are gone. One narrow pass over the texts.
     """
-    out = docs.withColumn("_body", F.coalesce(docs[text], F.lit("")))
+    out = packed(docs, _text=text).withColumn("_body", F.coalesce("_text", F.lit("")))
     body, kinds = F.col("_body"), []
     for kind in KINDS:
         likely = body.contains(kind.hint) if kind.hint else F.lit(True)
@@ -138,7 +140,7 @@ def found(docs: DataFrame, text: str) -> DataFrame:
         if not kind.base:
             kept = F.filter(kept, lambda x: x["score"] >= THRESHOLD)
         kinds.append(F.coalesce(kept, F.array().cast(SPANS)))
-    return out.withColumn("spans", F.sort_array(F.concat(*kinds))).drop("_body")
+    return unpacked(out, docs.columns, {"spans": F.sort_array(F.concat(*kinds))})
 
 
 def listed(spans: Column) -> Column:

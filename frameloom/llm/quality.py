@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import SPACE_CLASS, bounded, stored, words
+from frameloom.llm.common import SPACE_CLASS, bounded, filtered, packed, stored, unpacked, words
 
 #: Values a sketch holds exactly; rank error beyond is about 2.3 / SKETCH_K ** 0.9.
 SKETCH_K = 2048
@@ -117,17 +117,30 @@ def thresholds(sketched: DataFrame, rules: Rules) -> DataFrame:
     return out.select(*cols)
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with the measures, ``base_failed`` and ``kept``.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    Groups without a fence (all their documents fail the fixed rules) keep nothing to compare with and pass it.
-    """
+
+def _judged(docs: DataFrame, text: str, lang: str, source: str, rules: Rules) -> DataFrame:
     fences = stored(thresholds(stored(sketches(docs, text, lang, source, rules), "sketches"), rules), "fences")
-    rows = measured(docs, text)
+    fences = fences.withColumnsRenamed({"_lang": "_flang", "_source": "_fsource"})
+    rows = measured(packed(docs, _text=text, _lang=lang, _source=source), "_text")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     inside = F.lit(True)
     for name, _, _ in rules.features:
         inside = inside & F.coalesce(F.col(name).between(F.col(f"low_{name}"), F.col(f"high_{name}")), F.lit(True))
-    joined = rows.join(bounded(fences), docs[lang].eqNullSafe(F.col("_lang")) & docs[source].eqNullSafe(F.col("_source")), "left")
-    fence_cols = [c for c in fences.columns]
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside).drop(*fence_cols)
+    rows = rows.join(bounded(fences), F.col("_lang").eqNullSafe(F.col("_flang")) & F.col("_source").eqNullSafe(F.col("_fsource")), "left")
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
+
+
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """``docs`` with the measures, ``base_failed`` and ``kept``.
+
+    Groups without a fence (all their documents fail the fixed rules) keep nothing to compare with and pass it.
+    """
+    out = _judged(docs, text, lang, source, rules)
+    return unpacked(out, docs.columns, {n: F.col(n) for n in (*MEASURES, "base_failed", "kept")})
+
+
+def passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """The documents that the rules keep, with their own columns only."""
+    return unpacked(filtered(_judged(docs, text, lang, source, rules), F.col("kept")), docs.columns)

@@ -143,3 +143,145 @@ def classes(marked: DataFrame, bits: int = 2) -> DataFrame:
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+#: Near-duplicate groups: bytes of the word fingerprint, keys of four positional bytes each, list neighbours paired.
+WIDE = 32
+KEYS = 40
+KEY_BYTES = 4
+NEIGHBOURS = 8
+_SEEDS = (0x1234567, 0x89ABCDE, 0x5555AAA, 0x7777123)
+
+
+def key_positions(keys: int = KEYS) -> list[tuple[int, ...]]:
+    """Fixed choices of four of the 32 positions: strides through them, so all are used alike."""
+    out = []
+    for stride in (1, 3, 5, 7, 11, 13, 9, 15):
+        order = [(i * stride) % WIDE for i in range(WIDE)]
+        out += [tuple(order[i : i + KEY_BYTES]) for i in range(0, WIDE, KEY_BYTES)]
+    return out[:keys]
+
+
+def wide_fingerprint(words: list[bytes]):
+    """256 bits over the distinct words: each set if set in over half of the words' hashes."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return np.zeros(WIDE, dtype=np.uint8)
+    base = np.fromiter((xxh64_intdigest(w, 42) for w in set(words)), dtype=np.uint64)
+    votes = np.zeros(8 * WIDE, dtype=np.int64)
+    for at in range(0, len(base), CHUNK):
+        part = base[at : at + CHUNK]
+        cols = []
+        for seed in _SEEDS:
+            h = (part ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            cols.append(h ^ (h >> np.uint64(32)))
+        votes += np.unpackbits(np.stack(cols, axis=1).view(np.uint8).reshape(-1, WIDE), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(base))
+
+
+def _marked_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """_id, _h, digest (of the word sequence), wide (fingerprint) of each document."""
+    import hashlib
+
+    import pyarrow as pa
+
+    arrow_bounds(docs.sparkSession)
+    source = docs.select(docs[doc_id].alias("_id"), F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("_h"), docs[text].alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, wides = [], []
+            for t in batch.column(2).to_pylist():
+                words = (t or "").encode().translate(_LOWER).split()
+                digests.append(hashlib.md5(b" ".join(words)).digest())
+                wides.append(wide_fingerprint(words).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(wides, pa.binary())], names=["_id", "_h", "digest", "wide"])
+
+    return source.mapInArrow(run, source.schema[:2].add("digest", "binary").add("wide", "binary"))
+
+
+def _index(heads: DataFrame) -> DataFrame:
+    """c, k, rest, digest: each fingerprint under its bytes at every choice of positions."""
+    at = lambda i: F.substring("wide", i + 1, 1)
+    entries = [F.struct(F.lit(c).alias("c"), F.concat(*map(at, combo)).alias("k")) for c, combo in enumerate(key_positions())]
+    return heads.select("digest", F.substring("wide", 1, 8).alias("rest"), F.explode(F.array(*entries)).alias("e")).select("e.c", "e.k", "rest", "digest")
+
+
+def _neighbours(index: DataFrame) -> DataFrame:
+    """a, b, shared: entries of one list, each with the next few; short lists give all their pairs.
+
+    A list is walked in order of other bytes, a row at a time: nothing is gathered.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, recent = None, []
+        for batch in batches:
+            a, b = [], []
+            for c, k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if (c, k) != now:
+                    now, recent = (c, k), []
+                for other in recent:
+                    a.append(min(d, other))
+                    b.append(max(d, other))
+                recent = [*recent[-NEIGHBOURS + 1 :], d]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return index.repartition("c", "k").sortWithinPartitions("c", "k", "rest", "digest").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """digest and the distinct shingle hashes of each text."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "shingles"])
+
+    return texts.select("digest", "_text").mapInArrow(run, "digest binary, shingles array<long>")
+
+
+def near_groups(docs: DataFrame, doc_id: str, text: str, width: int = 5, least: float = 0.8) -> DataFrame:
+    """_id, _h, root: documents with equal ``root`` are exact or near copies, linked directly or in a chain.
+
+    Fingerprints over distinct words find candidates: 256 bits, cut into 32 bytes and
+    indexed under 40 fixed choices of four positions. Word sets of texts whose
+    five-word shingles are at least 0.8 alike differ in few bits, so that a choice where
+    all four bytes agree is all but certain; candidates are then compared exactly
+    by the Jaccard similarity of their shingle sets. Copies are collapsed before.
+    """
+    from frameloom.llm.common import bounded
+
+    marked = stored(_marked_texts(docs, doc_id, text), "near-marks")
+    heads = stored(marked.groupBy("digest").agg(F.min("wide").alias("wide"), F.min_by(F.struct("_id", "_h"), F.struct(F.col("_id").isNull(), "_id", "_h")).alias("head")), "near-heads")
+    pairs = stored(_neighbours(_index(heads)), "near-pairs")
+    wanted = stored(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(heads, "digest").select("digest", F.col("head._id").alias("_wid"), F.col("head._h").alias("_wh")), "near-wanted")
+    keyed = docs.select(docs[doc_id].alias("_id"), F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("_h"), docs[text].alias("_text"))
+    texts = keyed.join(bounded(wanted), keyed["_id"].eqNullSafe(F.col("_wid")) & (keyed["_h"] == F.col("_wh")))
+    sets = stored(_shingle_sets(texts, width), "near-shingles")
+    left, right = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").where(F.least(F.size("sa"), F.size("sb")) >= least * F.greatest(F.size("sa"), F.size("sb")))
+    common = F.size(F.array_intersect("sa", "sb"))
+    edges = both.withColumn("n", common).where(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+    roots = components(edges)
+    rooted = marked.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
+    return rooted.select("_id", "_h", F.coalesce("root", "digest").alias("root"))
+
+
+def near_deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of copies: that with the smallest id."""
+    from frameloom.llm.common import packed, unpacked
+
+    groups = stored(near_groups(docs, doc_id, text, width, least), "near-groups")
+    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_h"))
+    kept = groups.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k._id").alias("_kid"), F.col("k._h").alias("_kh"))
+    keyed = packed(docs, _id=doc_id, _text=text).withColumn("_h", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")))
+    rows = keyed.join(kept, keyed["_id"].eqNullSafe(F.col("_kid")) & (keyed["_h"] == F.col("_kh"))).dropDuplicates(["_id", "_h"])
+    return unpacked(rows, docs.columns)
