@@ -19,6 +19,7 @@ one label only, or none, every score is the share of label 1 (0.5 with none).
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.common import arrow_bounds
 
-SAMPLE_ROWS = 5000
+SAMPLE_ROWS = 4000
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 NGRAMS = (3, 4, 5)
@@ -85,26 +86,30 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 120, seed: i
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model([0.0] * BUCKETS, float(np.log(share / (1 - share))))
     ids: dict[str, int] = {}
-    tokens, bounds = [], [0]
+    packed, bounds = array("i"), [0]
     for t in texts:
-        tokens.extend([ids.setdefault(w, len(ids)) for w in (t or "").split()])
-        bounds.append(len(tokens))
-    tokens = np.array(tokens + [0], dtype=np.int32)
-    bags = [subwords(w) for w in ids] or [[0]]
-    sizes = np.array([len(b) for b in bags])
-    sub = np.fromiter((i for b in bags for i in b), dtype=np.int32)
-    sub_start = np.cumsum(sizes) - sizes
-    of_word = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)
-    first, last, doc = [], [], []
-    for d in range(len(y)):
-        n = bounds[d + 1] - bounds[d]
-        for s in window_starts(n):
-            first.append(bounds[d] + s)
-            last.append(bounds[d] + min(s + WINDOW, n))
-            doc.append(d)
-    first, last, doc = map(np.array, (first, last, doc))
-    width = np.maximum(last - first, 1)
-    doc_start = np.searchsorted(doc, np.arange(len(y)))
+        packed.extend([ids.setdefault(w, len(ids)) for w in (t or "").split()])
+        bounds.append(len(packed))
+    packed.append(0)
+    bags, ends = array("i"), array("q")
+    for w in ids or [""]:
+        bags.extend(subwords(w))
+        ends.append(len(bags))
+    tokens, sub, ends = np.frombuffer(packed, np.int32), np.frombuffer(bags, np.int32), np.frombuffer(ends, np.int64)
+    n_words = len(ends)
+    sizes = np.diff(ends, prepend=0)
+    sub_start = ends - sizes
+    of_word = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
+    ids.clear()
+    counts = np.diff(bounds)
+    each = np.array([len(window_starts(n)) for n in counts])
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), each)
+    doc_start = np.cumsum(each) - each
+    begin = np.array(bounds[:-1])[doc]
+    first = (begin + (np.arange(len(doc)) - doc_start[doc]) * STEP).astype(np.int32)
+    last = np.minimum(first + WINDOW, begin + counts[doc]).astype(np.int32)
+    width = np.maximum(last - first, 1).astype(np.float32)
+    del begin
 
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
@@ -117,7 +122,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 120, seed: i
         s = vectors @ turn
         u = np.add.reduceat(s[sub], sub_start) / sizes
         total = np.concatenate(([0.0], np.cumsum(u[tokens])))
-        z = bias + SCALE * (total[last] - total[first]) / width
+        z = (bias + SCALE * (total[last] - total[first]) / width).astype(np.float32)
         top = np.maximum.reduceat(z, doc_start)
         # soft choice of the worst window, hardening as training goes on
         heat = min(1.0 + epoch / 10, 8.0)
@@ -128,8 +133,9 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 120, seed: i
         g_window = g[doc] * share
         g_bias = g_window.sum()
         push = SCALE * g_window / width
+        del z, share
         diff = np.bincount(first, push, len(tokens) + 1) - np.bincount(last, push, len(tokens) + 1)
-        g_word = np.bincount(tokens[:-1], np.cumsum(diff)[: len(tokens) - 1], len(bags))
+        g_word = np.bincount(tokens[:-1], np.cumsum(diff)[: len(tokens) - 1], n_words)
         g_s = np.bincount(sub, (g_word / sizes)[of_word], BUCKETS) + decay / len(y) * s
         g_vectors = g_s[:, None] * turn
         g_turn = g_s @ vectors
