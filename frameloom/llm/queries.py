@@ -104,4 +104,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _quality_sql(rules: quality.Rules) -> str:
+    """The same fences from exact quantiles: sketches are exact up to ``SKETCH_K`` values."""
+    names = [n for n, _, _ in rules.features]
+    q = lambda level: ", ".join(f"quantile_disc({n}, {p}) AS {level}_{n}_{k}" for n in names for p, k in ((0.25, 1), (0.75, 3)))
+    use = lambda n, k: f"CASE WHEN g.n >= {rules.group_rows} THEN g_{n}_{k} WHEN l.n >= {rules.group_rows} THEN l_{n}_{k} ELSE a_{n}_{k} END"
+    fences, tests = [], []
+    for n, below, above in rules.features:
+        spread = f"({use(n, 3)} - {use(n, 1)}) * {rules.reach}"
+        if below is not None:
+            fences.append(f"{use(n, 1)} - {spread} - {below} AS low_{n}")
+            tests.append(f"m.{n} >= low_{n}")
+        fences.append(f"{use(n, 3)} + {spread} + {above} AS high_{n}")
+        tests.append(f"m.{n} <= high_{n}")
+    return (
+        rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '~') AS lang, coalesce(source, '~') AS source FROM documents),
+        w AS (SELECT *, {_WORDS} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM d),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+        rep AS (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+        r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM rep GROUP BY 1),
+        m0 AS (SELECT w.doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+          length(t) - length(regexp_replace(t, '[A-Z!?]', '', 'g')) AS shout, len(ls) AS nl, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+        m AS (SELECT *, word_chars / greatest(n_words, 1) AS word_length, n_symbols / greatest(n_words, 1) AS symbol_ratio, shout / greatest(word_chars, 1) AS shout_ratio, n_dup_lines / greatest(nl, 1) AS dup_line_ratio FROM m0),
+        k AS (SELECT * FROM m WHERE n_words >= {rules.min_words}), """
+        + f"g AS (SELECT lang, source, count(*) AS n, {q('g')} FROM k GROUP BY 1, 2), l AS (SELECT lang, count(*) AS n, {q('l')} FROM k GROUP BY 1), a AS (SELECT {q('a')} FROM k), "
+        + f"f AS (SELECT g.lang, g.source, {', '.join(fences)} FROM g JOIN l ON g.lang = l.lang, a), "
+        + f"b AS (SELECT m.*, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM m) "
+        + f"SELECT m.doc_id, m.n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({' AND '.join(tests)}, true) AS kept FROM b m LEFT JOIN f ON m.lang = f.lang AND m.source = f.source"
+    )
+
+
+def _line_sql() -> str:
+    d, b, least = linededup.DEPTH, linededup.BLOCKS, linededup.MIN_TOKENS
+    size = f"CAST(ceil((len(k) - {d}) / {b}) AS BIGINT)"
+    wild = " ".join(f"UNION ALL SELECT doc_id, no, '{i}|' || len(k) || '|' || array_to_string(k[1:{d} + {i} * {size}], ' ') || '|<*>|' || array_to_string(k[{d} + {i + 1} * {size} + 1:], ' ') FROM tk WHERE len(k) >= {least}" for i in range(b))
+    return rf"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, ls[i] AS t, i AS no FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)),
+        tk AS (SELECT * FROM (SELECT doc_id, no, list_transform({_WORDS}, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS k FROM e) WHERE len(k) > 0),
+        keys AS (SELECT doc_id, no, '=' || array_to_string(k, ' ') AS key FROM tk {wild}),
+        rec AS (SELECT key, min(doc_id) AS first FROM keys GROUP BY 1 HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
+        gone AS (SELECT doc_id, list(DISTINCT no) AS g FROM keys JOIN rec ON keys.key = rec.key WHERE doc_id <> first GROUP BY 1)
+        SELECT l.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(g), 0) AS n_dropped, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(g, i)), lambda i: ls[i]), chr(10)) END AS text FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id"""
+
+
+_DECONTAMINATE_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+    dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+    m AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.s = bw.s AND dw.n = bw.n),
+    h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
+    it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id"""
+
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": _line_sql(),
+    "op7_quality": _quality_sql(quality.Rules()),
+    "op10_decontaminate": _DECONTAMINATE_SQL,
+}
