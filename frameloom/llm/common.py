@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = context.getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     path = "file://" + tempfile.mkdtemp(prefix="frameloom-")
     spark.sparkContext.setCheckpointDir(path)
@@ -39,7 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/frameloom/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate results; ``cleared`` empties it."""
+    return f"{shared_dir(spark)}/frameloom-{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -54,11 +59,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Hadoop's file system API."""
+def cleared(spark: SparkSession) -> None:
+    """Delete this application's intermediate results; DataFrames that still read them end with it."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_bounds(spark: SparkSession) -> None:

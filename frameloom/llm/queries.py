@@ -160,8 +160,15 @@ _DECONTAMINATE_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate
     it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY 1)
     SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id"""
 
+_WARC_SQL = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep, strlen(h) AS bytes FROM p),
+    r AS (SELECT *, bytes >= 1000 AND keep <> page_id AS again, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE coalesce(url, '') END AS rest FROM m), u AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS host FROM r)
+    SELECT page_id, bytes AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keep END AS refers_to,
+    CASE WHEN rest = '' THEN '' ELSE array_to_string(list_reverse(string_split(split_part(lower(regexp_replace(host, '^.*@', '')), ':', 1), '.')), ',') || ')' || coalesce(nullif(substr(rest, length(host) + 1), ''), '/') END AS url_key,
+    strftime(make_timestamp((1704067200 + page_id % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at, true AS intact FROM u"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": _line_sql(),
+    "op2_warc": _WARC_SQL,
     "op7_quality": _quality_sql(quality.Rules()),
     "op10_decontaminate": _DECONTAMINATE_SQL,
 }

@@ -205,10 +205,14 @@ def _marked_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _index(heads: DataFrame) -> DataFrame:
-    """c, k, rest, digest: each fingerprint under its bytes at every choice of positions."""
+    """c, k, rest, digest: each fingerprint under its bytes at every choice of positions.
+
+    ``rest`` orders a list by eight other bytes, others for each choice, so that an
+    entry's neighbours differ from list to list.
+    """
     at = lambda i: F.substring("wide", i + 1, 1)
-    entries = [F.struct(F.lit(c).alias("c"), F.concat(*map(at, combo)).alias("k")) for c, combo in enumerate(key_positions())]
-    return heads.select("digest", F.substring("wide", 1, 8).alias("rest"), F.explode(F.array(*entries)).alias("e")).select("e.c", "e.k", "rest", "digest")
+    entries = [F.struct(F.lit(c).alias("c"), F.concat(*map(at, combo)).alias("k"), F.substring("wide", 1 + 5 * c % (WIDE - 7), 8).alias("rest")) for c, combo in enumerate(key_positions())]
+    return heads.select("digest", F.explode(F.array(*entries)).alias("e")).select("e.c", "e.k", "e.rest", "digest")
 
 
 def _neighbours(index: DataFrame) -> DataFrame:
