@@ -385,6 +385,42 @@ def content_id(spark, sf):
     return table(spark, sf, "part").select("p_partkey", custody.content_id("part", text).alias("id"))
 
 
+@query("cross_case_first", "SELECT CAST(p_size AS BIGINT) AS id, min(p_brand) AS case_id FROM part GROUP BY 1")
+def cross_case_first(spark, sf):
+    """Where an id is held by several cases, the first case by name answers."""
+    from frameloom.plans.case import first_case
+
+    return first_case(table(spark, sf, "part").select(F.col("p_size").cast("long").alias("id"), F.col("p_brand").alias("case_id")))
+
+
+@query("set_equality", f"WITH {FR}, a AS (SELECT channel, off FROM fr WHERE off % 2 = 0), b AS (SELECT channel, off FROM fr WHERE off % 2 = 0 AND off % 500 <> 0) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right")
+def set_equality(spark, sf):
+    """Rows that either of two results has alone, whatever their order: both zero means equal. One aggregation."""
+    fr = frames(spark, sf)
+    a, b = fr.where("off % 2 = 0").select("channel", "off", F.lit(1).alias("n")), fr.where("off % 2 = 0 AND off % 500 <> 0").select("channel", "off", F.lit(-1).alias("n"))
+    d = a.unionByName(b).groupBy("channel", "off").agg(F.sum("n").alias("n"))
+    return d.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("only_left"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("only_right"))
+
+
+@query("hash_lookup", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 = 0")
+def hash_lookup(spark, sf):
+    keys = table(spark, sf, "customer").where("c_custkey % 3 = 0").select("c_custkey", "c_name")
+    return table(spark, sf, "orders").join(keys, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
+
+
+@query("earliest_live", f"WITH {REC} SELECT channel, min(start_us) FILTER (NOT deleted) AS live_us, arg_max(recording_id, {{'s': coalesce(start_us, 0), 'r': recording_id}}) AS newest FROM rec GROUP BY 1")
+def earliest_live(spark, sf):
+    rec = recordings(frames(spark, sf))
+    return rec.groupBy("channel").agg(F.min(F.when(~F.col("deleted"), F.col("start_us"))).alias("live_us"), F.max_by("recording_id", F.struct(F.coalesce("start_us", F.lit(0)), F.col("recording_id"))).alias("newest"))
+
+
+@query("field_candidates", "SELECT CAST(o AS BIGINT) AS off, CAST(w AS BIGINT) AS width, e AS endian FROM range(0, 32) a(o), (VALUES (2), (4), (8)) b(w), (VALUES ('big'), ('little')) c(e) WHERE o + w <= 32 AND (o >= 8 OR o + w <= 0)")
+def field_candidates(spark, sf):
+    """Every place, width and byte order of a header of 32 bytes that leaves out an eight-byte magic."""
+    shape = F.explode(F.array(*(F.struct(F.lit(w).cast("long").alias("width"), F.lit(e).alias("endian")) for w in (2, 4, 8) for e in ("big", "little"))))
+    return spark.range(32).select(F.col("id").alias("off"), shape.alias("s")).select("off", "s.width", "s.endian").where("off + width <= 32 AND off >= 8")
+
+
 # SQL given by the user over registered views ------------------------------------------------
 
 _SQL = {
