@@ -104,9 +104,9 @@ def thresholds(sketched: DataFrame, rules: Rules) -> DataFrame:
     def merged(level: str, *keys: str) -> DataFrame:
         return sketched.groupBy(*keys).agg(F.sum("_n").alias(f"_n_{level}"), *(F.kll_merge_agg_double(name).alias(f"{level}_{name}") for name in names))
 
-    by_lang = merged("lang", "_lang").withColumnRenamed("_lang", "_llang")
-    whole = sketched.withColumn("_one", F.lit(1)).groupBy("_one").agg(*(F.kll_merge_agg_double(name).alias(f"all_{name}") for name in names))
-    out = sketched.join(by_lang, F.col("_lang").eqNullSafe(F.col("_llang"))).drop("_llang").withColumn("_one", F.lit(1)).join(whole, "_one")
+    by_lang = bounded(stored(merged("lang", "_lang").withColumnRenamed("_lang", "_llang"), "language-sketches"))
+    whole = F.broadcast(merged("all"))  # one row
+    out = sketched.join(by_lang, F.col("_lang").eqNullSafe(F.col("_llang"))).drop("_llang").join(whole, F.lit(True))
     cols = [F.col("_lang"), F.col("_source")]
     for name, below, above in rules.features:
         sketch = F.when(F.col("_n") >= rules.group_rows, F.col(name)).when(F.col("_n_lang") >= rules.group_rows, F.col(f"lang_{name}")).otherwise(F.col(f"all_{name}"))
