@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from frameloom.llm.common import arrow_bounds
 
 #: Pre-tokens remembered by a worker before it forgets all of them: bounds its memory.
-MEMO = 500_000
+MEMO = 1_000_000
 #: Longer pre-tokens are not remembered.
 MEMO_BYTES = 64
 
