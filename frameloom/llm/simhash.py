@@ -24,11 +24,13 @@ kept as rows and never name a component while another id can.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from frameloom.llm.common import arrow_bounds, stored
 from frameloom.llm.graph import components
@@ -145,101 +147,110 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Near-duplicate groups: bytes of the word fingerprint, keys of four positional bytes each, list neighbours paired.
-WIDE = 32
-KEYS = 40
-KEY_BYTES = 4
+#: Near-duplicate groups: entries of a list that each entry meets.
 NEIGHBOURS = 8
-_SEEDS = (0x1234567, 0x89ABCDE, 0x5555AAA, 0x7777123)
+#: Common shingles come last in the order of prefixes: those repeated in one of so many texts, and how many of them.
+SAMPLED = 16
+COMMON = 200_000
 
 
-def key_positions(keys: int = KEYS) -> list[tuple[int, ...]]:
-    """Fixed choices of four of the 32 positions: strides through them, so all are used alike."""
-    out = []
-    for stride in (1, 3, 5, 7, 11, 13, 9, 15):
-        order = [(i * stride) % WIDE for i in range(WIDE)]
-        out += [tuple(order[i : i + KEY_BYTES]) for i in range(0, WIDE, KEY_BYTES)]
-    return out[:keys]
+def _common(docs: DataFrame, text: str, width: int):
+    """Shingles that several sampled texts hold, and in how many, sorted by shingle.
 
+    They only order prefixes. Any order that all texts share finds every pair, so
+    the sample bears on list lengths, never on the result.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    arrow_bounds(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, width)).view(np.int64))], names=["s"])
 
-def wide_fingerprint(words: list[bytes]):
-    """256 bits over the distinct words: each set if set in over half of the words' hashes."""
+    sample = docs.select(docs[text].alias("_text")).where(F.pmod(F.xxhash64("_text"), F.lit(SAMPLED)) == 0)
+    counts = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    rows = sorted(counts.orderBy(F.desc("n"), "s").limit(COMMON).collect())
+    return np.array([r.s for r in rows], dtype=np.int64), np.array([r.n for r in rows], dtype=np.int64)
+
+
+def prefix(shingles, common, least: float):
+    """The first of a text's distinct shingles, rare ones first: two sets at least ``least`` alike share one of theirs."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    if not words:
-        return np.zeros(WIDE, dtype=np.uint8)
-    base = np.fromiter((xxh64_intdigest(w, 42) for w in set(words)), dtype=np.uint64)
-    votes = np.zeros(8 * WIDE, dtype=np.int64)
-    for at in range(0, len(base), CHUNK):
-        part = base[at : at + CHUNK]
-        cols = []
-        for seed in _SEEDS:
-            h = (part ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            cols.append(h ^ (h >> np.uint64(32)))
-        votes += np.unpackbits(np.stack(cols, axis=1).view(np.uint8).reshape(-1, WIDE), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(votes * 2 > len(base))
-
-
-def _marked_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """_id, _h, digest (of the word sequence), wide (fingerprint) of each document."""
+    if not len(shingles):
+        return shingles
+    keys, counts = common
+    rank = np.zeros(len(shingles), dtype=np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        rank = np.where(keys[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, rank))][: len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1]
+
+
+def _marked_texts(docs: DataFrame, doc_id: str, text: str, width: int, least: float) -> DataFrame:
+    """_id, _h, digest (of the word sequence), n (distinct shingles) and prefix of each document."""
     import hashlib
 
     import pyarrow as pa
 
-    arrow_bounds(docs.sparkSession)
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, text, width))
     source = docs.select(docs[doc_id].alias("_id"), F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("_h"), docs[text].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for batch in batches:
-            digests, wides = [], []
+            digests, sizes, prefixes = [], [], []
             for t in batch.column(2).to_pylist():
-                words = (t or "").encode().translate(_LOWER).split()
-                digests.append(hashlib.md5(b" ".join(words)).digest())
-                wides.append(wide_fingerprint(words).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(wides, pa.binary())], names=["_id", "_h", "digest", "wide"])
+                digests.append(hashlib.md5(b" ".join((t or "").encode().translate(_LOWER).split())).digest())
+                shingles = np.unique(shingle_hashes(t, width).view(np.int64))
+                sizes.append(len(shingles))
+                prefixes.append(prefix(shingles, common.value, least))
+            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["_id", "_h", "digest", "n", "prefix"])
 
-    return source.mapInArrow(run, source.schema[:2].add("digest", "binary").add("wide", "binary"))
+    return source.mapInArrow(run, source.schema[:2].add("digest", "binary").add("n", "long").add("prefix", ArrayType(LongType())))
 
 
 def _index(heads: DataFrame) -> DataFrame:
-    """c, k, rest, digest: each fingerprint under its bytes at every choice of positions.
-
-    ``rest`` orders a list by eight other bytes, others for each choice, so that an
-    entry's neighbours differ from list to list.
-    """
-    at = lambda i: F.substring("wide", i + 1, 1)
-    entries = [F.struct(F.lit(c).alias("c"), F.concat(*map(at, combo)).alias("k"), F.substring("wide", 1 + 5 * c % (WIDE - 7), 8).alias("rest")) for c, combo in enumerate(key_positions())]
-    return heads.select("digest", F.explode(F.array(*entries)).alias("e")).select("e.c", "e.k", "e.rest", "digest")
+    """s, n, node: each text under every shingle of its prefix."""
+    return heads.select(F.explode("prefix").alias("s"), "n", "node")
 
 
-def _neighbours(index: DataFrame) -> DataFrame:
-    """a, b, shared: entries of one list, each with the next few; short lists give all their pairs.
+def _neighbours(index: DataFrame, least: float) -> DataFrame:
+    """a, b: entries of one list, each with the next few that may be as large; and s of each list that is longer.
 
-    A list is walked in order of other bytes, a row at a time: nothing is gathered.
+    A list is walked in order of size, a row at a time: nothing is gathered. Lists of
+    up to ``NEIGHBOURS`` + 1 entries give all their pairs.
     """
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, recent = None, []
+        now, length, recent = None, 0, []
         for batch in batches:
-            a, b = [], []
-            for c, k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if (c, k) != now:
-                    now, recent = (c, k), []
-                for other in recent:
-                    a.append(min(d, other))
-                    b.append(max(d, other))
-                recent = [*recent[-NEIGHBOURS + 1 :], d]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return index.repartition("c", "k").sortWithinPartitions("c", "k", "rest", "digest").mapInArrow(run, "a binary, b binary").distinct()
+            a, b, longer = [], [], []
+            for s, n, node in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if s != now:
+                    now, length, recent = s, 0, []
+                for size, other in recent:
+                    if size >= least * n:
+                        a.append(min(node, other))
+                        b.append(max(node, other))
+                length += 1
+                if length == NEIGHBOURS + 2:
+                    longer.append(s)
+                recent = [*recent[-NEIGHBOURS + 1 :], (n, node)]
+            none = [None] * len(longer)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a + none, b + none, [None] * len(a) + longer)], names=["a", "b", "s"])
+
+    return index.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, "a long, b long, s long")
 
 
 def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """digest and the distinct shingle hashes of each text."""
+    """node and the distinct shingle hashes of each text."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,36 +258,42 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return texts.select("digest", "_text").mapInArrow(run, "digest binary, shingles array<long>")
+    return texts.select("node", "_text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def near_groups(docs: DataFrame, doc_id: str, text: str, width: int = 5, least: float = 0.8) -> DataFrame:
-    """_id, _h, root: documents with equal ``root`` are exact or near copies, linked directly or in a chain.
-
-    Fingerprints over distinct words find candidates: 256 bits, cut into 32 bytes and
-    indexed under 40 fixed choices of four positions. Word sets of texts whose
-    five-word shingles are at least 0.8 alike differ in few bits, so that a choice where
-    all four bytes agree is all but certain; candidates are then compared exactly
-    by the Jaccard similarity of their shingle sets. Copies are collapsed before.
-    """
+def _alike(pairs: DataFrame, heads: DataFrame, keyed: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least ``least``."""
     from frameloom.llm.common import bounded
 
-    marked = stored(_marked_texts(docs, doc_id, text), "near-marks")
-    heads = stored(marked.groupBy("digest").agg(F.min("wide").alias("wide"), F.min_by(F.struct("_id", "_h"), F.struct(F.col("_id").isNull(), "_id", "_h")).alias("head")), "near-heads")
-    pairs = stored(_neighbours(_index(heads)), "near-pairs")
-    wanted = stored(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(heads, "digest").select("digest", F.col("head._id").alias("_wid"), F.col("head._h").alias("_wh")), "near-wanted")
-    keyed = docs.select(docs[doc_id].alias("_id"), F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("_h"), docs[text].alias("_text"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(heads, "node")
+    wanted = stored(wanted.select("node", F.col("head._id").alias("_wid"), F.col("head._h").alias("_wh")), "near-wanted")
     texts = keyed.join(bounded(wanted), keyed["_id"].eqNullSafe(F.col("_wid")) & (keyed["_h"] == F.col("_wh")))
     sets = stored(_shingle_sets(texts, width), "near-shingles")
-    left, right = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").where(F.least(F.size("sa"), F.size("sb")) >= least * F.greatest(F.size("sa"), F.size("sb")))
     common = F.size(F.array_intersect("sa", "sb"))
-    edges = both.withColumn("n", common).where(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
-    roots = components(edges)
-    rooted = marked.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
-    return rooted.select("_id", "_h", F.coalesce("root", "digest").alias("root"))
+    return both.withColumn("n", common).where(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+
+
+def near_groups(docs: DataFrame, doc_id: str, text: str, width: int = 5, least: float = 0.8) -> DataFrame:
+    """_id, _h, root: documents with equal ``root`` are exact or near copies, linked directly or in a chain.
+
+    Texts are indexed under the rarest of their distinct shingles, as many as make sure
+    that two texts ``least`` alike share one: n - ceil(least n) + 1 of n, in an order
+    that is the same for all. Candidates are then compared exactly by the Jaccard
+    similarity of their shingle sets. Copies are collapsed before.
+    """
+    marked = stored(_marked_texts(docs, doc_id, text, width, least), "near-marks")
+    heads = marked.groupBy("digest").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min_by(F.struct("_id", "_h"), F.struct(F.col("_id").isNull(), "_id", "_h")).alias("head"))
+    heads = stored(heads.withColumn("node", F.monotonically_increasing_id()), "near-heads")
+    keyed = docs.select(docs[doc_id].alias("_id"), F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("_h"), docs[text].alias("_text"))
+    found = stored(_neighbours(_index(heads), least), "near-found")
+    pairs = stored(found.where("a IS NOT NULL").select("a", "b").distinct(), "near-pairs")
+    roots = components(_alike(pairs, heads, keyed, width, least))
+    named = heads.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return marked.select("_id", "_h", "digest").join(named, "digest").select("_id", "_h", "root")
 
 
 def near_deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:

@@ -121,3 +121,19 @@ def test_a_large_family_of_near_copies_leaves_one(docs):
 def test_repeated_rows_blanks_and_null_ids_keep_one(docs):
     out = simhash.near_deduped(docs(["a b c", "a b c", None, "", "a b c"], [5, 5, 7, 8, None])).collect()
     assert sorted(((r.doc_id, r.text) for r in out), key=str) == [(5, "a b c"), (7, None)]
+
+
+def test_cut_and_extended_copies_are_found(docs):
+    rnd = random.Random(21)
+    texts, want = [], set()
+    for g in range(90):
+        least = (0.8, 0.85, 0.9)[g % 3]
+        words = ["c%d_%d" % (g, i) for i in range(rnd.randint(60, 600))]
+        more = [*words, *("x%d_%d" % (g, i) for i in range(600))]
+        n = len(words) - 4
+        longer = " ".join(more[: int(n / least) + 4])
+        shorter = " ".join(words[: -int(-n * least // 1) + 5])
+        assert least <= jaccard(" ".join(words), longer) < least + 0.03 and least <= jaccard(" ".join(words), shorter) < least + 0.04
+        want.add(len(texts))
+        texts += [" ".join(words), longer] if g % 2 else [shorter, " ".join(words)]
+    assert {r.doc_id for r in simhash.near_deduped(docs(texts)).collect()} == want
