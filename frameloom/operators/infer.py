@@ -1,4 +1,4 @@
-"""Layout inference: what the header before each access unit holds, from samples alone.
+"""Layout inference: what the header before each access unit holds, from samples; replay covers every unit.
 
 Access units come from the Annex B scan; of at most ``SAMPLES`` of them the ``SPAN``
 bytes before are sampled, which bounds everything after. Columns of little entropy
@@ -8,6 +8,7 @@ given out one after the other to places that are still free.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -165,22 +166,42 @@ def infer(sampled: list[tuple[int, int | None, bool, bytes]]) -> Layout | None:
     return Layout(header_len, magic, tuple(sorted(fields, key=lambda f: f.offset)))
 
 
-def replayed(spark: SparkSession, sampled: list[tuple[int, int | None, bool, bytes]], layout: Layout) -> DataFrame:
-    """One frame for each sampled unit, read through the layout."""
+_FRAME = "channel long, header_offset long, payload_offset long, payload_len long, ts_us long, kind string"
+
+
+def _frame(layout: Layout, start: int, follow: int | None, is_idr: bool, head: bytes) -> tuple:
+    """A unit's frame, its header read through the layout."""
     by = {f.name: f for f in layout.fields}
     lead = SPAN - layout.header_len
 
-    def read(name: str, head: bytes) -> int | None:
+    def read(name: str) -> int | None:
         f = by.get(name)
         return int.from_bytes(head[lead + f.offset : lead + f.offset + f.width], f.endian) if f else None
 
-    rows = []
-    for start, follow, is_idr, head in sampled:
-        ts = read("timestamp", head)
-        scale = 1_000_000 // UNITS[by["timestamp"].unit] if ts is not None else 0
-        length = read("length", head)
-        rows.append((read("channel", head), start - layout.header_len, start, length if length is not None else (follow - layout.header_len - start if follow else None), None if ts is None else ts * scale, "I" if is_idr else "P"))
-    return spark.createDataFrame(rows, "channel long, header_offset long, payload_offset long, payload_len long, ts_us long, kind string")
+    ts, length = read("timestamp"), read("length")
+    scale = 1_000_000 // UNITS[by["timestamp"].unit] if ts is not None else 0
+    size = length if length is not None else (follow - layout.header_len - start if follow else None)
+    return read("channel"), start - layout.header_len, start, size, None if ts is None else ts * scale, "I" if is_idr else "P"
+
+
+def replayed(spark: SparkSession, sampled: list[tuple[int, int | None, bool, bytes]], layout: Layout) -> DataFrame:
+    """One frame for each sampled unit, read through the layout."""
+    return spark.createDataFrame([_frame(layout, *s) for s in sampled], _FRAME)
+
+
+def replayed_units(units: DataFrame, image: bytes, layout: Layout) -> DataFrame:
+    """One frame for every unit that has a whole span before it, read through the layout on executors."""
+    import pyarrow as pa
+
+    data = units.sparkSession.sparkContext.broadcast(image)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_frame(layout, start, follow, idr, data.value[start - SPAN : start]) for start, follow, idr in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+            kinds = (*[pa.int64()] * 5, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in _FRAME.split(", ")])
+
+    return units.where(F.col("start") >= SPAN).select("start", "next_start", "is_idr").mapInArrow(run, _FRAME)
 
 
 def summary(layout: Layout) -> str:

@@ -161,10 +161,9 @@ def carve_with(windows: DataFrame, image: bytes, family: str | None) -> DataFram
     """By the family's own records if it has a walk, else by start codes; layouts are inferred for unknown ones."""
     if family in records.WALKS:
         return records.carved(windows, family)
-    spark = windows.sparkSession
-    sampled = infer.samples(infer.unit_starts(bytescan.scan_annexb(windows)), image)
-    layout = infer.infer(sampled)
-    return infer.replayed(spark, sampled, layout) if layout and layout.fields else generic_carve(windows)
+    units = infer.unit_starts(bytescan.scan_annexb(windows))
+    layout = infer.infer(infer.samples(units, image))
+    return infer.replayed_units(units, image, layout) if layout and layout.fields else generic_carve(windows)
 
 
 # Views and exports ------------------------------------------------------------------------------

@@ -82,5 +82,6 @@ def infer_layout(spark, sf):
 
 @query("replay_layout")
 def replay_layout(spark, sf):
-    sampled, layout = layout_of(spark, synthetic.unknown_image())
-    return infer.replayed(spark, sampled, layout).withColumn("day", F.floor(F.col("ts_us") / 86_400_000_000))
+    image = synthetic.unknown_image()
+    _, layout = layout_of(spark, image)
+    return infer.replayed_units(infer.unit_starts(bytescan.scan_annexb(as_range(spark, image))), image, layout).withColumn("day", F.floor(F.col("ts_us") / 86_400_000_000))

@@ -123,6 +123,18 @@ def test_layout_is_found(spark):
     assert infer.infer([]) is None
 
 
+def test_replay_goes_past_the_sample(spark, monkeypatch):
+    from frameloom.plans import case, images as plans
+
+    image = synthetic.unknown_image()
+    sampled, layout = layout_of(spark, image)
+    whole = sorted(map(tuple, infer.replayed(spark, sampled, layout).collect()))
+    monkeypatch.setattr(infer.samples, "__defaults__", (80,))
+    assert len(layout_of(spark, image)[0]) == 80 and len(whole) == 160
+    assert sorted(map(tuple, case.carve_with(as_range(spark, image), image, None).collect())) == whole
+    assert sorted(tuple(r)[:-1] for r in plans.replay_layout(spark, "").collect()) == whole
+
+
 def test_sessions_close_after_the_gap(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
