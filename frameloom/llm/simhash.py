@@ -147,7 +147,7 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Near-duplicate groups: entries of a list that each entry meets.
+#: Near-duplicate groups: entries of a list that each entry meets; longer lists are finished in ``_crossing``.
 NEIGHBOURS = 8
 #: Common shingles come last in the order of prefixes: those repeated in one of so many texts, and how many of them.
 SAMPLED = 16
@@ -216,8 +216,16 @@ def _marked_texts(docs: DataFrame, doc_id: str, text: str, width: int, least: fl
 
 
 def _index(heads: DataFrame) -> DataFrame:
-    """s, n, node: each text under every shingle of its prefix."""
-    return heads.select(F.explode("prefix").alias("s"), "n", "node")
+    """s, n, i, node: each text under every shingle of its prefix, ``i`` its place there."""
+    return heads.select(F.posexplode("prefix").alias("i", "s"), "n", "node").select("s", "n", "i", "node")
+
+
+def may_be_alike(n, i, m, j, least: float):
+    """Whether sets of n and m shingles whose first common ones stand at i and j can be ``least`` alike.
+
+    A pair that is alike passes in the list of its first common shingle, so lists may drop the rest.
+    """
+    return min(n - i, m - j) * (1 + least) + 1e-6 >= least * (n + m)
 
 
 def _neighbours(index: DataFrame, least: float) -> DataFrame:
@@ -232,17 +240,17 @@ def _neighbours(index: DataFrame, least: float) -> DataFrame:
         now, length, recent = None, 0, []
         for batch in batches:
             a, b, longer = [], [], []
-            for s, n, node in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for s, n, i, node in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if s != now:
                     now, length, recent = s, 0, []
-                for size, other in recent:
-                    if size >= least * n:
+                for size, place, other in recent:
+                    if may_be_alike(n, i, size, place, least):
                         a.append(min(node, other))
                         b.append(max(node, other))
                 length += 1
                 if length == NEIGHBOURS + 2:
                     longer.append(s)
-                recent = [*recent[-NEIGHBOURS + 1 :], (n, node)]
+                recent = [*recent[-NEIGHBOURS + 1 :], (n, i, node)]
             none = [None] * len(longer)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a + none, b + none, [None] * len(a) + longer)], names=["a", "b", "s"])
 
@@ -277,13 +285,27 @@ def _alike(pairs: DataFrame, heads: DataFrame, keyed: DataFrame, width: int, lea
     return both.withColumn("n", common).where(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
+def _crossing(heads: DataFrame, longer: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs of long lists that no chain of links joins yet, and that may be as large."""
+    from frameloom.llm.common import bounded
+
+    entries = _index(heads).join(bounded(longer), "s").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    entries = stored(entries.select("s", "n", "i", "node", "root"), "near-crowded")
+    split = entries.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("s")
+    entries = entries.join(split, "s")
+    left, right = entries.select("s", F.col("n").alias("na"), F.col("i").alias("ia"), F.col("node").alias("a"), F.col("root").alias("ra")), entries.select("s", F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("node").alias("b"), F.col("root").alias("rb"))
+    fits = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (1 + least) + 1e-6 >= least * (F.col("na") + F.col("nb"))
+    return left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
+
+
 def near_groups(docs: DataFrame, doc_id: str, text: str, width: int = 5, least: float = 0.8) -> DataFrame:
     """_id, _h, root: documents with equal ``root`` are exact or near copies, linked directly or in a chain.
 
     Texts are indexed under the rarest of their distinct shingles, as many as make sure
     that two texts ``least`` alike share one: n - ceil(least n) + 1 of n, in an order
     that is the same for all. Candidates are then compared exactly by the Jaccard
-    similarity of their shingle sets. Copies are collapsed before.
+    similarity of their shingle sets. Of long lists each entry meets its neighbours
+    first; then all pairs of them that are not yet in one group. Copies are collapsed before.
     """
     marked = stored(_marked_texts(docs, doc_id, text, width, least), "near-marks")
     heads = marked.groupBy("digest").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min_by(F.struct("_id", "_h"), F.struct(F.col("_id").isNull(), "_id", "_h")).alias("head"))
@@ -291,7 +313,13 @@ def near_groups(docs: DataFrame, doc_id: str, text: str, width: int = 5, least:
     keyed = docs.select(docs[doc_id].alias("_id"), F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("_h"), docs[text].alias("_text"))
     found = stored(_neighbours(_index(heads), least), "near-found")
     pairs = stored(found.where("a IS NOT NULL").select("a", "b").distinct(), "near-pairs")
-    roots = components(_alike(pairs, heads, keyed, width, least))
+    edges = stored(_alike(pairs, heads, keyed, width, least), "near-edges")
+    roots = components(edges)
+    longer = stored(found.where("s IS NOT NULL").select("s"), "near-longer")
+    if not longer.isEmpty():
+        more = stored(_crossing(heads, longer, roots, least).join(pairs, ["a", "b"], "left_anti"), "near-crossing")
+        if not more.isEmpty():
+            roots = components(edges.union(_alike(more, heads, keyed, width, least)))
     named = heads.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return marked.select("_id", "_h", "digest").join(named, "digest").select("_id", "_h", "root")
 

@@ -137,3 +137,28 @@ def test_cut_and_extended_copies_are_found(docs):
         want.add(len(texts))
         texts += [" ".join(words), longer] if g % 2 else [shorter, " ".join(words)]
     assert {r.doc_id for r in simhash.near_deduped(docs(texts)).collect()} == want
+
+
+def test_long_lists_are_compared_whole(docs):
+    rnd = random.Random(22)
+    words = ["s%d" % i for i in range(200)]
+    star = []  # each 0.8 like the original, few like each other
+    for m in range(120):
+        other = list(words)
+        for at in rnd.sample(range(5, 195, 5), 4):
+            other[at] = "m%d_%d" % (m, at)
+        star.append(" ".join(other))
+    assert all(jaccard(" ".join(words), t) >= 0.8 for t in star) and sum(jaccard(star[0], t) >= 0.8 for t in star) == 1
+    lines = [" ".join(rnd.choice("abcdefgh") for _ in range(12)) for _ in range(30)]
+    mixed = ["\n".join(rnd.sample(lines, 30)) for _ in range(60)]  # one set of words
+    last = mixed[0].split()
+    last[100:105] = last[104:99:-1]
+    texts = [*star, *mixed, " ".join(words), " ".join(last)]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (i < 120 or i == 180) == (j < 120 or j == 180) and jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    assert {parent[i] for i in range(120)} == {0} and parent[180] == 0
+    assert {r.doc_id for r in simhash.near_deduped(docs(texts)).collect()} == set(parent)
