@@ -30,9 +30,9 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType
 
-from frameloom.llm.common import arrow_bounds, stored
+from frameloom.llm.common import arrow_bounds, bounded, packed, stored, unpacked
 from frameloom.llm.graph import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -147,114 +147,110 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Near-duplicate groups: entries of a list that each entry meets; longer lists are finished in ``_crossing``.
-NEIGHBOURS = 8
-#: Common shingles come last in the order of prefixes: those repeated in one of so many texts, and how many of them.
-SAMPLED = 16
-COMMON = 200_000
+#: Near-duplicate groups: places of a signature, and how many of them 0.8 alike texts share at least.
+PLACES = 64
+LEAST_SHARED = 40
+#: Bytes of an index key, and how often lists that stay long are cut by another key.
+BAND = 4
+LEVELS = 4
 
 
-def _common(docs: DataFrame, text: str, width: int):
-    """Shingles that several sampled texts hold, and in how many, sorted by shingle.
-
-    They only order prefixes. Any order that all texts share finds every pair, so
-    the sample bears on list lengths, never on the result.
-    """
+def _orders():
+    """Multipliers and offsets that put shingle hashes in ``PLACES`` orders."""
     import numpy as np
-    import pyarrow as pa
 
-    arrow_bounds(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, width)).view(np.int64))], names=["s"])
+    rng = np.random.default_rng(42)
+    return rng.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, PLACES, dtype=np.uint64)
 
-    sample = docs.select(docs[text].alias("_text")).where(F.pmod(F.xxhash64("_text"), F.lit(SAMPLED)) == 0)
-    counts = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
-    rows = sorted(counts.orderBy(F.desc("n"), "s").limit(COMMON).collect())
-    return np.array([r.s for r in rows], dtype=np.int64), np.array([r.n for r in rows], dtype=np.int64)
 
+def signature(shingles, orders):
+    """A byte for each order, drawn from the set's least shingle in it, packed by ``BAND``.
 
-def prefix(shingles, common, least: float):
-    """The first of a text's distinct shingles, rare ones first: two sets at least ``least`` alike share one of theirs."""
+    Sets of Jaccard similarity s agree at each place with a chance of s + (1 - s) / 256,
+    wherever their differences stand in the text.
+    """
     import numpy as np
 
-    if not len(shingles):
-        return shingles
-    keys, counts = common
-    rank = np.zeros(len(shingles), dtype=np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-        rank = np.where(keys[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, rank))][: len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1]
+    times, plus = orders
+    least = np.full(PLACES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 2048):
+        np.minimum(least, (np.multiply.outer(times, shingles[at : at + 2048]) + plus[:, None]).min(axis=1), out=least)
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).view("<i4")
+
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """A row's identity where ids may repeat or be null: the text's hash, and the id unless it is null."""
+    return F.concat_ws("|", F.md5(F.coalesce(text, F.lit("")).cast("binary")), doc_id.cast("string"))
 
-def _marked_texts(docs: DataFrame, doc_id: str, text: str, width: int, least: float) -> DataFrame:
-    """_id, _h, digest (of the word sequence), n (distinct shingles) and prefix of each document."""
+
+def _marked_texts(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """_id, _key, digest (of the word sequence), n (distinct shingles) and bands (the signature) of each document."""
     import hashlib
 
     import pyarrow as pa
 
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, text, width))
-    source = docs.select(docs[doc_id].alias("_id"), F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("_h"), docs[text].alias("_text"))
+    arrow_bounds(docs.sparkSession)
+    source = docs.select(docs[doc_id].alias("_id"), _key(docs[doc_id], docs[text]).alias("_key"), docs[text].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        orders = _orders()
         for batch in batches:
-            digests, sizes, prefixes = [], [], []
+            digests, sizes, bands = [], [], []
             for t in batch.column(2).to_pylist():
                 digests.append(hashlib.md5(b" ".join((t or "").encode().translate(_LOWER).split())).digest())
-                shingles = np.unique(shingle_hashes(t, width).view(np.int64))
+                shingles = np.unique(shingle_hashes(t, width))
                 sizes.append(len(shingles))
-                prefixes.append(prefix(shingles, common.value, least))
-            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["_id", "_h", "digest", "n", "prefix"])
+                bands.append(signature(shingles, orders))
+            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["_id", "_key", "digest", "n", "bands"])
 
-    return source.mapInArrow(run, source.schema[:2].add("digest", "binary").add("n", "long").add("prefix", ArrayType(LongType())))
+    return source.mapInArrow(run, source.schema[:2].add("digest", "binary").add("n", "long").add("bands", ArrayType(IntegerType())))
 
 
-def _index(heads: DataFrame) -> DataFrame:
-    """s, n, i, node: each text under every shingle of its prefix, ``i`` its place there."""
-    return heads.select(F.posexplode("prefix").alias("i", "s"), "n", "node").select("s", "n", "i", "node")
+def shared_places(a: Column, b: Column) -> Column:
+    """The tally: at how many places two signatures hold the same byte."""
+    low = F.lit(0x7F7F7F7F).cast("long")
 
+    def zeros(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y).cast("long").bitwiseAND(0xFFFFFFFF)
+        return F.bit_count(F.bitwise_not((d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseOR(low)).bitwiseAND(0xFFFFFFFF))
 
-def may_be_alike(n, i, m, j, least: float):
-    """Whether sets of n and m shingles whose first common ones stand at i and j can be ``least`` alike.
+    return F.aggregate(F.zip_with(a, b, zeros), F.lit(0), lambda acc, x: acc + x)
 
-    A pair that is alike passes in the list of its first common shingle, so lists may drop the rest.
-    """
-    return min(n - i, m - j) * (1 + least) + 1e-6 >= least * (n + m)
 
+def _lists(rows: DataFrame) -> DataFrame:
+    """list, band, node: ``rows`` (list, band, node, bands) under every later band; lists of one are gone."""
+    cells = rows.select("list", "node", F.col("band").alias("_last"), F.posexplode("bands").alias("band", "value")).where(F.col("band") > F.col("_last"))
+    cells = cells.select(F.xxhash64("list", "band", "value").alias("list"), "band", "node")
+    several = cells.groupBy("list").agg(F.count("*").alias("_n")).where("_n > 1").select("list")
+    return cells.join(several, "list")
 
-def _neighbours(index: DataFrame, least: float) -> DataFrame:
-    """a, b: entries of one list, each with the next few that may be as large; and s of each list that is longer.
 
-    A list is walked in order of size, a row at a time: nothing is gathered. Lists of
-    up to ``NEIGHBOURS`` + 1 entries give all their pairs.
-    """
-    import pyarrow as pa
+def _stars(lists: DataFrame) -> DataFrame:
+    """a, b: the smallest node of each list with every other one."""
+    return lists.join(lists.groupBy("list").agg(F.min("node").alias("a")), "list").select("a", F.col("node").alias("b")).where("a <> b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, length, recent = None, 0, []
-        for batch in batches:
-            a, b, longer = [], [], []
-            for s, n, i, node in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if s != now:
-                    now, length, recent = s, 0, []
-                for size, place, other in recent:
-                    if may_be_alike(n, i, size, place, least):
-                        a.append(min(node, other))
-                        b.append(max(node, other))
-                length += 1
-                if length == NEIGHBOURS + 2:
-                    longer.append(s)
-                recent = [*recent[-NEIGHBOURS + 1 :], (n, i, node)]
-            none = [None] * len(longer)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a + none, b + none, [None] * len(a) + longer)], names=["a", "b", "s"])
-
-    return index.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, "a long, b long, s long")
+
+def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """list, band, node, root, n: the lists whose entries are not all in one group yet, with their lengths."""
+    rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("list").agg(F.min("root").alias("_r0"), F.max("root").alias("_r1"), F.count("*").alias("n")).where("_r0 < _r1")
+    return rooted.join(split, "list").select("list", "band", "node", "root", "n")
+
+
+def _crossing(mixed: DataFrame) -> DataFrame:
+    """a, b: pairs of one list that are in different groups."""
+    left, right = (mixed.select("list", F.col("node").alias(name), F.col("root").alias(f"r{name}")) for name in "ab")
+    return left.join(right, "list").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
+
+
+def _tallied(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs that share enough positional bytes and are near enough in size."""
+    left, right = (heads.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("bands").alias(f"s{name}")) for name in "ab")
+    both = pairs.distinct().join(left, "a").join(right, "b").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
+    return both.where(shared_places(F.col("sa"), F.col("sb")) >= LEAST_SHARED).select("a", "b")
 
 
 def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -272,65 +268,53 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, heads: DataFrame, keyed: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of at least ``least``."""
-    from frameloom.llm.common import bounded
-
+    """The pairs whose shingle sets have a Jaccard similarity of at least ``least``, stored."""
+    pairs = stored(_tallied(pairs, heads, least), "near-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(heads, "node")
-    wanted = stored(wanted.select("node", F.col("head._id").alias("_wid"), F.col("head._h").alias("_wh")), "near-wanted")
-    texts = keyed.join(bounded(wanted), keyed["_id"].eqNullSafe(F.col("_wid")) & (keyed["_h"] == F.col("_wh")))
-    sets = stored(_shingle_sets(texts, width), "near-shingles")
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").where(F.least(F.size("sa"), F.size("sb")) >= least * F.greatest(F.size("sa"), F.size("sb")))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("n", common).where(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
-
-
-def _crossing(heads: DataFrame, longer: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """a, b: pairs of long lists that no chain of links joins yet, and that may be as large."""
-    from frameloom.llm.common import bounded
-
-    entries = _index(heads).join(bounded(longer), "s").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    entries = stored(entries.select("s", "n", "i", "node", "root"), "near-crowded")
-    split = entries.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("s")
-    entries = entries.join(split, "s")
-    left, right = entries.select("s", F.col("n").alias("na"), F.col("i").alias("ia"), F.col("node").alias("a"), F.col("root").alias("ra")), entries.select("s", F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("node").alias("b"), F.col("root").alias("rb"))
-    fits = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (1 + least) + 1e-6 >= least * (F.col("na") + F.col("nb"))
-    return left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
+    wanted = stored(wanted.select("node", F.col("head._key").alias("_key")), "near-wanted")
+    sets = stored(_shingle_sets(keyed.join(bounded(wanted), "_key"), width).dropDuplicates(["node"]), "near-shingles")
+    left, right = (sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}")) for name in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    return stored(both.where(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"), "near-edges")
 
 
 def near_groups(docs: DataFrame, doc_id: str, text: str, width: int = 5, least: float = 0.8) -> DataFrame:
-    """_id, _h, root: documents with equal ``root`` are exact or near copies, linked directly or in a chain.
-
-    Texts are indexed under the rarest of their distinct shingles, as many as make sure
-    that two texts ``least`` alike share one: n - ceil(least n) + 1 of n, in an order
-    that is the same for all. Candidates are then compared exactly by the Jaccard
-    similarity of their shingle sets. Of long lists each entry meets its neighbours
-    first; then all pairs of them that are not yet in one group. Copies are collapsed before.
+    """_id, _key, root: documents with equal ``root`` are exact or near copies, linked directly or in a chain.
+
+    The index of positional bytes with count filtering, over signatures that follow the
+    Jaccard similarity of the texts' shingle sets: at 0.8 the bits of a SimHash differ too much
+    for any guaranteed minimum. Lists are keyed by ``BAND`` neighbouring bytes. Every entry of a list is
+    first compared with its smallest one. Of lists that are not one group then, short ones
+    give all pairs between groups, and long ones are cut by the bytes of another
+    band and treated alike; what is long after ``LEVELS`` bands gives all such pairs too, so
+    no list is ever capped. Candidates must share ``LEAST_SHARED`` of ``PLACES`` bytes and
+    are then compared exactly. Of pairs at 0.8 fewer than one in a thousand share no list or too
+    few bytes; exact copies are collapsed before and always meet.
     """
-    marked = stored(_marked_texts(docs, doc_id, text, width, least), "near-marks")
-    heads = marked.groupBy("digest").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min_by(F.struct("_id", "_h"), F.struct(F.col("_id").isNull(), "_id", "_h")).alias("head"))
+    marked = stored(_marked_texts(docs, doc_id, text, width), "near-marks")
+    heads = marked.groupBy("digest").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.min_by(F.struct("_id", "_key"), F.struct(F.col("_id").isNull(), "_id", "_key")).alias("head"))
     heads = stored(heads.withColumn("node", F.monotonically_increasing_id()), "near-heads")
-    keyed = docs.select(docs[doc_id].alias("_id"), F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("_h"), docs[text].alias("_text"))
-    found = stored(_neighbours(_index(heads), least), "near-found")
-    pairs = stored(found.where("a IS NOT NULL").select("a", "b").distinct(), "near-pairs")
-    edges = stored(_alike(pairs, heads, keyed, width, least), "near-edges")
+    keyed = docs.select(_key(docs[doc_id], docs[text]).alias("_key"), docs[text].alias("_text"))
+    first = heads.where("n > 0").select(F.lit(0).cast("long").alias("list"), F.lit(-1).alias("band"), "node", "bands")
+    lists = stored(_lists(first), "near-lists")
+    edges = _alike(_stars(lists), heads, keyed, width, least)
     roots = components(edges)
-    longer = stored(found.where("s IS NOT NULL").select("s"), "near-longer")
-    if not longer.isEmpty():
-        more = stored(_crossing(heads, longer, roots, least).join(pairs, ["a", "b"], "left_anti"), "near-crossing")
-        if not more.isEmpty():
-            roots = components(edges.union(_alike(more, heads, keyed, width, least)))
+    for level in range(1, LEVELS + 1):
+        mixed = stored(_mixed(lists, roots), "near-mixed")
+        if mixed.isEmpty():
+            break
+        cut = F.col("n") > (LIST_LENGTH if level < LEVELS else math.inf)
+        lists = stored(_lists(mixed.where(cut).drop("n").join(heads.select("node", "bands"), "node")), "near-lists")
+        edges = edges.union(_alike(_crossing(mixed.where(~cut)).union(_stars(lists)), heads, keyed, width, least))
+        roots = components(edges)
     named = heads.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return marked.select("_id", "_h", "digest").join(named, "digest").select("_id", "_h", "root")
+    return marked.select("_id", "_key", "digest").join(named, "digest").select("_id", "_key", "root")
 
 
 def near_deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of copies: that with the smallest id."""
-    from frameloom.llm.common import packed, unpacked
-
     groups = stored(near_groups(docs, doc_id, text, width, least), "near-groups")
-    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_h"))
-    kept = groups.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k._id").alias("_kid"), F.col("k._h").alias("_kh"))
-    keyed = packed(docs, _id=doc_id, _text=text).withColumn("_h", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")))
-    rows = keyed.join(kept, keyed["_id"].eqNullSafe(F.col("_kid")) & (keyed["_h"] == F.col("_kh"))).dropDuplicates(["_id", "_h"])
-    return unpacked(rows, docs.columns)
+    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_key"))
+    kept = stored(groups.groupBy("root").agg(F.min(order).alias("k")).select("k._key"), "near-kept")
+    rows = packed(docs, _id=doc_id, _text=text).select("_row", _key(F.col("_id"), F.col("_text")).alias("_key"))
+    return unpacked(rows.join(bounded(kept), "_key").dropDuplicates(["_key"]), docs.columns)
