@@ -10,7 +10,8 @@ changed rank is stale and skipped. A pre-token of n bytes so takes O(n) queue
 operations, which is what very long pre-tokens need.
 
 Nulls and empty texts encode to no ids. Rows repeat as they come; columns that are
-not asked for are never read.
+not asked for are never read; kept columns whose names the results take go on under the
+name with ``_in`` added.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from frameloom.llm.common import arrow_bounds
+from frameloom.llm.common import arrow_bounds, kept_names
 
 #: Pre-tokens remembered by a worker before it forgets all of them: bounds its memory.
 MEMO = 1_000_000
@@ -167,7 +168,9 @@ def encoded(docs: DataFrame, text: str, keep: list[str], ranks: dict[bytes, int]
     import pyarrow as pa
 
     arrow_bounds(docs.sparkSession)
-    source = docs.select(*keep, docs[text].alias("_text"))
+    own = ["n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if ids else [])]
+    kept = kept_names(keep, [*own, "_text"])
+    source = docs.select(*(docs[c].alias(n) for c, n in zip(keep, kept, strict=True)), docs[text].alias("_text"))
     key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +183,9 @@ def encoded(docs: DataFrame, text: str, keep: list[str], ranks: dict[bytes, int]
             cols.append(pa.array([len(p) // 4 for p in packed], pa.int64()))
             cols.append(pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()))
             cols.append(pa.array([hashlib.sha256(coder.decode(p)).hexdigest() for p in packed], pa.string()))
-            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
                 cols.append(pa.array([np.frombuffer(p, dtype="<i4") for p in packed], pa.list_(pa.int32())))
-                names.append("token_ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *own])
 
     schema = source.schema[:-1]
     for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *((("token_ids", T.ArrayType(T.IntegerType())),) if ids else ())):
@@ -197,12 +198,13 @@ def decoded(tokens: DataFrame, ids: str, keep: list[str], ranks: dict[bytes, int
     import pyarrow as pa
 
     arrow_bounds(tokens.sparkSession)
-    source = tokens.select(*keep, tokens[ids].alias("_ids"))
+    kept = kept_names(keep, ["text", "_ids"])
+    source = tokens.select(*(tokens[c].alias(n) for c, n in zip(keep, kept, strict=True)), tokens[ids].alias("_ids"))
     table = {rank: token for token, rank in ranks.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [b"".join(map(table.__getitem__, row or ())).decode("utf-8", "replace") for row in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=[*kept, "text"])
 
     return source.mapInArrow(run, source.schema[:-1].add("text", "string"))

@@ -95,11 +95,25 @@ def packed(rows: DataFrame, **named: str) -> DataFrame:
     return rows.select(whole.alias("_row"), *(F.col(f"`{column}`").alias(name) for name, column in named.items()))
 
 
-def unpacked(rows: DataFrame, columns: list[str], new: dict[str, Column] | None = None) -> DataFrame:
-    """The packed columns again, and the new ones; a new one takes the place of an old one of its name."""
+def kept_names(columns: list[str], new: list[str]) -> list[str]:
+    """Names of ``columns`` beside ``new`` ones: a column whose name is taken goes on as ``<name>_in``."""
+    out, taken = [], {n.lower() for n in (*new, *columns)}
+    for column in columns:
+        name = column
+        if column.lower() in {n.lower() for n in new}:
+            while name.lower() in taken:
+                name += "_in"
+            taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def unpacked(rows: DataFrame, columns: list[str], new: dict[str, Column] | None = None, replaced: str | None = None) -> DataFrame:
+    """The packed columns again, and the new ones; only ``replaced`` gives its place to a new one of its name."""
     new = new or {}
-    taken = {n.lower() for n in new}
-    return rows.select(*(F.col("_row").getField(c).alias(c) for c in columns if c.lower() not in taken), *(v.alias(n) for n, v in new.items()))
+    old = [c for c in columns if c != replaced]
+    names = kept_names(old, list(new))
+    return rows.select(*(F.col("_row").getField(c).alias(n) for c, n in zip(old, names, strict=True)), *(v.alias(n) for n, v in new.items()))
 
 
 def filtered(rows: DataFrame, condition: Column) -> DataFrame:
@@ -117,13 +131,16 @@ def doc_key(*cols: str) -> list[Column]:
     return [F.col(cols[0]).alias("_id"), F.md5(F.coalesce(F.col(cols[1]), F.lit("")).cast("binary")).alias("_h")]
 
 
-#: Rows of a stored side that may be broadcast, a few tens of bytes each.
+#: Rows and bytes (as JSON text) of a stored side that may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def bounded(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``side``, a stored DataFrame, hinted for broadcast if it has at most ``most`` rows.
+    """``side``, a stored DataFrame, hinted for broadcast if it is small by rows and by bytes.
 
     Beyond that Spark plans a shuffled join, with the same rows.
     """
-    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in side.columns))))
+    rows, held = side.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(side) if rows <= most and held <= BROADCAST_BYTES else side

@@ -14,7 +14,9 @@ of their id: a documented bound on what reaches the driver. Scoring is one narro
 pass over all texts with 2**16 numbers a task and a bounded memo of words.
 
 Defined cases: null and empty texts score as an empty average (the bias alone); with
-one label only, or none, every score is the share of label 1 (0.5 with none).
+one label only, or none, every score is the share of label 1 (0.5 with none); repeated rows
+are scored alike; an id that is labelled twice counts as toxic if either label is; kept columns
+called score go on as score_in; texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import arrow_bounds
+from frameloom.llm.common import arrow_bounds, kept_names
 
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 16
@@ -173,7 +175,8 @@ def scored(docs: DataFrame, text: str, keep: list[str], model: Model) -> DataFra
     import pyarrow as pa
 
     arrow_bounds(docs.sparkSession)
-    source = docs.select(*keep, docs[text].alias("_text"))
+    kept = kept_names(keep, ["score", "_text"])
+    source = docs.select(*(docs[c].alias(n) for c, n in zip(keep, kept, strict=True)), docs[text].alias("_text"))
     weights, bias = model.weights, model.bias
     key = crc32(repr((weights, bias)).encode())
 
@@ -200,6 +203,6 @@ def scored(docs: DataFrame, text: str, keep: list[str], model: Model) -> DataFra
                 first = np.array(window_starts(n))
                 last = np.minimum(first + WINDOW, n)
                 out.append((bias + SCALE * (total[last] - total[first]) / np.maximum(last - first, 1)).max())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(_sigmoid(np.array(out, dtype=np.float64)))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(_sigmoid(np.array(out, dtype=np.float64)))], names=[*kept, "score"])
 
     return source.mapInArrow(run, source.schema[:-1].add("score", "double"))

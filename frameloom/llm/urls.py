@@ -6,12 +6,15 @@ the labelled ones; gradient-boosted trees learn from them and judge the rest.
 
 Features are DataFrame expressions: lengths, depth, digit ratio, character entropy, parameter and
 hyphen counts, and statistics of the host's last label (how many URLs have it, how many
-labelled ones are blocked), counted over all rows by partial aggregation. At most ``SAMPLE_ROWS``
-labelled rows, those with the smallest hash of their URL, reach the driver to fit
-the trees, in numpy, over histograms. Scoring is a narrow pass with a few kilobytes of trees.
+labelled ones are blocked), counted over all rows by partial aggregation. Hosts are dealt to two
+halves, and a labelled URL sees the blocked share of the other half only: never its own
+label or one of its host. At most ``SAMPLE_ROWS`` distinct labelled URLs, those with the smallest
+hash, reach the driver to fit the trees, in numpy, over histograms. Scoring is a narrow pass with a
+few kilobytes of trees.
 
 Defined cases: null URLs and those without ``://`` have empty host and path and fit no rule;
-with labels of one kind only, every other URL gets that kind's share as its score;
+repeated rows are judged alike and count once in the fit; columns to keep whose names the
+results take go on under the name with ``_in`` added; with labels of one kind only, every other URL gets that kind's share as its score;
 without any label the score is 0.5 and the verdict allow.
 """
 
@@ -23,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import arrow_bounds, ascii_lower, bounded, stored
+from frameloom.llm.common import arrow_bounds, ascii_lower, bounded, kept_names, stored
 
 SAMPLE_ROWS = 20_000
 FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "params", "hyphens", "labels", "longest_digits", "suffix_count", "suffix_blocked")
@@ -79,9 +82,12 @@ def featured(ruled_urls: DataFrame, url: str) -> DataFrame:
     """``ruled_urls`` with the features as doubles. The suffix table is a row per last host label."""
     u = F.coalesce(F.col(url), F.lit(""))
     rows = ruled_urls.withColumn("_suffix", F.substring_index("host", ".", -1))
-    blocked, known = F.count_if(F.col("action") == "block"), F.count_if(F.col("action").isNotNull())
-    table = rows.groupBy("_suffix").agg(F.log1p(F.count("*")).alias("suffix_count"), ((blocked + 1) / (known + 2)).alias("suffix_blocked"))
-    rows = rows.join(bounded(stored(table, "suffixes")), "_suffix").drop("_suffix")
+    half = F.pmod(F.xxhash64("host"), F.lit(2))
+    share = lambda *halves: (F.count_if((F.col("action") == "block") & half.isin(*halves)) + 1) / (F.count_if(F.col("action").isNotNull() & half.isin(*halves)) + 2)
+    table = rows.groupBy("_suffix").agg(F.log1p(F.count("*")).alias("suffix_count"), share(0, 1).alias("_all"), share(0).alias("_of0"), share(1).alias("_of1"))
+    rows = rows.join(bounded(stored(table, "suffixes")), "_suffix")
+    rows = rows.withColumn("suffix_blocked", F.when(F.col("action").isNull(), F.col("_all")).when(half == 0, F.col("_of1")).otherwise(F.col("_of0")))
+    rows = rows.drop("_suffix", "_all", "_of0", "_of1")
     values = {
         "length": F.length(u),
         "host_length": F.length("host"),
@@ -173,11 +179,13 @@ def boost(x, y, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int =
 
 
 def fitted(rows: DataFrame, url: str, most: int = SAMPLE_ROWS) -> Trees:
-    """Trees over a bounded sample of labelled rows."""
+    """Trees over a bounded sample of labelled URLs, each once."""
     import numpy as np
 
     labelled = rows.where("action IS NOT NULL").select(F.xxhash64(url).alias("_o"), (F.col("action") == "block").cast("double").alias("_y"), *FEATURES)
-    sample = np.array([tuple(r)[1:] for r in labelled.orderBy("_o", "_y", *FEATURES).limit(most).collect()], dtype=np.float64).reshape(-1, len(FEATURES) + 1)
+    last = labelled.select("_o").distinct().orderBy("_o").limit(most).agg(F.max("_o")).first()[0]  # only hashes are shuffled
+    chosen = labelled.where(F.col("_o") <= (0 if last is None else last)).distinct()
+    sample = np.array([tuple(r)[1:] for r in chosen.orderBy("_o", "_y", *FEATURES).limit(most).collect()], dtype=np.float64).reshape(-1, len(FEATURES) + 1)
     return boost(sample[:, 1:], sample[:, 0])
 
 
@@ -185,9 +193,11 @@ def judged(urls: DataFrame, url: str, keep: list[str], rules: list[Rule], most:
     """``keep`` with host, path, rule, verdict and block_score (the trees')."""
     import pyarrow as pa
 
-    rows = stored(featured(ruled(urls.select(*keep, *([url] if url not in keep else [])), url, rules), url), "url-features")
-    model = fitted(rows, url, most)
-    out = [*keep, "host", "path", "rule", "action"]
+    own = [f"_k{i}" for i in range(len(keep))]  # no kept name can meet one of ours
+    plain = urls.select(*(urls[c].alias(k) for c, k in zip(keep, own, strict=True)), urls[url].alias("_url"))
+    rows = stored(featured(ruled(plain, "_url", rules), "_url"), "url-features")
+    model = fitted(rows, "_url", most)
+    out = [*own, "host", "path", "rule", "action"]
     source = rows.select(*out, *FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,4 +210,6 @@ def judged(urls: DataFrame, url: str, keep: list[str], rules: list[Rule], most:
     arrow_bounds(urls.sparkSession)
     scored = source.mapInArrow(run, source.schema[: len(out)].add("block_score", "double"))
     by_model = F.when(F.col("block_score") > 0.5, "block").otherwise("allow")
-    return scored.withColumn("verdict", F.coalesce("action", by_model)).drop("action")
+    results = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "block_score": F.col("block_score"), "verdict": F.coalesce("action", by_model)}
+    names = kept_names(keep, list(results))
+    return scored.select(*(F.col(k).alias(n) for k, n in zip(own, names, strict=True)), *(v.alias(n) for n, v in results.items()))
