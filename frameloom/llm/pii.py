@@ -26,7 +26,11 @@ from frameloom.llm.common import packed, unpacked
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Characters before a span that are searched for context words.
 CONTEXT = 48
-SPAN = "array<struct<start:int,end:int,text:string>>"
+#: Spans folded at a time; a fold copies what it has, so long ones are cut.
+BLOCK = 128
+#: Matches that fill a context, of four characters at least.
+LEAD = CONTEXT // 4
+SPAN = "array<struct<start:int,end:int,text:string,before:string>>"
 
 
 @dataclass(frozen=True)
@@ -54,18 +58,58 @@ KINDS = (
 THRESHOLD = 0.5
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def proposals(text: Column, pattern: str) -> Column:
-    """Spans (start, end, text) of the leftmost non-overlapping matches; code points, end exclusive."""
+    """Spans (start, end, text, before) of the leftmost non-overlapping matches; code points, end exclusive.
+
+    Running sums are folded in blocks, so that a span costs the same however many a text has;
+    ``before``, the characters in front of a span, is carried along and never cut out of the text.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.char_length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
+    def part(gap: Column, hit: Column) -> Column:
+        return F.struct(F.char_length(gap).alias("gap"), F.right(gap, F.lit(CONTEXT)).alias("near"), hit.alias("hit"))
+
+    parts = F.zip_with(F.split(text, pattern, -1), found, part)  # what follows the last match has no hit
+    return _let(F.filter(parts, lambda x: x["hit"].isNotNull()), _placed)
+
+
+def _add(acc: Column, x: Column) -> Column:
+    begin = acc["at"] + x["gap"]
+    end = begin + F.char_length(x["hit"])
+    before = F.right(F.concat(acc["tail"], x["near"]), F.lit(CONTEXT))
+    span = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text"), before.alias("before"))
+    return F.struct(end.alias("at"), F.right(F.concat(before, x["hit"]), F.lit(CONTEXT)).alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+
+def _placed(parts: Column) -> Column:
+    """The spans of (gap, near, hit) in order."""
+    last = F.floor((F.size(parts) - 1) / BLOCK).cast("int")
+    blocks = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(parts, b * BLOCK + 1, BLOCK)))
+    length = lambda acc, x: acc + x["gap"] + F.char_length(x["hit"])
+
+    def led(block: Column, b: Column) -> Column:
+        lead = F.transform(F.slice(parts, b * BLOCK + 1 - LEAD, LEAD), lambda x: F.concat(x["near"], F.right(x["hit"], F.lit(CONTEXT))))
+        tail = F.when(b > 0, F.right(F.array_join(lead, ""), F.lit(CONTEXT))).otherwise(F.lit(""))
+        return F.struct(block.alias("block"), F.aggregate(block, F.lit(0), length).alias("long"), tail.alias("tail"))
+
+    def start(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x["long"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def spans(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(blocks, zero, start, lambda acc: acc["out"])
+
+        def of(x: Column, at: Column) -> Column:
+            return F.aggregate(x["block"], F.struct(at.alias("at"), x["tail"].alias("tail"), F.array().cast(SPAN).alias("out")), _add, lambda acc: acc["out"])
+
+        return F.flatten(F.zip_with(blocks, starts, of))
 
-    return F.aggregate(parts, start, add, lambda acc: acc["out"])
+    return _let(F.transform(blocks, led), spans)
 
 
 def luhn(span: Column) -> Column:
@@ -102,12 +146,11 @@ def confirmed(kind: str, span: Column) -> Column:
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,score:double,base:boolean,text:string>>"
 
 
-def _scored(kind: Kind, body: Column):
+def _scored(kind: Kind):
     """A span with its score: prior, what its check adds, and a bonus for context words before it."""
 
     def of(x: Column) -> Column:
-        before = F.lower(F.substr(body, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT))))
-        bonus = F.when(before.rlike(rf"\b(?:{kind.context})"), 0.2).otherwise(0.0)
+        bonus = F.when(F.lower(x["before"]).rlike(rf"\b(?:{kind.context})"), 0.2).otherwise(0.0)
         checked = 0.4 if kind.name in ("card", "iban") else 0.1
         return F.struct(
             x["start"].alias("start"),
@@ -136,7 +179,7 @@ def found(docs: DataFrame, text: str) -> DataFrame:
     for kind in KINDS:
         likely = body.contains(kind.hint) if kind.hint else F.lit(True)
         spans = F.when(likely & body.rlike(kind.pattern), proposals(body, kind.pattern))
-        kept = F.transform(F.filter(spans, _confirming(kind)), _scored(kind, body))
+        kept = F.transform(F.filter(spans, _confirming(kind)), _scored(kind))
         if not kind.base:
             kept = F.filter(kept, lambda x: x["score"] >= THRESHOLD)
         kinds.append(F.coalesce(kept, F.array().cast(SPANS)))
