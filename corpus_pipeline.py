@@ -5,8 +5,8 @@
    which nothing is left goes with them.
 3. near_dedup: of each group of exact and near copies (five-word shingles, similarity of
    0.8 or more) the document with the smallest id stays.
-4. decontaminate: documents that hold a benchmark window of eight or more words go. Shorter
-   items are too common in clean text to tell anything and remove nothing.
+4. decontaminate: documents that hold a benchmark window go (items of fewer than ten words
+   are one window; ``least`` raises the words that a window needs).
 5. tokens: byte-level BPE ids of what is left, checked by decoding them.
 
 All stages but the last return the columns of ``documents``. SQL cannot express the
@@ -19,12 +19,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from frameloom.llm import bpe, decontaminate, linededup, quality, simhash
-from frameloom.llm.common import SPACE_CHARS, filtered, scratch_path
-
-LEAST_WINDOW = 8
+from frameloom.llm.common import scratch_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,22 +29,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.deduped(docs)
-    emptied = (F.col("n_dropped") > 0) & (F.length(F.trim(F.col("text"), F.lit(SPACE_CHARS))) == 0)
-    out = filtered(out, ~emptied)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return linededup.trimmed(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.near_deduped(docs)
 
 
-def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    marked = decontaminate.marked(docs, items)
-    return filtered(marked, ~F.exists("hits", lambda x: x["length"] >= LEAST_WINDOW)).select(*docs.columns)
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: int = 1) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=least)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

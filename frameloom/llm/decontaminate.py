@@ -1,32 +1,36 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index stores postings (term, document, position) of training tokens. A test item
-is cut into windows of ``WIDTH`` consecutive words (a shorter item is one window). For
-each window the two rarest terms in the whole corpus are looked up: a posting of the
-rarest at position p, where the term stands at offset o of the item, proposes that
-the item starts at p - o; the second rarest must have a posting at the matching
-place. Lists are so intersected from the rarest, and only terms that are among the two
-rarest of some window are indexed for a search. What survives is compared word by
-word with the document: matches are exact.
+The index stores postings (term, document, position) of training tokens. Test items
+are cut into windows of ``WIDTH`` consecutive words (a shorter item is one window), and
+equal windows are one, whichever items hold them. For each window the two rarest terms
+in the whole corpus are looked up: their offsets in the window give the distance at which
+both must stand. Every distinct pair of terms at a distance is searched once: postings of the
+rarer propose places, and the other must have a posting at the matching one. Lists are
+so intersected from the rarest, and only terms that are among the two rarest of some
+window are indexed. A match of a pair proposes its windows at one start each; what survives is
+compared with the document's words there, by a hash of 64 bits over the whole window.
+
+So a document proposes at most a start for each of its words and each window that has the pair
+there, also where words repeat: an item of one word over and over is a single window.
 
 Passes: term counts (partial aggregation by term of the items only), postings, and
-the comparison, which joins documents once by id. The items' vocabulary and anchors
-are broadcast only up to a checked number of rows, else joined by shuffle. A passage
-in a third of all documents adds postings to many tasks: lists are joined by
-document, term and position, never gathered by term.
+the comparison, which joins documents once by id. What comes from the items is broadcast only
+up to a checked size, else joined by shuffle. A passage in a third of all documents adds
+postings to many tasks: lists are joined by document, term and position, never
+gathered by term. A document gathers starts and window names, never words of items.
 
 Defined cases: null text has no words; items without words never match; an item whose
 id is null marks words but is not named; repeated items count once; repeated rows of
-a document are judged alike; with no items nothing is contaminated.
+a document are judged alike; with no items nothing is contaminated; columns of the input
+whose names the results take are kept under the name with ``_in`` added.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from frameloom.llm.common import ascii_lower, bounded, doc_key, packed, stored, unpacked
+from frameloom.llm.common import ascii_lower, bounded, doc_key, filtered, packed, stored, unpacked
 
 WIDTH = 10
 #: What separates words: ASCII but for digits and lower-case letters (after lower-casing).
@@ -37,15 +41,18 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAKS), "")
 
 
-def item_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """item (a number for each distinct item), item_id, toks, and every window's offset."""
-    out = items.select(items[item_id].alias("item_id"), tokens(items[text]).alias("toks")).distinct().where(F.size("toks") > 0)
-    return out.select(F.md5(F.concat_ws("\x01", F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.array_join("toks", " "))).alias("item"), "item_id", "toks")
+def item_windows(items: DataFrame, item_id: str, text: str, width: int = WIDTH) -> DataFrame:
+    """win (a hash of the words), toks, and the sorted ids of the items that hold it, of every distinct window."""
+    out = items.select(items[item_id].alias("id"), tokens(items[text]).alias("toks")).where(F.size("toks") > 0)
+    at = F.sequence(F.lit(1), F.greatest(F.size("toks") - width + 1, F.lit(1)))
+    out = out.select("id", F.explode(F.array_distinct(F.transform(at, lambda i: F.slice("toks", i, width)))).alias("toks"))
+    return out.groupBy("toks").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.xxhash64("toks").alias("win"), "toks", "ids")
 
 
 def postings(docs: DataFrame, doc_id: str, text: str, terms: DataFrame | None = None) -> DataFrame:
     """The positional index: term, _id, _h, pos. ``terms`` (stored, one column) limits it to those."""
-    rows = docs.select(docs[doc_id].alias("_did"), docs[text].alias("_dt")).select(*doc_key("_did", "_dt"), F.posexplode(tokens(F.col("_dt"))).alias("pos", "term"))
+    rows = docs.select(docs[doc_id].alias("_did"), docs[text].alias("_dt")).select(*doc_key("_did", "_dt"), tokens(F.col("_dt")).alias("_t"))
+    rows = rows.select("_id", "_h", F.posexplode("_t").alias("pos", "term"))
     if terms is not None:
         rows = rows.join(bounded(terms), "term")
     return rows.select("term", "_id", "_h", "pos")
@@ -57,42 +64,40 @@ def term_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     return rows.join(bounded(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def anchors(items: DataFrame, counts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item, t1, o1, t2, o2: rarest and second rarest term of each window with their offsets in the item.
+def anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """win, n (its words), t1, o1, t2, gap: rarest and second rarest term of each window, the offset of one and its distance to the other.
 
     A window with a term that no document holds cannot occur and has no anchors.
     """
-    starts = items.select("item", "toks", F.explode(F.sequence(F.lit(0), F.greatest(F.size("toks") - width, F.lit(0)))).alias("w"))
-    cells = starts.select("item", "w", F.posexplode(F.slice("toks", F.col("w") + 1, width)).alias("i", "term"))
-    known = cells.join(counts, "term", "left")
-    whole = known.groupBy("item", "w").agg(F.min(F.col("n").isNotNull()).alias("all"))
-    order = Window.partitionBy("item", "w").orderBy("n", "i")
-    ranked = known.join(whole.where("all"), ["item", "w"]).withColumn("r", F.row_number().over(order)).where("r <= 2")
-    first = ranked.where("r = 1").select("item", "w", F.col("term").alias("t1"), (F.col("w") + F.col("i")).alias("o1"))
-    second = ranked.where("r = 2").select("item", "w", F.col("term").alias("t2"), (F.col("w") + F.col("i")).alias("o2"))
-    both = first.join(second, ["item", "w"], "left")
-    return both.select("item", "t1", "o1", F.coalesce("t2", "t1").alias("t2"), F.coalesce("o2", "o1").alias("o2")).distinct()
+    cells = windows.select("win", F.size("toks").alias("n"), F.posexplode("toks").alias("i", "term"))
+    known = cells.join(bounded(counts.withColumnRenamed("n", "count")), "term", "left")
+    order = F.array_sort(F.collect_list(F.struct("count", "i", "term")))  # at most as many as a window has words
+    whole = known.groupBy("win", "n").agg(order.alias("c"), F.min(F.col("count").isNotNull()).alias("all")).where("all")
+    first, second = F.col("c")[0], F.coalesce(F.get("c", F.lit(1)), F.col("c")[0])
+    return whole.select("win", "n", first["term"].alias("t1"), first["i"].alias("o1"), second["term"].alias("t2"), (second["i"] - first["i"]).alias("gap"))
 
 
 def alignments(index: DataFrame, marks: DataFrame, slop: int = 0) -> DataFrame:
-    """item, _id, _h, at: where an item may start, by intersecting the two rarest lists.
+    """win, n, _id, _h, at: where a window may start, by intersecting the two rarest lists.
 
     With ``slop`` the second term may stand up to that many words off its place,
     which gives proximity instead of phrase candidates.
     """
-    first = index.join(bounded(marks), index["term"] == marks["t1"])
-    wanted = first.select("item", "_id", "_h", (F.col("pos") - F.col("o1")).alias("at"), F.col("t2").alias("term"), F.explode(F.sequence((F.col("pos") - F.col("o1") + F.col("o2") - slop), (F.col("pos") - F.col("o1") + F.col("o2") + slop))).alias("pos"))
+    pairs = marks.select("t1", "t2", "gap").distinct()
+    first = index.join(bounded(stored(pairs, "term-pairs")), index["term"] == F.col("t1"))
+    place = F.col("pos") + F.col("gap")
+    wanted = first.select("t1", "t2", "gap", "_id", "_h", F.col("pos").alias("p1"), F.explode(F.sequence(place - slop, place + slop)).alias("p2"))
     other = index.select(F.col("term").alias("_t"), F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), F.col("pos").alias("_p"))
-    met = wanted.join(other, (wanted["term"] == other["_t"]) & (wanted["pos"] == other["_p"]) & wanted["_id"].eqNullSafe(other["_id2"]) & (wanted["_h"] == other["_h2"]), "left_semi")
-    return met.select("item", "_id", "_h", "at").distinct()
+    met = wanted.join(other, (F.col("t2") == F.col("_t")) & (F.col("p2") == F.col("_p")) & F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left_semi")
+    return met.join(bounded(marks), ["t1", "t2", "gap"]).select("win", "n", "_id", "_h", (F.col("p1") - F.col("o1")).alias("at")).where("at >= 0").distinct()
 
 
 def search(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, width: int = WIDTH, slop: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(items with their words, candidate alignments), both stored."""
-    known = stored(item_windows(items, item_id, item_text), "items")
+    """(distinct windows of the items, candidate alignments); the windows are stored."""
+    known = stored(item_windows(items, item_id, item_text, width), "windows")
     vocabulary = stored(known.select(F.explode("toks").alias("term")).distinct(), "item-terms")
     counts = stored(term_counts(docs, text, vocabulary), "term-counts")
-    marks = stored(anchors(known, counts, width), "anchors")
+    marks = stored(anchors(known, counts), "anchors")
     terms = stored(marks.select(F.explode(F.array("t1", "t2")).alias("term")).distinct(), "anchor-terms")
     index = stored(postings(docs, doc_id, text, terms), "postings")
     return known, alignments(index, marks, slop)
@@ -101,40 +106,44 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: s
 def proximity(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, slop: int = 3, width: int = WIDTH) -> DataFrame:
     """doc_id, item_id: documents where a window's two rarest terms stand within ``slop`` words of their distance."""
     known, near = search(docs, items, doc_id, text, item_id, item_text, width, slop)
-    return near.join(known.select("item", "item_id"), "item").select(F.col("_id").alias("doc_id"), "item_id").distinct()
+    held = near.select("win", "_id").distinct().join(known.select("win", F.explode("ids").alias("item_id")), "win")
+    return held.select(F.col("_id").alias("doc_id"), "item_id").distinct()
 
 
-def marked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with n_words, hits (array of start, length) and hit_items (distinct item ids as strings, sorted)."""
+def _marked(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, width: int) -> tuple[DataFrame, dict[str, Column]]:
+    """The packed documents with their matches, and what ``marked`` adds."""
     known, at = search(docs, items, doc_id, text, item_id, item_text, width)
-    toks = known.select("item", "item_id", F.col("toks").alias("itoks"))
-    per_doc = at.join(bounded(toks), "item").groupBy("_id", "_h").agg(F.collect_list(F.struct(F.col("item_id").cast("string").alias("item_id"), "at", "itoks")).alias("_c"))
+    ids = known.select("win", "ids")
+    per_doc = at.join(bounded(ids), "win").groupBy("_id", "_h").agg(F.collect_list(F.struct("at", "n", "win", "ids")).alias("_c"))
     per_doc = per_doc.withColumnsRenamed({"_id": "_cid", "_h": "_ch"})
     keyed = packed(docs, _id=doc_id, _text=text).withColumn("_h", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")))
     rows = keyed.join(per_doc, keyed["_id"].eqNullSafe(F.col("_cid")) & (keyed["_h"] == F.col("_ch")), "left")
     rows = rows.withColumn("_t", tokens(F.col("_text")))
-
-    def starts(c: Column) -> Column:
-        n = F.least(F.size(c["itoks"]), F.lit(width))
-        same = F.transform(c["itoks"], lambda t, i: F.coalesce(F.get(F.col("_t"), c["at"] + i) == t, F.lit(False)))
-        return F.struct(c["item_id"].alias("item_id"), c["at"].alias("at"), n.alias("n"), same.alias("same"))
-
-    def hits(c: Column) -> Column:
-        offsets = F.filter(F.sequence(F.lit(0), F.size(c["same"]) - c["n"]), lambda s: ~F.array_contains(F.slice(c["same"], s + 1, c["n"]), False))
-        return F.struct(c["item_id"].alias("item_id"), F.transform(offsets, lambda s: F.struct((c["at"] + s).alias("start"), c["n"].alias("length"))).alias("at"))
-
-    rows = rows.withColumn("_m", F.filter(F.transform(F.transform("_c", starts), hits), lambda x: F.size(x["at"]) > 0))
-    spans = F.sort_array(F.array_distinct(F.flatten(F.transform("_m", lambda x: x["at"]))))
-    names = F.sort_array(F.array_distinct(F.filter(F.transform("_m", lambda x: x["item_id"]), lambda x: x.isNotNull())))
-    hit = "array<struct<start:int,length:int>>"
-    new = {
+    there = lambda c: F.xxhash64(F.transform(F.sequence(c["at"], c["at"] + c["n"] - 1), lambda i: F.get("_t", i)))  # noqa: E731  a slice would copy all words
+    rows = rows.withColumn("_m", F.filter("_c", lambda c: (c["at"] + c["n"] <= F.size("_t")) & (there(c) == c["win"])))
+    spans = F.sort_array(F.transform("_m", lambda c: F.struct(c["at"].alias("start"), c["n"].alias("length"))))
+    names = F.sort_array(F.array_distinct(F.flatten(F.transform("_m", lambda c: c["ids"])).cast("array<string>")))
+    hit = "array<struct<start:int,length:int>>"  # distinct, as candidates are
+    return rows, {
         "n_words": F.size("_t").cast("long"),
         "hits": F.coalesce(spans, F.array().cast(hit)),
         "hit_items": F.coalesce(names, F.array().cast("array<string>")),
     }
+
+
+def marked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with n_words, hits (array of start, length) and hit_items (distinct item ids as strings, sorted)."""
+    rows, new = _marked(docs, items, doc_id, text, item_id, item_text, width)
     return unpacked(rows, docs.columns, new)
 
 
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, least: int = 1) -> DataFrame:
+    """The documents without a window of at least ``least`` words, with their own columns only."""
+    rows, _ = _marked(docs, items, doc_id, text, item_id, item_text, width)
+    found = F.coalesce(F.exists("_m", lambda c: c["n"] >= least), F.lit(False))
+    return unpacked(filtered(rows, ~found), docs.columns)
+
+
 def covered(hits: Column) -> Column:
     """Words inside at least one hit. ``hits`` is sorted by start."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))

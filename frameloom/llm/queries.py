@@ -145,8 +145,8 @@ def _line_sql() -> str:
     wild = " ".join(f"UNION ALL SELECT doc_id, no, '{i}|' || len(k) || '|' || array_to_string(k[1:{d} + {i} * {size}], ' ') || '|<*>|' || array_to_string(k[{d} + {i + 1} * {size} + 1:], ' ') FROM tk WHERE len(k) >= {least}" for i in range(b))
     return rf"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, ls[i] AS t, i AS no FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)),
         tk AS (SELECT * FROM (SELECT doc_id, no, list_transform({_WORDS}, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS k FROM e) WHERE len(k) > 0),
-        keys AS (SELECT doc_id, no, '=' || array_to_string(k, ' ') AS key FROM tk {wild}),
-        rec AS (SELECT key, min(doc_id) AS first FROM keys GROUP BY 1 HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
+        keys AS (SELECT doc_id, no, CASE WHEN len(k) >= {linededup.LONG_TOKENS} THEN '==' ELSE '=' END || array_to_string(k, ' ') AS key FROM tk {wild}),
+        rec AS (SELECT key, min(doc_id) AS first FROM keys GROUP BY 1 HAVING count(DISTINCT doc_id) >= CASE WHEN key LIKE '==%' THEN 2 ELSE {linededup.MIN_DOCS} END),
         gone AS (SELECT doc_id, list(DISTINCT no) AS g FROM keys JOIN rec ON keys.key = rec.key WHERE doc_id <> first GROUP BY 1)
         SELECT l.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(g), 0) AS n_dropped, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(g, i)), lambda i: ls[i]), chr(10)) END AS text FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id"""
 
