@@ -162,3 +162,34 @@ def test_long_lists_are_compared_whole(docs):
                 parent = [min(a, b) if p in (a, b) else p for p in parent]
     assert {parent[i] for i in range(120)} == {0} and parent[180] == 0
     assert {r.doc_id for r in simhash.near_deduped(docs(texts)).collect()} == set(parent)
+
+
+def test_every_kind_of_edit_is_found_in_families_of_any_size(docs):
+    rnd = random.Random(31)
+    texts, pairs = [], []
+    for g in range(160):
+        words = ["k%d_%d" % (g, i) for i in range(rnd.randint(80, 400))]
+        least, n = rnd.choice((0.8, 0.85, 0.9, 0.95)), len(words) - 4
+        more = ["y%d_%d" % (g, i) for i in range(300)]
+        extra = int(n / least) - n
+        swaps = max(1, int(n * (1 - least) / (1 + least) / 5))
+        other = {
+            0: lambda: words + more[:extra],
+            1: lambda: more[:extra] + words,
+            2: lambda: words[extra:] if (n - extra) / n >= least else words[max(1, int(n * (1 - least))) :],
+            3: lambda: [more[i // 9] if i % 9 == 4 and i // 9 < swaps else w for i, w in enumerate(words)],
+        }[g % 4]()
+        a, b = " ".join(words), " ".join(other)
+        if jaccard(a, b) >= 0.8:
+            pairs.append((len(texts), len(texts) + 1))
+        texts += [a, b]
+    assert len(pairs) > 120
+    kept = {r.doc_id for r in simhash.near_deduped(docs(texts)).collect()}
+    assert all(a in kept for a, _ in pairs)
+    assert sum(b not in kept for _, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_near_deduped_keeps_clashing_columns(docs):
+    rows = docs(["one two three four five six", "ONE two three four five six", "other"]).toDF("doc_id", "text", "n", "_key", "root", "node")
+    out = {r.doc_id: r.asDict() for r in simhash.near_deduped(rows).collect()}
+    assert set(out) == {0, 2} and out[2]["node"] == "x2" and out[2]["_key"] == "s" and out[0]["_key"] is None
