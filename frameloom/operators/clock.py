@@ -75,6 +75,7 @@ def model_confidence(has_seizure: Column, has_logs: Column, agrees: Column, jump
 def with_model(frames: DataFrame, models: DataFrame, channel: str, cols: list[str]) -> DataFrame:
     """Each frame with the model of its channel, else that of no channel."""
     own = models.where(F.col(channel).isNotNull()).select(F.col(channel).alias("_c"), *(F.col(c).alias(f"_own_{c}") for c in cols), F.lit(True).alias("_has"))
-    rest = models.where(F.col(channel).isNull()).select(*(F.col(c).alias(f"_all_{c}") for c in cols)).limit(1)
+    least = models.where(F.col(channel).isNull()).agg(F.min(F.struct(*cols)).alias("m"))  # one row; the least if there are several
+    rest = least.select(*(F.col("m").getField(c).alias(f"_all_{c}") for c in cols))
     out = frames.join(own, frames[channel] == own["_c"], "left").join(rest, F.lit(True), "left")
     return out.select(*frames.columns, *(F.when(F.col("_has"), F.col(f"_own_{c}")).otherwise(F.col(f"_all_{c}")).alias(c) for c in cols))

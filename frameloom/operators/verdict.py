@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from frameloom.operators.intervals import nearest_within
 
@@ -51,10 +50,10 @@ def verdicts(spans: DataFrame, live: DataFrame, logs: DataFrame, channel: str, r
 
 def shared_start(findings: DataFrame, channel: str) -> DataFrame:
     """Format findings of one action on two or more channels begin at the earliest of their starts."""
-    w = Window.partitionBy("method", "action_us")
-    many = F.size(F.collect_set(channel).over(w)) >= 2
-    shared = (F.col("method") == "format") & F.col("action_us").isNotNull() & many
-    return findings.withColumn("start_us", F.when(shared, F.min("start_us").over(w)).otherwise(F.col("start_us")))
+    counted = findings.where((F.col("method") == "format") & F.col("action_us").isNotNull())
+    actions = counted.groupBy(F.col("action_us").alias("_action")).agg(F.min("start_us").alias("_first"), F.min(channel).alias("_c0"), F.max(channel).alias("_c1")).where("_c0 <> _c1")
+    out = findings.join(actions, (F.col("method") == "format") & (F.col("action_us") == F.col("_action")), "left")
+    return out.withColumn("start_us", F.coalesce("_first", "start_us")).select(*findings.columns)
 
 
 def wraparound(recordings: DataFrame, channel: str, id_: str, start: str, end: str, place: str) -> DataFrame:

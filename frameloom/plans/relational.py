@@ -393,11 +393,11 @@ def cross_case_first(spark, sf):
     return first_case(table(spark, sf, "part").select(F.col("p_size").cast("long").alias("id"), F.col("p_brand").alias("case_id")))
 
 
-@query("set_equality", f"WITH {FR}, a AS (SELECT channel, off FROM fr WHERE off % 2 = 0), b AS (SELECT channel, off FROM fr WHERE off % 2 = 0 AND off % 500 <> 0) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right")
+@query("set_equality", f"WITH {FR}, a AS (SELECT channel, off FROM fr), b AS (SELECT channel, CASE WHEN off % 500 = 0 THEN -off ELSE off END AS off FROM fr) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right")
 def set_equality(spark, sf):
     """Rows that either of two results has alone, whatever their order: both zero means equal. One aggregation."""
     fr = frames(spark, sf)
-    a, b = fr.where("off % 2 = 0").select("channel", "off", F.lit(1).alias("n")), fr.where("off % 2 = 0 AND off % 500 <> 0").select("channel", "off", F.lit(-1).alias("n"))
+    a, b = fr.select("channel", "off", F.lit(1).alias("n")), fr.select("channel", F.expr("CASE WHEN off % 500 = 0 THEN -off ELSE off END").alias("off"), F.lit(-1).alias("n"))
     d = a.unionByName(b).groupBy("channel", "off").agg(F.sum("n").alias("n"))
     return d.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("only_left"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("only_right"))
 

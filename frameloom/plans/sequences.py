@@ -109,12 +109,12 @@ def nearest_log_correlation(spark, sf):
     return nearest_within(asks, logs, "qid", "at", "log_ts", ["log_ts", "log_id"], H).select("qid", "log_id", "log_kind")
 
 
-_CH = "ch AS (SELECT channel, off, ts_us + (off % 7) * {h} AS old_us, ts_us + (off % 7) * {h} + CASE WHEN off % 2 = 0 THEN -{h} ELSE {h} // 2 END AS new_us FROM fr WHERE kind = 'signup' AND ts_us IS NOT NULL AND channel <= 40)".format(h=H)
+_CH = "ch AS (SELECT channel, off, ts_us + (off % 7) * {h} AS old_us, ts_us + (off % 7) * {h} + CASE WHEN off % 2 = 0 THEN -{h} ELSE {h} // 2 END AS new_us FROM fr WHERE kind = 'signup' AND ts_us IS NOT NULL)".format(h=H)
 
 
 def _changes(spark, sf):
     old = F.col("ts_us") + F.col("off") % 7 * H
-    fr = frames(spark, sf).where("kind = 'signup' AND ts_us IS NOT NULL AND channel <= 40")
+    fr = frames(spark, sf).where("kind = 'signup' AND ts_us IS NOT NULL")
     return fr.select("channel", old.alias("old_us"), (old + F.when(F.col("off") % 2 == 0, -H).otherwise(H // 2)).alias("new_us"))
 
 
@@ -133,13 +133,13 @@ def clock_segments(spark, sf):
     "segment_lookup",
     f"WITH {FR}, {_SEG}, q AS (SELECT channel, off, ts_us FROM fr WHERE ts_us IS NOT NULL), b AS (SELECT channel, min(from_us) AS s0, count(*) AS n FROM seg GROUP BY 1),"
     " hit AS (SELECT q.channel, q.off, arg_min(seg.i, {'d': least(coalesce(abs(q.ts_us - from_us), 9000000000000000000), coalesce(abs(q.ts_us - to_us), 9000000000000000000)), 'i': seg.i}) AS i FROM q JOIN seg ON q.channel = seg.channel AND (from_us IS NULL OR from_us <= q.ts_us) AND (to_us IS NULL OR q.ts_us < to_us) GROUP BY 1, 2)"
-    " SELECT q.channel, q.off, CAST(coalesce(hit.i, CASE WHEN q.ts_us < s0 THEN 0 ELSE n - 1 END) AS BIGINT) AS segment FROM q JOIN b ON q.channel = b.channel LEFT JOIN hit ON q.off = hit.off",
+    " SELECT q.channel, q.off, CAST(coalesce(hit.i, CASE WHEN q.ts_us < s0 THEN 0 ELSE n - 1 END) AS BIGINT) AS segment FROM q LEFT JOIN b ON q.channel = b.channel LEFT JOIN hit ON q.off = hit.off",
 )
 def segment_lookup(spark, sf):
     segs = clock.segments(_changes(spark, sf), ["channel"], F.lit(312_000_000))
     models = segs.groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("i", "from_us", "to_us"))).alias("segs"))
     fr = frames(spark, sf).where("ts_us IS NOT NULL")
-    return fr.join(models, "channel").select("channel", "off", clock.segment_of(F.col("ts_us"), F.col("segs")).cast("long").alias("segment"))
+    return fr.join(models, "channel", "left").select("channel", "off", clock.segment_of(F.col("ts_us"), F.col("segs")).cast("long").alias("segment"))
 
 
 @query(
@@ -175,12 +175,12 @@ def normalise_tiers(spark, sf):
 
 @query(
     "interpolate_missing",
-    f"WITH {FR}, g AS (SELECT channel, off, ts_us AS t FROM fr WHERE channel % 9 <> 0 OR off % 2 = 0), k AS (SELECT *, max(CASE WHEN t IS NOT NULL THEN off END) OVER (PARTITION BY channel ORDER BY off) AS a, min(CASE WHEN t IS NOT NULL THEN off END) OVER (PARTITION BY channel ORDER BY off ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z FROM g)"
+    f"WITH {FR}, g AS (SELECT channel, off, CASE WHEN channel % 9 <> 0 OR off % 2 = 0 THEN ts_us END AS t FROM fr), k AS (SELECT *, max(CASE WHEN t IS NOT NULL THEN off END) OVER (PARTITION BY channel ORDER BY off) AS a, min(CASE WHEN t IS NOT NULL THEN off END) OVER (PARTITION BY channel ORDER BY off ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z FROM g)"
     " SELECT k.channel, k.off, CASE WHEN k.t IS NOT NULL THEN k.t WHEN pa.t IS NOT NULL AND pz.t IS NOT NULL THEN CAST(round_even(pa.t + (k.off - a) / (z - a) * (pz.t - pa.t), 0) AS BIGINT) ELSE coalesce(pa.t, pz.t) END AS ts_us,"
     " CASE WHEN k.t IS NOT NULL THEN 0.9 WHEN pa.t IS NOT NULL AND pz.t IS NOT NULL THEN 0.3 WHEN pa.t IS NOT NULL OR pz.t IS NOT NULL THEN 0.15 ELSE 0.0 END::DOUBLE AS conf FROM k LEFT JOIN g pa ON pa.off = k.a LEFT JOIN g pz ON pz.off = k.z",
 )
 def interpolate_missing(spark, sf):
-    rows = frames(spark, sf).where("channel % 9 <> 0 OR off % 2 = 0").select("channel", "off", "ts_us", F.lit(0.9).alias("conf"))
+    rows = frames(spark, sf).select("channel", "off", F.expr("CASE WHEN channel % 9 <> 0 OR off % 2 = 0 THEN ts_us END").alias("ts_us"), F.lit(0.9).alias("conf"))
     return clock.interpolated(rows, ["channel"], "off", "ts_us", "conf").select("channel", "off", "ts_us", "conf")
 
 
@@ -255,10 +255,10 @@ _DEL = FR + (
     f", dl AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY channel ORDER BY ts_us, off) > {8 * GAP} THEN 1 ELSE 0 END AS b FROM fr WHERE deleted AND ts_us IS NOT NULL),"
     " dr AS (SELECT *, CAST(sum(b) OVER (PARTITION BY channel ORDER BY ts_us, off) AS BIGINT) AS run FROM dl),"
     " sp AS (SELECT channel, channel || '-' || run AS span_id, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n_frames, CAST(sum(payload_len) AS BIGINT) AS n_bytes FROM dr GROUP BY channel, run),"
-    " q AS (SELECT *, (start_us + end_us) // 2 AS mid FROM sp), lg AS (SELECT off AS log_id, ts_us AS log_ts, CASE kind WHEN 'signup' THEN 'hdd_format' WHEN 'error' THEN 'time_change' WHEN 'purchase' THEN 'logout' ELSE 'other' END AS log_kind FROM fr WHERE ts_us IS NOT NULL AND off % 4 = 1),"
+    " q AS (SELECT *, (start_us + end_us) // 2 AS mid FROM sp), lg AS (SELECT off AS log_id, ts_us AS log_ts, CASE kind WHEN 'signup' THEN 'hdd_format' WHEN 'error' THEN 'time_change' ELSE 'logout' END AS log_kind FROM fr WHERE ts_us IS NOT NULL AND kind IN ('signup', 'error', 'purchase')),"
     f" nl AS (SELECT span_id, log_ts, log_kind FROM (SELECT span_id, log_ts, log_kind, row_number() OVER (PARTITION BY span_id ORDER BY abs(log_ts - mid), log_ts, log_id) AS r FROM q JOIN lg ON abs(log_ts - mid) <= {3 * H}) WHERE r = 1),"
     f" tc AS (SELECT DISTINCT span_id FROM q JOIN lg ON abs(log_ts - mid) <= {H} AND log_kind = 'time_change'),"
-    " lv AS (SELECT channel, min(ts_us) AS live_us FROM fr WHERE NOT deleted AND ts_us IS NOT NULL AND off > 300 GROUP BY 1),"
+    " lv AS (SELECT channel, min(ts_us) AS live_us FROM fr WHERE NOT deleted AND ts_us IS NOT NULL GROUP BY 1),"
     f" v AS (SELECT q.channel, q.span_id, start_us, end_us, n_frames, n_bytes, CASE WHEN coalesce(log_kind = 'hdd_format', false) THEN 'format' WHEN live_us - end_us <= {300 * H} THEN 'expiry' ELSE 'format' END AS method, CASE WHEN log_kind = 'hdd_format' THEN log_ts END AS action_us,"
     f" round(greatest(0, least(0.99, CASE WHEN coalesce(log_kind = 'hdd_format', false) THEN 0.7 WHEN live_us - end_us <= {300 * H} AND log_kind = 'logout' THEN 0.6 ELSE 0.5 END - CASE WHEN tc.span_id IS NOT NULL THEN 0.1 ELSE 0 END)), 2)::DOUBLE AS confidence"
     " FROM q LEFT JOIN nl ON q.span_id = nl.span_id LEFT JOIN tc ON q.span_id = tc.span_id LEFT JOIN lv ON q.channel = lv.channel),"
@@ -271,9 +271,9 @@ def deletion_verdict(spark, sf):
     fr = frames(spark, sf)
     runs = islands.gap_runs(fr.where("deleted"), ["channel"], "ts_us", "off", 8 * GAP)
     spans = verdict.deleted_runs(runs, "channel", "ts_us", "off", "payload_len")
-    kind = F.when(F.col("kind") == "signup", "hdd_format").when(F.col("kind") == "error", "time_change").when(F.col("kind") == "purchase", "logout").otherwise("other")
-    logs = fr.where("ts_us IS NOT NULL AND off % 4 = 1").select(F.col("off").alias("log_id"), F.col("ts_us").alias("log_ts"), kind.alias("log_kind"))
-    live = fr.where("NOT deleted AND ts_us IS NOT NULL AND off > 300").select("channel", F.col("ts_us").alias("live_start"))
+    kind = F.when(F.col("kind") == "signup", "hdd_format").when(F.col("kind") == "error", "time_change").otherwise("logout")
+    logs = fr.where("ts_us IS NOT NULL AND kind IN ('signup', 'error', 'purchase')").select(F.col("off").alias("log_id"), F.col("ts_us").alias("log_ts"), kind.alias("log_kind"))
+    live = fr.where("NOT deleted AND ts_us IS NOT NULL").select("channel", F.col("ts_us").alias("live_start"))
     return verdict.verdicts(spans, live, logs, "channel", 3 * H, H, 300 * H)
 
 
