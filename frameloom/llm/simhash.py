@@ -151,7 +151,7 @@ def hex_fingerprint(fp: Column) -> Column:
 PLACES = 64
 LEAST_SHARED = 40
 #: Bytes of a key and number of keys: at first, and for what stays in long lists.
-KEYS = ((4, 16), (8, 160), (16, 120))
+KEYS = ((4, 16), (8, 80), (16, 120))
 #: Entries that a random part of a list holds on average.
 PART = 6
 
@@ -303,7 +303,7 @@ def near_groups(docs: DataFrame, doc_id: str, text: str, width: int = 5, least:
     then, short ones give all pairs between groups. Entries of long ones are indexed anew
     under longer keys, of which alike texts share some of many, and at the last
     level all pairs between groups are compared: no list is capped. Of pairs at 0.8
-    fewer than one in a thousand share no list of the first two levels or too few bytes; of those
+    about one in five hundred shares no list of the first two levels or too few bytes; of those
     left to the last level, in families of hundreds of texts around 0.8 that the comparisons before did
     not join, about one in six shares none of it. Exact copies are collapsed before.
     """
