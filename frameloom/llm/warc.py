@@ -4,18 +4,20 @@ Writing: one record a capture, ``response`` or ``revisit``, as compressed archiv
 through Spark's own file committer, so that a lost task leaves nothing behind and any
 store that Spark writes can hold them. A record is text (headers and an HTML payload
 in UTF-8), and records end in two line breaks, which is what the text sink's line
-separator writes.
+separator writes. Small, large and very large captures go to archives of their own with so many
+records each that none holds much more than ``ARCHIVE_BYTES``, which is what a reading task holds.
 
 Reading: archives are walked record by record by Content-Length, never by searching
 for a separator, so payloads may hold anything. Each archive gives one capture run,
 sorted by URL key, time and id. The runs are stored, dealt by ranges of that whole key
 (a URL that owns a third of the captures still spreads), and each task merges
 the runs that reach it with a loser tree, spilling merged runs to its own temporary
-folder when memory is full. Partitions in order hold the global capture history.
+folder when memory is full (no other task reads it, and a lost task makes it anew).
+Partitions in order hold the global capture history.
 
 Defined cases: a null payload is an empty one; a null URL gives no Target-URI and an
-empty URL key; control characters in URLs are percent-encoded; rows that repeat
-an id with an equal payload get the same verdict; a null id never keeps a payload that
+empty URL key; line breaks in URLs are percent-encoded; rows that repeat
+an id with an equal payload get the same verdict; other columns are not read, whatever they are called; a null id never keeps a payload that
 a row with an id also holds.
 """
 
@@ -31,29 +33,36 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import arrow_bounds, scratch_path, stored
+from frameloom.llm.common import arrow_bounds, bounded, scratch_path, stored
 
 #: Payloads under this many bytes are always written in full.
 REVISIT_BYTES = 1000
 #: Index entries a merging task holds before it spills a merged run.
 SPILL_ENTRIES = 100_000
-#: Records of one archive.
-ARCHIVE_RECORDS = 4000
+#: Bytes of payload in one archive, and the size classes of captures: each up to so many bytes.
+ARCHIVE_BYTES = 128 << 20
+SIZES = (32 << 10, 4 << 20, ARCHIVE_BYTES)
 EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z
 
 INDEX_SCHEMA = "url_key string, captured_at string, record_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, intact boolean, archive string, offset long"
 
 
-def revisits(captures: DataFrame, record_id: str, payload: str, least: int = REVISIT_BYTES) -> DataFrame:
+def marked(captures: DataFrame, record_id: str, payload: str, least: int = REVISIT_BYTES) -> DataFrame:
+    """_id, _digest, _bytes of every distinct capture of at least ``least`` bytes, stored."""
+    body = F.coalesce(captures[payload], F.lit(""))
+    marks = captures.select(captures[record_id].alias("_id"), F.sha1(body.cast("binary")).alias("_digest"), F.octet_length(body).alias("_bytes"))
+    return stored(marks.where(F.col("_bytes") >= least).distinct(), "capture-marks")
+
+
+def revisits(marks: DataFrame) -> DataFrame:
     """_id, _digest, _keeper of each capture whose payload another one keeps.
 
     Only ids and digests are shuffled. Groups of equal payloads are reduced by
-    partial aggregation before they meet.
+    partial aggregation before they meet, and nothing after the join needs its
+    partitioning, so that a payload of a third of all captures can be split.
     """
-    body = F.coalesce(captures[payload], F.lit(""))
-    marks = captures.select(captures[record_id].alias("_id"), F.sha1(body.cast("binary")).alias("_digest"), F.octet_length(body).alias("_bytes")).where(F.col("_bytes") >= least)
     groups = marks.groupBy("_digest").agg(F.max("_id").alias("_keeper"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return marks.join(groups, "_digest").where(~F.col("_id").eqNullSafe(F.col("_keeper"))).select("_id", "_digest", "_keeper").distinct()
+    return marks.join(groups, "_digest").where(~F.col("_id").eqNullSafe(F.col("_keeper"))).select("_id", "_digest", "_keeper")
 
 
 def _header(name: str, value: Column) -> Column:
@@ -61,12 +70,17 @@ def _header(name: str, value: Column) -> Column:
 
 
 def write_archives(captures: DataFrame, path: str, record_id: str, url: str, payload: str, seconds: str | None = None, least: int = REVISIT_BYTES) -> None:
-    """Write every capture as a record under ``path``. ``seconds``: column of epoch seconds, else made from the id."""
+    """Write every capture as a record under ``path``. ``seconds``: column of epoch seconds, else made from the id.
+
+    Payloads are shuffled only if the revisits are too many to broadcast.
+    """
+    marks = marked(captures, record_id, payload, min(least, SIZES[0] + 1))
+    largest = marks.agg(F.max("_bytes")).first()[0] or 0
     body = F.coalesce(captures[payload], F.lit(""))
     when = captures[seconds] if seconds else F.lit(EPOCH) + F.coalesce(captures[record_id], F.lit(0)) % 31_536_000
     rows = captures.select(captures[record_id].alias("_id"), F.sha1(body.cast("binary")).alias("_digest"), captures[url].alias("_url"), body.alias("_body"), when.cast("long").alias("_at"))
-    again = revisits(captures, record_id, payload, least).withColumnsRenamed({"_id": "_rid", "_digest": "_rdigest"}).hint("shuffle_hash")
-    rows = rows.join(again, rows["_id"].eqNullSafe(again["_rid"]) & (rows["_digest"] == again["_rdigest"]), "left")
+    again = stored(revisits(marks.where(F.col("_bytes") >= least)).withColumnsRenamed({"_id": "_rid", "_digest": "_rdigest"}), "capture-revisits")
+    rows = rows.join(bounded(again), rows["_id"].eqNullSafe(again["_rid"]) & (rows["_digest"] == again["_rdigest"]), "left")
     revisit = F.col("_rdigest").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:capture:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("_body").cast("string"), F.lit("\r\n\r\n"))
@@ -86,7 +100,12 @@ def write_archives(captures: DataFrame, path: str, record_id: str, url: str, pay
         F.lit("\r\n"),
         block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    for low, high in zip((-1, *SIZES), SIZES, strict=False):
+        if low < largest:  # the first class always
+            size = F.octet_length("_body")
+            part = rows.where((size > low) & ((size <= high) if high < SIZES[-1] else F.lit(True)))
+            writer = part.select(record.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip")
+            writer.option("maxRecordsPerFile", ARCHIVE_BYTES // high).text(path)
 
 
 def url_key(url: str | None) -> str:
