@@ -49,22 +49,25 @@ def nal_type(first: int, codec: str) -> int:
     return first & 31 if codec == "h264" else first >> 1 & 63
 
 
+def start_codes(row: dict, codec: str) -> Iterator[tuple[int, bool, int]]:
+    """Place in the window's data, whether a zero stands before it, and the type of each start code in the core."""
+    data, core = row["data"], row["core_end"] - row["core_start"]
+    for m in re.finditer(b"\x00\x00\x01", data):
+        at = m.start()
+        if at < core and m.end() < len(data):
+            yield at, (data[at - 1] if at else row["before"]) == 0, nal_type(data[m.end()], codec)
+
+
 def scan_annexb(rows: DataFrame, codec: str = "h264") -> DataFrame:
     """image, offset, sc_len, nal_type of each start code.
 
     A code has four bytes exactly if the byte before its three in the image is zero,
     wherever windows are cut.
     """
-    finder = re.compile(b"\x00\x00\x01", re.DOTALL)
 
     def of(row: dict):
-        data, base, core = row["data"], row["core_start"], row["core_end"] - row["core_start"]
-        for m in finder.finditer(data):
-            at = m.start()
-            if at >= core or m.end() >= len(data):
-                continue
-            four = (data[at - 1] if at else row["before"]) == 0
-            yield row["image"], base + at - four, 3 + four, nal_type(data[m.end()], codec)
+        for at, four, kind in start_codes(row, codec):
+            yield row["image"], row["core_start"] + at - four, 3 + four, kind
 
     return _mapped(rows, of, "image string, offset long, sc_len int, nal_type int")
 

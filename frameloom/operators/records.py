@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.operators.bytescan import _mapped, unit_kind
+from frameloom.operators.bytescan import _mapped, start_codes, unit_kind
+from frameloom.operators.islands import run_ids
 
 # Fixed values of the formats.
 DHAV, DHAV_END = b"DHAV", b"dhav"
@@ -113,20 +114,25 @@ def stream_frames(data: bytes, at: int) -> Iterator[Frame]:
         at = end
 
 
-def headed_units(data: bytes, at: int) -> Iterator[Frame]:
-    """NAL units behind 20-byte headers; only whole access units (up to a slice) are given."""
-    waiting: list[Frame] = []
+def headed_records(data: bytes, at: int) -> Iterator[Frame]:
+    """NAL units behind 20-byte headers, one after the other."""
     while at + 20 <= len(data):
         kind, fixed, width, height, size, ts = struct.unpack_from("<B3sHHIQ", data, at)
         start = at + 20
         if kind not in HW_TYPES or fixed != HW_FIXED or size < 5 or start + size > len(data) or data[start : start + 4] != START_CODE:
             return
-        nal = data[start + 4] & 31
-        waiting.append(Frame(at, start, size, start + size, None, HW_FRAME_KINDS.get(nal, "other"), ts, None, width, height))
-        if nal in (1, 5):
+        yield Frame(at, start, size, start + size, None, HW_FRAME_KINDS.get(data[start + 4] & 31, "other"), ts, None, width, height)
+        at = start + size
+
+
+def headed_units(data: bytes, at: int) -> Iterator[Frame]:
+    """Headed NAL units; only whole access units (up to a slice) are given."""
+    waiting: list[Frame] = []
+    for unit in headed_records(data, at):
+        waiting.append(unit)
+        if unit.kind in ("I", "P"):
             yield from waiting
             waiting = []
-        at = start + size
 
 
 #: family: (signature, its place within a record, walk)
@@ -137,8 +143,12 @@ WALKS: dict[str, tuple[bytes, int, Callable[[bytes, int], Iterator[Frame]]]] = {
 }
 
 
+#: Families whose records count only up to one of given kinds: (walk over single records, the kinds).
+UNITS: dict[str, tuple[Callable[[bytes, int], Iterator[Frame]], tuple[str, ...]]] = {"hwsim": (headed_records, ("I", "P"))}
+
+
 def register_walk(family: str, signature: bytes, place: int, walk: Callable[[bytes, int], Iterator[Frame]]) -> None:
-    """Add a family to carve and walk."""
+    """Add a family to carve and walk; each of its records must start with the signature at ``place``."""
     WALKS[family] = (signature, place, walk)
 
 
@@ -149,24 +159,39 @@ def _row(image: str, run: int, base: int, f: Frame) -> tuple:
 def carved(ranges: DataFrame, family: str) -> DataFrame:
     """Frames found in ranges (image, core_start, core_end, before, data) without an index.
 
-    Every signature that no earlier run has consumed starts a walk; runs are numbered
-    within their range in the order they are found.
+    A task gives each record that starts at a signature in its core and holds by itself; data
+    must reach beyond the core by the largest record. Of records that overlap, the first
+    stays and those within it go, as in one walk over the whole image, so the cut into
+    windows does not matter. A run is a chain of records without a byte between them; runs
+    are numbered within their image by place. Only frames are shuffled, never bytes.
     """
     signature, place, walk = WALKS[family]
+    records, closing = UNITS.get(family, (walk, ()))
 
     def of(row: dict):
-        data, base = row["data"], row["core_start"]
-        at, run = data.find(signature), 0
-        while at >= 0:
-            frames = list(walk(data, at - place)) if at >= place else []
-            if frames:
-                yield from (_row(row["image"], run, base, f) for f in frames)
-                run += 1
-                at = data.find(signature, frames[-1].end_offset + place)
-            else:
-                at = data.find(signature, at + 1)
-
-    return _mapped(ranges, of, FRAME_COLUMNS)
+        data, core = row["data"], row["core_end"] - row["core_start"]
+        at = data.find(signature)
+        while 0 <= at < core + place:
+            frame = next(records(data, at - place), None) if at >= place else None
+            if frame:
+                yield _row(row["image"], 0, row["core_start"], frame)
+            at = data.find(signature, at + 1)
+
+    found = _mapped(ranges, of, FRAME_COLUMNS)
+    along = Window.partitionBy("image").orderBy("header_offset")
+    reach = F.max("end_offset").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    heaps = run_ids(found, ["image"], [F.col("header_offset")], F.coalesce(F.col("header_offset") >= reach, F.lit(True)), "_heap")
+    columns = [c for c in found.columns if c not in ("image", "header_offset")]
+    heaps = heaps.groupBy("image", "_heap").agg(F.array_sort(F.collect_list(F.struct("header_offset", *columns))).alias("_l"))
+    none = F.filter("_l", lambda x: F.lit(False))
+    kept = F.aggregate("_l", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["header_offset"] >= F.try_element_at(acc, F.lit(-1))["end_offset"]), F.concat(acc, F.array(x))).otherwise(acc))
+    first = heaps.select("image", F.inline(kept))
+    out = run_ids(first.drop("run"), ["image"], [F.col("header_offset")], F.coalesce(F.lag("end_offset").over(along) != F.col("header_offset"), F.lit(True)))
+    if closing:
+        rest = Window.partitionBy("image", "run").orderBy("header_offset").rowsBetween(0, Window.unboundedFollowing)
+        out = out.withColumn("_c", F.max(F.col("kind").isin(*closing)).over(rest)).where("_c").drop("_c")
+    number = F.dense_rank().over(Window.partitionBy("image").orderBy("run")) - 1
+    return out.withColumn("run", number.cast("int")).select(*found.columns)
 
 
 def walked(ranges: DataFrame, family: str, skip: int = 0) -> DataFrame:
@@ -354,3 +379,28 @@ def sps(rbsp: bytes) -> dict[str, int]:
     left, right, top, bottom = (b.golomb(), b.golomb(), b.golomb(), b.golomb()) if b.take() else (0, 0, 0, 0)
     unit_x, unit_y = 1 if chroma == 3 else 2, (1 if chroma in (2, 3) else 2) * (2 - whole)
     return {"id": ident, "profile": profile, "level": level, "width": 16 * across - unit_x * (left + right), "height": 16 * down * (2 - whole) - unit_y * (top + bottom)}
+
+
+def scan_units(rows: DataFrame, codec: str = "h264") -> DataFrame:
+    """Start codes as of ``scan_annexb`` with width, height and profile of parameter sets that can be read, and markers.
+
+    A row of nal_type -1 stands at the end of each window and one of -2 at its start: where both
+    meet, windows join; elsewhere a range ends. Data must reach beyond the core by a parameter set.
+    """
+
+    def of(row: dict):
+        yield row["image"], row["core_start"], 0, -2, None, None, None
+        yield row["image"], row["core_end"], 0, -1, None, None, None
+        for at, four, kind in start_codes(row, codec):
+            read = {}
+            if codec == "h264" and kind == 7:
+                stop = row["data"].find(b"\x00\x00\x01", at + 3)
+                try:
+                    read = sps(row["data"][at + 4 : stop if stop >= 0 else None])
+                except ValueError:
+                    pass
+                if not all(0 < read.get(side, 0) < 1 << 16 for side in ("width", "height")):
+                    read = {}
+            yield row["image"], row["core_start"] + at - four, 3 + four, kind, read.get("width"), read.get("height"), read.get("profile")
+
+    return _mapped(rows, of, "image string, offset long, sc_len int, nal_type int, width int, height int, profile int")

@@ -125,21 +125,28 @@ def acquire(source: str, target: str) -> dict:
 
 
 def generic_carve(windows: DataFrame, codec: str = "h264") -> DataFrame:
-    """Access units of any image by start codes alone: place, length, kind, and a channel guessed by parameter set.
+    """Access units of any image by start codes alone: place, length, kind, size, and a channel guessed by parameter set.
 
-    Units end where the next begins. The first parameter set of a unit names its cluster; clusters
-    are numbered by first appearance and carried forward; before the first there is none.
+    Units end where the next begins, the last one of a range with the range; what no slice follows in
+    its range goes. Width, height and profile of the first parameter set of a unit name its cluster;
+    clusters are numbered by first appearance and carried forward; before the first there is none, and
+    parameter sets that cannot be read name none.
     """
-    nals = bytescan.scan_annexb(windows, codec).where(F.col("nal_type").isin(1, 5, 6, 7, 8, 9))
-    w = Window.partitionBy("image").orderBy("offset")
-    spans = nals.withColumn("end", F.lead("offset").over(w))
-    units = islands.attach_to_next(spans, ["image"], "offset", F.col("nal_type").isin(1, 5))
-    out = units.groupBy("image", "unit").agg(F.min("offset").alias("payload_offset"), F.max("end").alias("end"), F.bool_or(F.col("nal_type") == 5).alias("key"), F.min(F.when(F.col("nal_type") == 7, F.col("end") - F.col("offset"))).alias("sps_len"))
-    first = out.where("sps_len IS NOT NULL").groupBy("image", "sps_len").agg(F.min("payload_offset").alias("f"))
-    ids = first.select("image", "sps_len", F.dense_rank().over(Window.partitionBy("image").orderBy("f")).alias("id"))
+    marks = records.scan_units(windows, codec).where(F.col("nal_type").isin(-2, -1, 1, 5, 6, 7, 8, 9))
+    same = Window.partitionBy("image", "offset")
+    marks = marks.withColumn("_m", F.count(F.when(F.col("nal_type") < 0, 1)).over(same)).where("nal_type > 0 OR nal_type = -1 AND _m = 1").drop("_m")
+    order = [F.col("offset"), F.col("nal_type")]
+    w = Window.partitionBy("image").orderBy(*order)
+    ranged = islands.run_ids(marks, ["image"], order, F.col("nal_type") == -1, "range").withColumn("end", F.lead("offset").over(w))
+    units = islands.attach_to_next(ranged.where("nal_type > 0"), ["image", "range"], "offset", F.col("nal_type").isin(1, 5))
+    size = F.struct("width", "height", "profile")
+    set_ = F.min_by(F.when(F.col("width").isNotNull(), size), F.when(F.col("nal_type") == 7, F.col("offset")))
+    out = units.groupBy("image", "range", "unit").agg(F.min("offset").alias("payload_offset"), F.max("end").alias("end"), F.bool_or(F.col("nal_type") == 5).alias("key"), set_.alias("set"))
     along = Window.partitionBy("image").orderBy("payload_offset").rowsBetween(Window.unboundedPreceding, 0)
-    named = out.join(ids, ["image", "sps_len"], "left").withColumn("channel", F.last("id", ignorenulls=True).over(along))
-    return named.select("image", "payload_offset", (F.col("end") - F.col("payload_offset")).alias("payload_len"), F.when(F.col("key"), "I").otherwise("P").alias("frame_type"), "channel", F.lit("carved").alias("source"), F.lit(True).alias("deleted"))
+    first = out.withColumn("_f", F.when(F.col("set").isNotNull(), F.min("payload_offset").over(Window.partitionBy("image", "set"))))
+    named = first.withColumn("_f", F.last("_f", ignorenulls=True).over(along))
+    ranks = F.dense_rank().over(Window.partitionBy("image").orderBy(F.col("_f").asc_nulls_last()))
+    return named.select("image", "payload_offset", (F.col("end") - F.col("payload_offset")).alias("payload_len"), F.when(F.col("key"), "I").otherwise("P").alias("frame_type"), F.when(F.col("_f").isNotNull(), ranks).alias("channel"), "set.width", "set.height", F.lit("carved").alias("source"), F.lit(True).alias("deleted"))
 
 
 def unindexed(index: DataFrame, low: Column, high: Column) -> DataFrame:

@@ -14,8 +14,16 @@ def nal(kind: int, rnd: random.Random, size: int = 24) -> bytes:
     return b"\x00\x00\x00\x01" + bytes([0x60 | kind]) + bytes(rnd.randrange(4, 256) for _ in range(size))
 
 
+def parameter_set(width: int = 704, height: int = 576, profile: int = 66) -> bytes:
+    """A start code and a sequence parameter set of whole macroblocks."""
+    golomb = lambda v: f"{v + 1:b}".zfill(2 * (v + 1).bit_length() - 1)
+    bits = f"{profile:08b}" + "0" * 8 + f"{30:08b}" + "".join(map(golomb, (0, 0, 2, 1))) + "0" + golomb(width // 16 - 1) + golomb(height // 16 - 1) + "1101"
+    bits += "1" + "0" * (-(len(bits) + 1) % 8)
+    return b"\x00\x00\x00\x01\x67" + int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
 def access_unit(key: bool, rnd: random.Random) -> bytes:
-    return (nal(7, rnd, 8) + nal(8, rnd, 4) + nal(5, rnd)) if key else nal(1, rnd, rnd.randrange(8, 40))
+    return (parameter_set() + nal(8, rnd, 4) + nal(5, rnd)) if key else nal(1, rnd, rnd.randrange(8, 40))
 
 
 def dhav(channel: int, seconds: int, ms: int, key: bool, seq: int, rnd: random.Random) -> bytes:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from frameloom.operators import records
 from frameloom.plans import case
 from frameloom.plans.images import as_range
-from frameloom.sources import synthetic, tables
+from frameloom.sources import images, synthetic, tables
 
 
 def frame(**values):
@@ -75,6 +76,28 @@ def test_generic_carve_and_identification(spark):
     assert case.carve_with(as_range(spark, unknown), unknown, None).count() > 100
 
 
+@pytest.mark.parametrize("size", [50, 1 << 20])
+def test_generic_carve_clusters_by_size_and_profile(spark, tmp_path, size):
+    rnd = random.Random(3)
+    cut = synthetic.access_unit(False, rnd)
+    streams = [synthetic.parameter_set(*p) + synthetic.nal(5, rnd) + cut for p in ((704, 576), (352, 576), (704, 576, 77), (704, 576))]
+    assert len({len(s) for s in streams}) < 4 and records.sps(synthetic.parameter_set(352, 576)[5:])["width"] == 352
+    path = tmp_path / "image.raw"
+    path.write_bytes(cut + b"".join(streams) + synthetic.parameter_set())
+    rows = case.generic_carve(images.read_windows(spark, str(path), overlap=64, size=size)).orderBy("payload_offset").collect()
+    assert [r.channel for r in rows] == [None, 1, 1, 2, 2, 3, 3, 1, 1]
+    assert [r.width for r in rows] == [None, 704, None, 352, None, 704, None, 704, None]
+    assert rows[-1].payload_len == len(cut) and sum(r.payload_len for r in rows) == len(cut) * 1 + sum(map(len, streams))
+
+
+def test_generic_carve_keeps_ranges_apart(spark):
+    rnd = random.Random(3)
+    a, b = synthetic.parameter_set() + synthetic.nal(5, rnd), synthetic.access_unit(False, rnd)
+    ranges = as_range(spark, a + synthetic.parameter_set()).union(as_range(spark, b, 5000))
+    rows = case.generic_carve(ranges).orderBy("payload_offset").collect()
+    assert [(r.payload_offset, r.payload_len) for r in rows] == [(0, len(a)), (5000, len(b))]
+
+
 def test_unindexed_ranges(spark):
     image = synthetic.dh_image()
     index = records.indexed(as_range(spark, image))
