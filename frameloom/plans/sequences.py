@@ -286,10 +286,40 @@ def shared_min_alignment(spark, sf):
     return verdict.shared_start(f, "channel").select("id", "start_us")
 
 
-@query("wraparound", f"WITH {REC}, p AS (SELECT *, (first_off * 7919) % 1009 AS place FROM rec WHERE NOT deleted AND start_us IS NOT NULL), w AS (SELECT channel, count(*) AS n_live, arg_min(recording_id, {{'p': place, 'r': recording_id}}) AS lowest_id, arg_min(recording_id, {{'p': start_us, 'r': recording_id}}) AS earliest_id, min(start_us) AS e0, arg_max(end_us - start_us, {{'p': start_us, 'r': recording_id}}) AS len FROM p GROUP BY 1) SELECT channel, n_live, lowest_id, earliest_id, e0 - len AS lost_from_us, 0.4::DOUBLE AS confidence FROM w WHERE n_live >= 2 AND lowest_id <> earliest_id")
+@query("wraparound", f"WITH {REC}, p AS (SELECT *, (first_off * 7919) % 1009 AS place FROM rec WHERE NOT deleted AND start_us IS NOT NULL), w AS (SELECT channel, count(*) AS n_live, arg_min(recording_id, {{'p': place, 's': start_us, 'r': recording_id}}) AS lowest_id, arg_min(recording_id, {{'p': start_us, 'r': recording_id}}) AS earliest_id, min(start_us) AS e0, arg_min(end_us - start_us, {{'p': place, 's': start_us, 'r': recording_id}}) AS len FROM p GROUP BY 1) SELECT channel, n_live, lowest_id, earliest_id, e0 - len AS lost_from_us, 0.4::DOUBLE AS confidence FROM w WHERE n_live >= 2 AND lowest_id <> earliest_id")
 def wraparound(spark, sf):
     rec = recordings(frames(spark, sf)).where("NOT deleted").withColumn("place", F.col("first_off") * 7919 % 1009)
-    return verdict.wraparound(rec, "channel", "recording_id", "start_us", "end_us", "place")
+    return verdict.wraparound(rec, ["channel"], "recording_id", "start_us", "end_us", "place").drop("lowest_us", "earliest_us")
+
+
+_FIND = (
+    FR
+    + ", fd AS (SELECT channel % 8 AS image_id, * REPLACE (deleted AND channel % 3 <> 0 AS deleted) FROM fr),"
+    + " rc AS (SELECT channel % 8 AS image_id, recording_id, channel, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) FILTER (deleted) * 4 > count(*) AS deleted, (min(off) * 7919) % 1009 AS place FROM fd GROUP BY 1, 2, 3),"
+    + " lg AS (SELECT image_id, off AS log_id, ts_us AS log_ts, CASE kind WHEN 'signup' THEN 'hdd_format' WHEN 'error' THEN 'time_change' ELSE 'logout' END AS log_kind, 'u' || channel AS usr FROM fd WHERE ts_us IS NOT NULL AND kind IN ('signup', 'error', 'purchase')),"
+    + f" g AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY channel ORDER BY ts_us, off) > {8 * GAP} THEN 1 ELSE 0 END AS b FROM fd WHERE deleted AND ts_us IS NOT NULL),"
+    + " lv AS (SELECT channel, min(start_us) AS live_us FROM rc WHERE NOT deleted GROUP BY 1),"
+    + " q AS (SELECT image_id, g.channel, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n_frames, CAST(sum(payload_len) AS BIGINT) AS n_bytes, 1 + sum(b) AS n_runs, any_value(live_us) AS live_us FROM g LEFT JOIN lv ON g.channel = lv.channel GROUP BY 1, 2),"
+    + " q2 AS (SELECT *, coalesce(live_us, end_us) AS until, (end_us + coalesce(live_us, end_us)) // 2 AS mid FROM q),"
+    + f" fm AS (SELECT channel, arg_min({{'ts': log_ts, 'usr': usr}}, {{'d': abs(log_ts - mid), 't': log_ts, 'i': log_id}}) AS f FROM q2 JOIN lg ON q2.image_id = lg.image_id AND log_kind = 'hdd_format' AND log_ts BETWEEN end_us - {H} AND until + {H} GROUP BY 1),"
+    + f" lo AS (SELECT channel, arg_min(usr, {{'d': abs(log_ts - end_us), 't': log_ts, 'i': log_id}}) AS u FROM q2 JOIN lg ON q2.image_id = lg.image_id AND log_kind = 'logout' AND log_ts BETWEEN end_us - {H} AND end_us + {H} GROUP BY 1),"
+    + f" tc AS (SELECT DISTINCT channel FROM q2 JOIN lg ON q2.image_id = lg.image_id AND log_kind = 'time_change' AND log_ts BETWEEN start_us - {H // 3} AND end_us + {H // 3}),"
+    + f" v AS (SELECT q2.*, f, u, tc.channel IS NOT NULL AS cautious, f IS NULL AND coalesce(live_us - end_us <= {-400 * H}, false) AS expired FROM q2 LEFT JOIN fm ON q2.channel = fm.channel LEFT JOIN lo ON q2.channel = lo.channel LEFT JOIN tc ON q2.channel = tc.channel),"
+    + " sh AS (SELECT image_id, f.ts AS ts, min(start_us) AS s FROM v WHERE f IS NOT NULL GROUP BY 1, 2),"
+    + " dir AS (SELECT v.image_id, channel, coalesce(s, start_us) AS start_us, end_us, CASE WHEN expired THEN 'expiry' ELSE 'format' END AS method, CASE WHEN f IS NOT NULL THEN f.usr WHEN expired THEN u END AS actor, CASE WHEN f IS NOT NULL THEN f.ts WHEN expired THEN live_us END AS action_us, n_frames, n_bytes,"
+    + " round(CASE WHEN f IS NOT NULL THEN 0.7 WHEN expired AND u IS NOT NULL THEN 0.6 ELSE 0.5 END - CASE WHEN cautious THEN 0.1 ELSE 0 END, 2)::DOUBLE AS confidence, 2 + (expired AND u IS NOT NULL)::BIGINT + cautious::BIGINT + (coalesce(s, start_us) < start_us)::BIGINT AS n_reasons FROM v LEFT JOIN sh ON v.image_id = sh.image_id AND v.f.ts = sh.ts),"
+    + " w AS (SELECT image_id, channel, count(*) AS n, arg_min({'r': recording_id, 's': start_us, 'l': end_us - start_us}, {'p': place, 's': start_us, 'r': recording_id}) AS low, arg_min(recording_id, {'s': start_us, 'r': recording_id}) AS first, min(start_us) AS e0 FROM rc WHERE NOT deleted AND start_us IS NOT NULL GROUP BY 1, 2)"
+)
+
+
+@query("deletion_findings", f"WITH {_FIND} SELECT * FROM dir UNION ALL SELECT image_id, channel, e0 - coalesce(low.l, 0), e0, 'overwrite', NULL, low.s, 0, 0, 0.4::DOUBLE, 2 FROM w WHERE n >= 2 AND low.r <> first AND channel NOT IN (SELECT channel FROM dir)")
+def deletion_findings(spark, sf):
+    fr = frames(spark, sf).withColumn("image_id", F.col("channel") % 8).withColumn("deleted", F.col("deleted") & (F.col("channel") % 3 != 0))
+    rec = recordings(fr).withColumn("image_id", F.col("channel") % 8).withColumn("place", F.col("first_off") * 7919 % 1009)
+    kind = F.when(F.col("kind") == "signup", "hdd_format").when(F.col("kind") == "error", "time_change").otherwise("logout")
+    logs = fr.where("kind IN ('signup', 'error', 'purchase')").select("image_id", F.col("off").alias("log_id"), F.col("ts_us").alias("log_ts"), kind.alias("log_kind"), F.concat(F.lit("u"), F.col("channel").cast("string")).alias("user"))
+    found = verdict.findings(fr, rec, logs, "image_id", "channel", 8 * GAP, -400 * H, H, H // 3)
+    return found.withColumn("n_reasons", F.size("reasons").cast("long")).drop("reasons")
 
 
 @query("timeline_assembly", f"WITH {_STRICT}, r AS (SELECT channel, count(DISTINCT run) AS n_runs, min(ts_us) AS first_us, max(ts_us) AS last_us FROM runs GROUP BY 1), d AS (SELECT channel, count(*) AS n_deleted FROM fr WHERE deleted GROUP BY 1), m AS (SELECT channel, round(max(value), 6) AS peak FROM fr GROUP BY 1) SELECT m.channel, n_runs, first_us, last_us, coalesce(n_deleted, 0) AS n_deleted, peak FROM m LEFT JOIN r ON m.channel = r.channel LEFT JOIN d ON m.channel = d.channel")
