@@ -102,3 +102,33 @@ def unsupported_numbers(sentence: Column, facts: Column) -> Column:
 def payload_refused(payload: Column, most: int) -> Column:
     """Whether a payload is too long or holds what looks like encoded bytes: 64 or more hex or 120 or more base64 characters."""
     return (F.octet_length(payload) > most) | payload.rlike("[0-9a-fA-F]{64,}") | payload.rlike("[A-Za-z0-9+/]{120,}={0,2}")
+
+
+# Words that no key of a payload may hold.
+FORBIDDEN_KEYS = ["frame", "thumb", "image", "img", "pixel", "jpeg", "jpg", "png", "bitmap", "bmp", "video", "rawbytes", "diskbytes", "payloadbytes", "clipbytes"]
+#: A string of JSON text, quotes included.
+JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def refusal(payload: Column, most_string: int, most_bytes: int) -> Column:
+    """Why a JSON payload may not be sent: ``key`` (a forbidden word in a key), ``string`` (a long one of nothing but hex or base64), ``size``; else null.
+
+    Keys are read without case, blanks, hyphens and underscores.
+    """
+    keys = F.regexp_extract_all(payload, F.lit(f"({JSON_STRING})\\s*:"), F.lit(1))
+    strings = F.regexp_extract_all(payload, F.lit(f"({JSON_STRING})"), F.lit(1))
+    forbidden = F.exists(keys, lambda k: F.regexp_replace(F.lower(k), r"[_\-\s]", "").rlike("|".join(FORBIDDEN_KEYS)))
+    encoded = F.exists(strings, lambda x: (F.char_length(x) > most_string + 2) & x.rlike(r'^"\s*[A-Za-z0-9+/]+={0,2}\s*"$'))
+    return F.when(forbidden, "key").when(encoded, "string").when(F.octet_length(payload) > most_bytes, "size")
+
+
+def over_budget(calls: DataFrame, asked: DataFrame, case: str, cap_total: int, cap_case: int) -> DataFrame:
+    """``asked`` (case, estimated) with spent_case and ``refused``: total or case, whichever cap the estimate passes first, or null.
+
+    ``calls``: case, cost. Costs are whole units of currency, say millionths, so that sums are exact.
+    """
+    by_case = calls.groupBy(case).agg(F.sum("cost").alias("spent_case"))
+    total = calls.agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("_total"))  # one row
+    out = asked.join(by_case, case, "left").withColumn("spent_case", F.coalesce("spent_case", F.lit(0))).join(F.broadcast(total))
+    refused = F.when(F.col("_total") + F.col("estimated") > cap_total, "total").when(F.col("spent_case") + F.col("estimated") > cap_case, "case")
+    return out.withColumn("refused", refused).drop("_total")

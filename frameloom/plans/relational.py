@@ -339,6 +339,28 @@ def llm_budget(spark, sf):
     return rows.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum(cost) / 1e6, 6).alias("cost"))
 
 
+@query(
+    "llm_budget_check",
+    "WITH u AS (SELECT conv_id % 40 AS case_id, CAST(sum(length(text) // 4 * 3) AS BIGINT) AS spent_case FROM conversations GROUP BY 1), n AS (SELECT o_orderkey, o_orderkey % 50 AS case_id, o_orderkey % 7 * 1000 AS estimated FROM orders), t AS (SELECT sum(spent_case) AS total FROM u)"
+    " SELECT o_orderkey, n.case_id, estimated, coalesce(spent_case, 0) AS spent_case, CASE WHEN total + estimated > 10000000000 THEN 'total' WHEN coalesce(spent_case, 0) + estimated > 4000 THEN 'case' END AS refused FROM n LEFT JOIN u ON n.case_id = u.case_id CROSS JOIN t",
+)
+def llm_budget_check(spark, sf):
+    calls = table(spark, sf, "conversations").select((F.col("conv_id") % 40).alias("case_id"), F.expr("char_length(text) div 4 * 3").alias("cost"))
+    asked = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 50).alias("case_id"), (F.col("o_orderkey") % 7 * 1000).alias("estimated"))
+    return lookup.over_budget(calls, asked, "case_id", 10_000_000_000, 4000)
+
+
+_PAYLOAD = "concat('{\"', CASE page_id % 4 WHEN 0 THEN 'Key_Fra-mes' WHEN 1 THEN 'note' WHEN 2 THEN 'raw Bytes' ELSE 'kind' END, '\": [{\"x\": \"', CASE WHEN page_id % 3 = 0 THEN repeat('aB', CAST(100 + page_id % 60 AS INT)) ELSE repeat('two words ', CAST(page_id % 40 AS INT)) END, '\"}]}')"
+
+
+@query(
+    "payload_refusal",
+    f"WITH p AS (SELECT page_id, {_PAYLOAD} AS payload FROM pages) SELECT page_id, CASE WHEN regexp_matches(payload, 'Key_Fra-mes|raw Bytes') THEN 'key' WHEN regexp_matches(payload, '\"[A-Za-z0-9+/]{{257,}}=?=?\"') THEN 'string' WHEN strlen(payload) > 300 THEN 'size' END AS reason FROM p",
+)
+def payload_refusal(spark, sf):
+    return table(spark, sf, "pages").select("page_id", lookup.refusal(F.expr(_PAYLOAD), 256, 300).alias("reason"))
+
+
 @query("usage_listing", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations")
 def usage_listing(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("place"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.operators import clock, custody, islands, motion, stats, verdict
+from frameloom.operators import clock, custody, islands, motion, stats, timeline, verdict
 from frameloom.operators.intervals import complement, nearest_within
 from frameloom.plans.registry import query
 from frameloom.sources.tables import FR, REC, H, frames, recordings, table, updated
@@ -330,6 +330,24 @@ def timeline_assembly(spark, sf):
     return rest.join(runs, "channel", "left").select("channel", "n_runs", "first_us", "last_us", "n_deleted", "peak")
 
 
+@query(
+    "timeline_items",
+    f"WITH {REC}, r AS (SELECT channel % 8 AS image_id, * FROM rec), ch AS (SELECT DISTINCT image_id, channel FROM r),"
+    " d AS (SELECT image_id, CASE WHEN first_off % 50 <> 0 THEN channel END AS channel, recording_id AS ref, start_us, end_us FROM r WHERE deleted),"
+    " i AS (SELECT image_id, channel, 'coverage' AS kind, coalesce(start_us, 0) AS start_us, coalesce(end_us, 0) AS end_us, 'index' AS ref, NULL::DOUBLE AS score FROM r WHERE NOT deleted"
+    " UNION ALL SELECT ch.image_id, ch.channel, 'deleted', start_us, end_us, ref, NULL FROM ch JOIN d ON ch.image_id = d.image_id AND (d.channel IS NULL OR d.channel = ch.channel)"
+    " UNION ALL SELECT image_id, channel, 'motion', start_us, NULL, NULL, n_frames / 100 FROM r WHERE n_frames > 2"
+    " UNION ALL SELECT image_id, channel, 'clock', NULL, NULL, CASE WHEN channel % 3 = 0 THEN 'osd' ELSE 'no clock model' END, CASE WHEN channel % 3 = 0 THEN 0.5 ELSE 0 END FROM ch)"
+    " SELECT image_id, channel, kind, start_us, end_us, ref, round(score, 6) AS score FROM i",
+)
+def timeline_items(spark, sf):
+    rec = recordings(frames(spark, sf)).withColumn("image_id", F.col("channel") % 8).withColumn("source", F.lit("index"))
+    gone = rec.where("deleted").select("image_id", F.when(F.col("first_off") % 50 != 0, F.col("channel")).alias("channel"), F.col("recording_id").alias("finding_id"), "start_us", "end_us")
+    moving = rec.where("n_frames > 2").select("image_id", "channel", "start_us", (F.col("n_frames") / 100).alias("peak"))
+    clocks = rec.where("channel % 3 = 0").select("image_id", "channel").distinct().withColumn("method", F.lit("osd")).withColumn("confidence", F.lit(0.5))
+    return timeline.items(rec, gone, moving, clocks, "image_id", "channel").withColumn("score", F.round("score", 6))
+
+
 @query("timeline_bucket", f"WITH {FR} SELECT channel, ts_us // {24 * H} AS day, count(*) AS n, count(*) FILTER (deleted) AS n_deleted, round(max(value), 6) AS peak FROM fr WHERE ts_us IS NOT NULL GROUP BY 1, 2")
 def timeline_bucket(spark, sf):
     return frames(spark, sf).where("ts_us IS NOT NULL").groupBy("channel", F.expr(f"ts_us div {24 * H}").alias("day")).agg(F.count("*").alias("n"), F.count_if("deleted").alias("n_deleted"), F.round(F.max("value"), 6).alias("peak"))

@@ -105,3 +105,29 @@ def test_page_cursor(spark):
     assert lookup.page(rows, ["v"], 3, "6")[1] is None
     with pytest.raises(ValueError):
         lookup.page(rows, ["v"], 3, "x")
+
+
+def test_refusal_of_payloads(spark):
+    cases = {
+        '{"note": "fine", "payload_offset": 3}': None,
+        '{"a": {"Thumb-Nail": 1}}': "key",
+        '{"clip_bytes": 1}': "key",
+        '{"a": "frame: image"}': None,
+        '{"a": "%s"}' % ("aB" * 200): "string",
+        '{"a": "%s"}' % ("aB" * 128): None,
+        '{"a": "%s"}' % ("two words " * 40): None,
+        '{"a": "\\"frame\\": 1"}': None,
+        '{"a": "%s"}' % ("two words " * 90): "size",
+        None: None,
+    }
+    rows = spark.createDataFrame([(p, w) for p, w in cases.items()], "payload string, want string")
+    assert rows.where(~lookup.refusal(F.col("payload"), 256, 800).eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_over_budget(spark):
+    calls = spark.createDataFrame([("a", 40), ("a", 30), ("b", 10)], "case string, cost long")
+    asked = spark.createDataFrame([("a", 5), ("a", 31), ("b", 30), ("c", 100), ("c", 121)], "case string, estimated long")
+    got = {(r.case, r.estimated): (r.spent_case, r.refused) for r in lookup.over_budget(calls, asked, "case", 200, 100).collect()}
+    assert got == {("a", 5): (70, None), ("a", 31): (70, "case"), ("b", 30): (10, None), ("c", 100): (0, None), ("c", 121): (0, "total")}
+    empty = lookup.over_budget(calls.limit(0), asked.where("case = 'c'"), "case", 110, 200)
+    assert {r.refused for r in empty.collect()} == {None, "total"}
