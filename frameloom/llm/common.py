@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: The folder below ``scratch_root`` that ``passing_scratch`` has opened, if any.
+_PASSING: ContextVar[str] = ContextVar("frameloom-passing", default="")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{_PASSING.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing_scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate results made inside are deleted at the end: whatever reads them must be written by then."""
+    token = _PASSING.set(f"{_PASSING.get()}passing-{uuid.uuid4().hex}/")
+    try:
+        yield
+    finally:
+        path = f"{scratch_root(spark)}/{_PASSING.get()}"
+        _PASSING.reset(token)
+        removed(spark, path)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -61,8 +80,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def cleared(spark: SparkSession) -> None:
     """Delete this application's intermediate results; DataFrames that still read them end with it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    removed(spark, scratch_root(spark))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

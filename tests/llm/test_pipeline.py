@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from glob import glob
+
 import pytest
 
 import corpus_pipeline
 from frameloom.llm import queries
+from frameloom.llm.common import scratch_root
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,8 +28,13 @@ def test_stages_narrow_and_keep_columns(spark, tmp_path):
     assert docs.where("decoded_sha256 <> sha2(text, 256)").count() == 0
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 100
+def test_run_leaves_only_its_rows_in_the_shared_folder(spark):
+    root = scratch_root(spark).removeprefix("file://")
+    before = set(glob(f"{root}/*"))
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 100
+    (left,) = set(glob(f"{root}/*")) - before
+    assert "/stage-tokens-" in left
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
