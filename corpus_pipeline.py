@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.llm import bpe, decontaminate, linededup, quality, simhash
-from frameloom.llm.common import scratch_path
+from frameloom.llm.common import passing_scratch, removed, scratch_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +60,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents`` in order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to ``documents`` in order.
+
+    A stage's intermediate results go once it is written, and its input, if an earlier stage
+    wrote it, with them: the shared folder holds one stage's at a time.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = scratch_path(spark, f"stage-{name}")
-        out.write.parquet(path)
+        with passing_scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
