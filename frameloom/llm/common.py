@@ -89,10 +89,15 @@ def removed(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_bounds(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python sees, by rows and by bytes; let workers find this package."""
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where the session names no path of its own."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
+def arrow_bounds(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python sees, by rows and by bytes; let workers find this package."""
+    find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

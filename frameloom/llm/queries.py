@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import bpe, ctw, decontaminate, linededup, pii, quality, simhash, toxicity, urls, warc
-from frameloom.llm.common import table
+from frameloom.llm import bpe, ctw, decontaminate, linededup, merkle, pii, quality, simhash, toxicity, urls, warc
+from frameloom.llm.common import ascii_lower, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+#: The columns that a document's leaf is the hash of.
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and the root that a later copy of it leads to."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = merkle.audited(docs, "doc_id", "source", LEAF_COLUMNS, {"text": ascii_lower(docs["text"])}, tampered)
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("left"), F.col("right")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -102,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op13_merkle": op13_merkle,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -166,9 +179,43 @@ _WARC_SQL = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM page
     CASE WHEN rest = '' THEN '' ELSE array_to_string(list_reverse(string_split(split_part(lower(regexp_replace(host, '^.*@', '')), ':', 1), '.')), ',') || ')' || coalesce(nullif(substr(rest, length(host) + 1), ''), '/') END AS url_key,
     strftime(make_timestamp((1704067200 + page_id % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at, true AS intact FROM u"""
 
+
+def _merkle_sql(depths: tuple[int, int] = (6, 3)) -> str:
+    """Trees of at most 16 to the power of ``depths`` leaves: one step a level, from the leaves to the root and back."""
+    f = merkle.FANOUT
+    value = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(value(c) for c in LEAF_COLUMNS[:-1])} || {value(text)})"
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ord(d)::BIGINT)), lambda c, d: list_reduce([xor(c, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x // 2, 3988292384 * (x % 2))))"
+    out = [
+        f"WITH l AS (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS changed, xor({crc}, 4294967295) % 5 = 0 AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)",
+        "a0 AS (SELECT coalesce('s' || source, '') AS s, i, leaf AS h FROM l)",
+    ]
+
+    def tree(name: str, depth: int) -> None:
+        for k in range(depth):
+            run = f"OVER (PARTITION BY s, i // {f} ORDER BY i ROWS BETWEEN"
+            sides = ", ".join(f"CASE WHEN count(*) OVER (PARTITION BY s) > 1 THEN coalesce(string_agg(h, '') {run} {rows}), '') ELSE '' END AS {side}" for side, rows in (("le", "UNBOUNDED PRECEDING AND 1 PRECEDING"), ("ri", "1 FOLLOWING AND UNBOUNDED FOLLOWING")))
+            out.append(f"{name}w{k} AS (SELECT s, i, h, {sides}, count(*) OVER (PARTITION BY s) AS n FROM {name}{k})")
+            out.append(f"{name}{k + 1} AS (SELECT s, i // {f} AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h FROM {name}w{k} GROUP BY 1, 2)")
+
+    tree("a", depths[0])
+    out.append(f"b0 AS (SELECT '' AS s, row_number() OVER (ORDER BY s) - 1 AS i, h, s AS src FROM a{depths[0]})")
+    tree("b", depths[1])
+    out.append(f"p0 AS (SELECT l.*, coalesce('s' || source, '') AS s, CASE WHEN t THEN coalesce(changed, leaf) ELSE leaf END AS fold, '' AS proof, b0.i AS bi, b0.h AS subroot FROM l JOIN b0 ON b0.src = coalesce('s' || source, ''))")
+    at = 0
+    for name, depth, s, i in (("a", depths[0], "p.s", "p.i"), ("b", depths[1], "''", "p.bi")):
+        for k in range(depth):
+            step = f"CASE WHEN w.n > 1 THEN sha256(w.le || p.fold || w.ri) ELSE p.fold END AS fold, p.proof || w.le || w.ri AS proof"
+            out.append(f"p{at + 1} AS (SELECT p.* EXCLUDE (fold, proof), {step} FROM p{at} p JOIN {name}w{k} w ON w.s = {s} AND w.i = {i} // {f**k})")
+            at += 1
+    root = f"(SELECT max(h) FROM b{depths[1]})"
+    return ", ".join(out) + f" SELECT doc_id, leaf, subroot, {root} AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = {root} AS verified FROM p{at}"
+
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": _line_sql(),
     "op2_warc": _WARC_SQL,
     "op7_quality": _quality_sql(quality.Rules()),
     "op10_decontaminate": _DECONTAMINATE_SQL,
+    "op13_merkle": _merkle_sql(),
 }
