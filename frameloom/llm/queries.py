@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import bpe, ctw, decontaminate, linededup, merkle, pii, quality, simhash, toxicity, urls, warc
+from frameloom.llm import bpe, ctw, decontaminate, linededup, merkle, packing, pii, quality, simhash, toxicity, urls, warc
 from frameloom.llm.common import ascii_lower, table
 
 
@@ -91,6 +91,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, and where they stand in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), "text", ["doc_id"], public_tokenizers.path("word_bpe_49k.json"), ids=False)
+
+
 #: The columns that a document's leaf is the hash of.
 LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_packing": op11_packing,
     "op13_merkle": op13_merkle,
 }
 
