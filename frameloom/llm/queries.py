@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import bpe, ctw, decontaminate, linededup, merkle, packing, pii, quality, simhash, toxicity, urls, warc
+from frameloom.llm import bpe, ctw, decontaminate, linededup, merkle, packing, pii, quality, simhash, toxicity, urls, veccodes, warc
 from frameloom.llm.common import ascii_lower, table
 
 
@@ -98,6 +98,12 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), "text", ["doc_id"], public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
+def op12_veccodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector's code of 16 parts, its error, and that of its label."""
+    out, codebooks = veccodes.compressed(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(codebooks.digest()).alias("codebooks_sha256"))
+
+
 #: The columns that a document's leaf is the hash of.
 LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -122,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
     "op11_packing": op11_packing,
+    "op12_veccodes": op12_veccodes,
     "op13_merkle": op13_merkle,
 }
 
@@ -188,6 +195,24 @@ _WARC_SQL = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM page
     strftime(make_timestamp((1704067200 + page_id % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at, true AS intact FROM u"""
 
 
+def _veccodes_sql() -> str:
+    """Every part against every entry: two rounds of floored means, then the codes."""
+    parts, entries = veccodes.PARTS, veccodes.ENTRIES
+    near = lambda k: f"d{k} AS (SELECT vec_id, label, part, min({{'d': list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': entry}}) AS m FROM p JOIN c{k} c USING (part) GROUP BY 1, 2, 3)"
+    mean = (
+        lambda k: f"s{k} AS (SELECT part, m.e AS entry, j, floor(sum(x) / count(*))::BIGINT AS x FROM (SELECT d.part, d.m, unnest(p.v) AS x, unnest(range(1, len(p.v) + 1)) AS j FROM d{k} d JOIN p USING (vec_id, part)) GROUP BY 1, 2, 3), "
+        f"c{k + 1} AS (SELECT c.part, c.entry, coalesce(u.v, c.v) AS v FROM c{k} c LEFT JOIN (SELECT part, entry, list(x ORDER BY j) AS v FROM s{k} GROUP BY 1, 2) u ON u.part = c.part AND u.entry = c.entry)"
+    )
+    return (
+        "WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+        f"p AS (SELECT vec_id, label, g AS part, v[g * (len(v) // {parts}) + 1:(g + 1) * (len(v) // {parts})] AS v FROM k, (SELECT unnest(range({parts})) AS g)), "
+        f"c0 AS (SELECT part, rank - 1 AS entry, v FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM k QUALIFY rank <= {entries}) USING (vec_id)), "
+        + ", ".join(f"{near(k)}, {mean(k)}" for k in range(veccodes.ROUNDS))
+        + f", {near(veccodes.ROUNDS)}, o AS (SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM d{veccodes.ROUNDS} GROUP BY 1, 2) "
+        + f"SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM c{veccodes.ROUNDS}) AS codebooks_sha256 FROM o"
+    )
+
+
 def _merkle_sql(depths: tuple[int, int] = (6, 3)) -> str:
     """Trees of at most 16 to the power of ``depths`` leaves: one step a level, from the leaves to the root and back."""
     f = merkle.FANOUT
@@ -225,5 +250,6 @@ ORACLE: dict[str, str] = {
     "op2_warc": _WARC_SQL,
     "op7_quality": _quality_sql(quality.Rules()),
     "op10_decontaminate": _DECONTAMINATE_SQL,
+    "op12_veccodes": _veccodes_sql(),
     "op13_merkle": _merkle_sql(),
 }
