@@ -26,6 +26,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from struct import pack
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,35 +40,85 @@ TRIALS = ((2, 128), (3, 96), (4, 64), (8, 40))
 #: Chunks of text whose ids a worker remembers before it forgets all of them, and their longest.
 MEMO = 1_000_000
 MEMO_CHARS = 64
+#: Letters before this one do not change under composition, and each has one lower-case letter or is skipped.
+LATIN_END = "\u0180"
+#: Marks that are cut off a chunk's end: none joins a letter before it to one character.
+MARKS = tuple(".,;:!?")
 
 _CODERS: dict[str, WordCoder] = {}
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
 class WordCoder:
-    """Ids of a ``tokenizers`` file. Its pre-tokens end at white space, so chunks between blanks are encoded once and remembered."""
+    """Ids of a ``tokenizers`` file that lower-cases and whose pre-tokens end at white space and between letters and marks.
+
+    Chunks between blanks are encoded once and remembered, apart from a mark at their end. Of a chunk of Latin letters the
+    whole is one pre-token, so only the merges are asked for, where the file proves to be of that kind.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        self.letters = byte_letters()
+        self.memo: dict[str, bytes] = {}
+        probes = ["a", "xyzzy", "plural", "\u00e9t\u00e9", "\u00fcber", "na\u00efve", "\u0161koda"]
+        self.by_merges = all(self._merged(w) == self.tokenizer.encode(w.upper(), add_special_tokens=False).ids for w in probes)
+
+    def _merged(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+
+    def _learn(self, missing: list[str]) -> None:
+        memo, cut, others = self.memo, [], set()
+        for chunk in missing:
+            stem, mark = (chunk[:-1], chunk[-1:]) if chunk[-1:] in MARKS else (chunk, "")
+            key = stem.lower()
+            if not (stem.isalpha() and max(stem) < LATIN_END and len(key) == len(stem)):
+                key, mark = chunk, ""
+                others.add(key)
+            elif key not in memo:
+                if self.by_merges:
+                    memo[key] = _packed(self._merged(key))
+                else:
+                    others.add(key)
+            if mark:
+                others.add(mark)
+            cut.append((key, mark))
+        others = [c for c in others if c not in memo]
+        for part, coded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            memo[part] = _packed(coded.ids)
+        for chunk, (stem, mark) in zip(missing, cut, strict=True):
+            if chunk not in memo:
+                memo[chunk] = memo[stem] + memo[mark] if mark else memo[stem]
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         memo = self.memo
-        for chunk in text.replace("\n", " ").split(" "):
-            ids = memo.get(chunk)
-            if ids is None:
-                ids = tuple(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-                if len(chunk) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[chunk] = ids
-            out += ids
+        if len(memo) >= MEMO:
+            memo.clear()
+        chunks = text.replace("\n", " ").split(" ")
+        missing = [c for c in set(chunks) if c not in memo]
+        if missing:
+            self._learn(missing)
+        out = b"".join(map(memo.__getitem__, chunks))
+        for chunk in missing:
+            if len(chunk) > MEMO_CHARS:
+                memo.pop(chunk, None)
+                memo.pop(chunk.lower(), None)
+                memo.pop(chunk.lower()[:-1], None)
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
+
+
 def pieces(docs: DataFrame, text: str, keep: list[str], path: str, capacity: int = 2048, end: int = 0, ids: bool = True) -> DataFrame:
     """``keep`` with piece, start, length, ids_crc32 and, if asked for, the ids; and where each piece was made.
 
@@ -88,11 +139,11 @@ def pieces(docs: DataFrame, text: str, keep: list[str], path: str, capacity: int
         if path not in _CODERS:
             _CODERS[path] = WordCoder(path)
         coder = _CODERS[path]
-        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        task, seen, last = TaskContext.get().partitionId(), [0] * (capacity + 1), end.to_bytes(4, "little")
         for batch in batches:
             rows, cells, crcs, held = [], [], [], []
             for row, t in enumerate(batch.column(len(kept)).to_pylist()):
-                coded = np.array([*coder.encode(t or ""), end], dtype="<u4")
+                coded = np.frombuffer(coder.encode(t or "") + last, dtype="<u4")
                 for piece, start in enumerate(range(0, len(coded), capacity)):
                     part = coded[start : start + capacity]
                     rows.append(row)
@@ -134,7 +185,12 @@ class Class:
 
 
 def grouped(counts: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
-    """Descending (length, count) cut into so many groups of as many pieces each; groups of one longest length are one."""
+    """Descending (length, count) cut into so many groups of as many pieces each; groups of one longest length are one.
+
+    As few lengths as groups stay as they are.
+    """
+    if len(counts) <= groups:
+        return [[c] for c in counts]
     total = sum(n for _, n in counts)
     most = max(1, -(-total // groups))
     out: list[list[tuple[int, int]]] = []
