@@ -5,9 +5,9 @@ its subdomains under a path; the longest that fits wins. URLs that a rule judges
 the labelled ones; gradient-boosted trees learn from them and judge the rest.
 
 Features are DataFrame expressions: lengths, depth, digit ratio, character entropy, parameter and
-hyphen counts, and statistics of the host's last label (how many URLs have it, how many
+hyphen counts, and statistics of the host's last label and of the path's first segment (how many URLs have it, how many
 labelled ones are blocked), counted over all rows by partial aggregation. Hosts are dealt to two
-halves, and a labelled URL sees the blocked share of the other half only: never its own
+halves, and every URL, labelled or not, sees the blocked share of the other half only: never its own
 label or one of its host. At most ``SAMPLE_ROWS`` distinct labelled URLs, those with the smallest
 hash, reach the driver to fit the trees, in numpy, over histograms. Scoring is a narrow pass with a
 few kilobytes of trees.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from frameloom.llm.common import arrow_bounds, ascii_lower, bounded, kept_names, stored
 
 SAMPLE_ROWS = 20_000
-FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "params", "hyphens", "labels", "longest_digits", "suffix_count", "suffix_blocked")
+FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "params", "hyphens", "labels", "longest_digits", "suffix_count", "suffix_blocked", "segment_count", "segment_blocked")
+#: URLs whose worth the share of all labelled URLs has beside a suffix's or segment's own.
+PRIOR_WEIGHT = 5
 
 
 @dataclass(frozen=True)
@@ -78,16 +80,27 @@ def _entropy(url: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.array_remove(F.array_distinct(F.split(url, "")), ""), F.lit(0.0), add)).otherwise(0.0)
 
 
+def _counted(rows: DataFrame, key: str, prior: float) -> DataFrame:
+    """``rows`` with ``<key>_count`` (log of URLs) and ``<key>_blocked``: the blocked share among the labelled URLs of the other half of hosts.
+
+    A labelled URL so never sees its own label or one of its host, and others see what those saw. Few labels count with the share of all, ``prior``.
+    """
+    half = F.pmod(F.xxhash64("host"), F.lit(2))
+    told = F.col("action").isNotNull()
+    share = lambda h: (F.count_if((F.col("action") == "block") & (half == h)) + PRIOR_WEIGHT * prior) / (F.count_if(told & (half == h)) + PRIOR_WEIGHT)
+    table = rows.groupBy(F.col(f"_{key}").alias("_k")).agg(F.log1p(F.count("*")).alias(f"{key}_count"), share(0).alias("_of0"), share(1).alias("_of1"))
+    out = rows.join(bounded(stored(table, f"url-{key}")), F.col(f"_{key}") == F.col("_k"))
+    return out.withColumn(f"{key}_blocked", F.when(half == 0, F.col("_of1")).otherwise(F.col("_of0"))).drop("_k", "_of0", "_of1", f"_{key}")
+
+
 def featured(ruled_urls: DataFrame, url: str) -> DataFrame:
-    """``ruled_urls`` with the features as doubles. The suffix table is a row per last host label."""
+    """``ruled_urls`` with the features as doubles. Statistics are a row per last host label and per first path segment."""
     u = F.coalesce(F.col(url), F.lit(""))
-    rows = ruled_urls.withColumn("_suffix", F.substring_index("host", ".", -1))
-    half = F.pmod(F.xxhash64("host"), F.lit(2))
-    share = lambda *halves: (F.count_if((F.col("action") == "block") & half.isin(*halves)) + 1) / (F.count_if(F.col("action").isNotNull() & half.isin(*halves)) + 2)
-    table = rows.groupBy("_suffix").agg(F.log1p(F.count("*")).alias("suffix_count"), share(0, 1).alias("_all"), share(0).alias("_of0"), share(1).alias("_of1"))
-    rows = rows.join(bounded(stored(table, "suffixes")), "_suffix")
-    rows = rows.withColumn("suffix_blocked", F.when(F.col("action").isNull(), F.col("_all")).when(half == 0, F.col("_of1")).otherwise(F.col("_of0")))
-    rows = rows.drop("_suffix", "_all", "_of0", "_of1")
+    rows = ruled_urls.withColumn("_suffix", F.substring_index("host", ".", -1)).withColumn("_segment", F.coalesce(F.get(F.split("path", "/", 3), F.lit(1)), F.lit("")))
+    blocked, told = ruled_urls.agg(F.count_if(F.col("action") == "block"), F.count("action")).first()
+    prior = blocked / told if told else 0.5
+    for key in ("suffix", "segment"):
+        rows = _counted(rows, key, prior)
     values = {
         "length": F.length(u),
         "host_length": F.length("host"),
@@ -128,39 +141,59 @@ class Trees:
         return 1 / (1 + np.exp(-z))
 
 
-def boost(x, y, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, least: float = 5.0) -> Trees:
-    """Second-order boosting of the logistic loss over quantile histograms."""
+def cuts_of(column, y, bins: int):
+    """Middles between distinct values, and beyond ``bins`` of these between those at quantiles of either kind.
+
+    Each kind has its own quantiles, so a few rows of one kind are told from many of the other.
+    """
+    import numpy as np
+
+    values = np.unique(column)
+    if len(values) > bins:
+        levels = np.linspace(0, 1, bins // 2 + 1)
+        values = np.unique(np.concatenate([np.quantile(column[y == kind], levels, method="nearest") for kind in (0, 1)]))
+    return (values[1:] + values[:-1]) / 2
+
+
+def boost(x, y, rounds: int = 90, depth: int = 3, rate: float = 0.2, bins: int = 64, least: int = 5, columns: float = 0.35) -> Trees:
+    """Second-order boosting of the logistic loss over histograms.
+
+    Each tree sees a share of the ``columns``, drawn from a fixed seed, so that no single feature hides the others.
+    """
     import numpy as np
 
     x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
     if not len(y):
         return Trees(0.0)
-    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
-    model = Trees(float(np.log(share / (1 - share))))
     if y.min() == y.max():
-        return model
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
+        return Trees(float(np.copysign(np.log(1e6), y[0] - 0.5)))
+    model = Trees(float(np.log(y.mean() / (1 - y.mean()))))
+    rng = np.random.default_rng(42)
+    cuts = [cuts_of(x[:, f], y, bins) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
     z = np.full(len(y), model.prior)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-z))
         g, h = p - y, p * (1 - p)
+        seen = rng.permutation(x.shape[1])[: max(1, round(columns * x.shape[1]))]
         nodes: list = []
         step = np.zeros(len(y))
 
         def grow(rows, left_depth: int) -> int:
             at, gs, hs = len(nodes), g[rows].sum(), h[rows].sum()
             nodes.append(None)
-            best = (1e-6, -1, 0)
-            for f in range(x.shape[1]) if left_depth else ():
+            best = (1e-6, -1, 0, 0.0)
+            for f in seen if left_depth else ():
                 gb = np.cumsum(np.bincount(binned[rows, f], g[rows], len(cuts[f]) + 1))[:-1]
                 hb = np.cumsum(np.bincount(binned[rows, f], h[rows], len(cuts[f]) + 1))[:-1]
                 nb = np.cumsum(np.bincount(binned[rows, f], minlength=len(cuts[f]) + 1))[:-1]
                 gain = gb**2 / (hb + 1) + (gs - gb) ** 2 / (hs - hb + 1) - gs**2 / (hs + 1)
                 gain[(nb < least) | (len(rows) - nb < least)] = -1
                 if len(gain) and gain.max() > best[0]:
-                    best = (gain.max(), f, int(gain.argmax()))
-            _, f, b = best
+                    # of cuts with no rows between them the middle counts
+                    alike = np.nonzero(nb == nb[gain.argmax()])[0]
+                    best = (gain.max(), int(f), int(alike[0]), float(cuts[f][alike].mean()))
+            _, f, b, cut = best
             if f < 0:
                 value = -rate * gs / (hs + 1)
                 step[rows] = value
@@ -169,7 +202,7 @@ def boost(x, y, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int =
                 go = binned[rows, f] <= b
                 left = grow(rows[go], left_depth - 1)
                 right = grow(rows[~go], left_depth - 1)
-                nodes[at] = (f, float(cuts[f][b]), left, right, 0.0)
+                nodes[at] = (f, cut, left, right, 0.0)
             return at
 
         grow(np.arange(len(y)), depth)

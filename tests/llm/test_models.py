@@ -126,6 +126,49 @@ def test_trees_learn(spark):
     assert urls.judged(data.where("false"), "url", ["page_id"], RULES).count() == 0
 
 
+@pytest.mark.parametrize("sf, right, found", [("0.01", 0.75, 0.2), ("0.1", 0.92, 0.75)])
+def test_trees_judge_hosts_they_have_not_seen(spark, sf, right, found):
+    """Two of four folds of hosts, each judged by trees learned from the other hosts."""
+    from frameloom.llm import queries
+    from frameloom.llm.common import stored
+
+    ruled = urls.ruled(spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet").select("page_id", "url"), "url", queries.URL_RULES)
+    fold = F.pmod(F.xxhash64("host", F.lit(7)), F.lit(4))
+    truth, said = [], []
+    for k in range(2):
+        told = ruled.withColumn("truth", F.col("action")).withColumn("action", F.when(fold != k, F.col("action")))
+        rows = stored(urls.featured(told, "url"), "held-out")
+        model = urls.fitted(rows, "url")
+        held = rows.where("action IS NULL AND truth IS NOT NULL").select("truth", *urls.FEATURES).collect()
+        truth += [r.truth == "block" for r in held]
+        said += (model.score(np.array([tuple(r)[1:] for r in held])) > 0.5).tolist()
+    truth, said = np.array(truth), np.array(said)
+    assert (truth == said).mean() > right and said[truth].mean() > found
+
+
+def test_cuts_see_a_minority():
+    x = np.concatenate([np.full(5, 3.0), np.arange(40.0, 400.0)])
+    cuts = urls.cuts_of(x, np.concatenate([np.zeros(5), np.ones(360)]), 16)
+    assert cuts[0] < 40 and cuts[0] > 3 and len(cuts) <= 16
+    assert urls.cuts_of(np.array([1.0, 1.0, 2.0]), np.array([0, 1, 0]), 16).tolist() == [1.5]
+
+
+def test_scores_are_those_of_walking_each_tree():
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 1, (300, 5))
+    model = urls.boost(x, (x[:, 0] + x[:, 1] > 0).astype(float))
+
+    def walk(tree, row):
+        at = 0
+        while tree[at][0] >= 0:
+            at = tree[at][2] if row[tree[at][0]] <= tree[at][1] else tree[at][3]
+        return tree[at][4]
+
+    want = [1 / (1 + np.exp(-(model.prior + sum(walk(t, row) for t in model.trees)))) for row in x]
+    assert np.allclose(model.score(x), want)
+    assert ((model.score(x) > 0.5) == (x[:, 0] + x[:, 1] > 0)).mean() > 0.95
+
+
 def test_boosting_without_labels_or_with_one_kind():
     assert urls.boost(np.zeros((0, 2)), []).score(np.zeros((2, 2))).tolist() == [0.5, 0.5]
     assert urls.boost(np.ones((5, 2)), np.ones(5)).score(np.ones((1, 2)))[0] > 0.99
