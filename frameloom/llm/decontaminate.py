@@ -110,38 +110,53 @@ def proximity(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id
     return held.select(F.col("_id").alias("doc_id"), "item_id").distinct()
 
 
-def _marked(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, width: int) -> tuple[DataFrame, dict[str, Column]]:
-    """The packed documents with their matches, and what ``marked`` adds."""
+def matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """(the distinct windows of the items, _mid, _mh and ``_m``: where which windows stand in each distinct document that holds any), stored.
+
+    Only starts and names of windows are gathered before a match is proved, whatever number of items shares a window.
+    """
     known, at = search(docs, items, doc_id, text, item_id, item_text, width)
-    ids = known.select("win", "ids")
-    per_doc = at.join(bounded(ids), "win").groupBy("_id", "_h").agg(F.collect_list(F.struct("at", "n", "win", "ids")).alias("_c"))
-    per_doc = per_doc.withColumnsRenamed({"_id": "_cid", "_h": "_ch"})
-    keyed = packed(docs, _id=doc_id, _text=text).withColumn("_h", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")))
-    rows = keyed.join(per_doc, keyed["_id"].eqNullSafe(F.col("_cid")) & (keyed["_h"] == F.col("_ch")), "left")
-    rows = rows.withColumn("_t", tokens(F.col("_text")))
+    starts = stored(at.groupBy("_id", "_h").agg(F.collect_list(F.struct("at", "n", "win")).alias("_c")), "candidates")
+    starts = starts.withColumnsRenamed({"_id": "_cid", "_h": "_ch"})
+    texts = docs.select(docs[doc_id].alias("_did"), docs[text].alias("_dt")).select(*doc_key("_did", "_dt"), "_dt")
+    rows = texts.join(bounded(starts), F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_h") == F.col("_ch")))
+    rows = rows.withColumn("_t", tokens(F.col("_dt")))
     there = lambda c: F.xxhash64(F.transform(F.sequence(c["at"], c["at"] + c["n"] - 1), lambda i: F.get("_t", i)))  # noqa: E731  a slice would copy all words
-    rows = rows.withColumn("_m", F.filter("_c", lambda c: (c["at"] + c["n"] <= F.size("_t")) & (there(c) == c["win"])))
-    spans = F.sort_array(F.transform("_m", lambda c: F.struct(c["at"].alias("start"), c["n"].alias("length"))))
-    names = F.sort_array(F.array_distinct(F.flatten(F.transform("_m", lambda c: c["ids"])).cast("array<string>")))
-    hit = "array<struct<start:int,length:int>>"  # distinct, as candidates are
-    return rows, {
-        "n_words": F.size("_t").cast("long"),
-        "hits": F.coalesce(spans, F.array().cast(hit)),
-        "hit_items": F.coalesce(names, F.array().cast("array<string>")),
-    }
+    held = F.filter("_c", lambda c: (c["at"] + c["n"] <= F.size("_t")) & (there(c) == c["win"]))
+    rows = filtered(rows.select(F.col("_id").alias("_mid"), F.col("_h").alias("_mh"), held.alias("_m")), F.size("_m") > 0)
+    return known, stored(rows.dropDuplicates(["_mid", "_mh"]), "matches")
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return packed(docs, _id=doc_id, _text=text).withColumn("_h", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")))
 
 
 def marked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` with n_words, hits (array of start, length) and hit_items (distinct item ids as strings, sorted)."""
-    rows, new = _marked(docs, items, doc_id, text, item_id, item_text, width)
+    known, found = matches(docs, items, doc_id, text, item_id, item_text, width)
+    named = found.select("_mid", "_mh", F.explode(F.array_distinct(F.transform("_m", lambda c: c["win"]))).alias("win"))
+    ids = known.select("win", F.explode("ids").alias("_item"))
+    named = named.join(bounded(stored(ids, "window-items")), "win").groupBy("_mid", "_mh").agg(F.sort_array(F.collect_set(F.col("_item").cast("string"))).alias("_names"))
+    named = named.withColumnsRenamed({"_mid": "_nid", "_mh": "_nh"})
+    spans = F.sort_array(F.transform("_m", lambda c: F.struct(c["at"].alias("start"), c["n"].alias("length"))))
+    told = found.select("_mid", "_mh", spans.alias("_spans")).join(named, F.col("_mid").eqNullSafe(F.col("_nid")) & (F.col("_mh") == F.col("_nh")), "left")
+    told = bounded(stored(told.select("_mid", "_mh", "_spans", "_names"), "marked"))
+    rows = _keyed(docs, doc_id, text).join(told, F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_h") == F.col("_mh")), "left")
+    hit = "array<struct<start:int,length:int>>"  # distinct, as candidates are
+    new = {
+        "n_words": F.size(tokens(F.col("_text"))).cast("long"),
+        "hits": F.coalesce(F.col("_spans").cast(hit), F.array().cast(hit)),
+        "hit_items": F.coalesce("_names", F.array().cast("array<string>")),
+    }
     return unpacked(rows, docs.columns, new)
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, least: int = 1) -> DataFrame:
     """The documents without a window of at least ``least`` words, with their own columns only."""
-    rows, _ = _marked(docs, items, doc_id, text, item_id, item_text, width)
-    found = F.coalesce(F.exists("_m", lambda c: c["n"] >= least), F.lit(False))
-    return unpacked(filtered(rows, ~found), docs.columns)
+    _, found = matches(docs, items, doc_id, text, item_id, item_text, width)
+    found = bounded(stored(found.where(F.exists("_m", lambda c: c["n"] >= least)).select("_mid", "_mh"), "contaminated"))
+    rows = _keyed(docs, doc_id, text).join(found, F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_h") == F.col("_mh")), "left_anti")
+    return unpacked(rows, docs.columns)
 
 
 def covered(hits: Column) -> Column:

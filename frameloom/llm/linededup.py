@@ -8,7 +8,7 @@ are alike in at least half their tokens. The line itself, digits generalised, is
 the most special template of its leaf. Templates are named by hashes of 64 bits.
 
 A template that ``MIN_DOCS`` or more documents hold recurs; a whole line of
-``LONG_TOKENS`` tokens or more recurs in two. Of a recurring template
+``LONG_TOKENS`` tokens or more (parameter ``long_tokens``) recurs in two. Of a recurring template
 the lines of its first document (smallest id) stay and those of all others are
 dropped; a line stays only if it may stay under every recurring template it has.
 
@@ -43,7 +43,7 @@ def _even(h: Column) -> Column:
     return h.bitwiseAND(F.lit(-2).cast("long"))
 
 
-def templates(line: Column, depth: int = DEPTH, blocks: int = BLOCKS, min_tokens: int = MIN_TOKENS) -> Column:
+def templates(line: Column, depth: int = DEPTH, blocks: int = BLOCKS, min_tokens: int = MIN_TOKENS, long_tokens: int = LONG_TOKENS) -> Column:
     """Hashes of a line's templates, the most special first; none for a blank line."""
     plain = F.trim(line, F.lit(SPACE_CHARS))
     masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, f"[^{SPACE_CLASS}0-9]*+[0-9][^{SPACE_CLASS}]*+", WILDCARD)).otherwise(plain)
@@ -52,7 +52,7 @@ def templates(line: Column, depth: int = DEPTH, blocks: int = BLOCKS, min_tokens
     def of(t: Column) -> Column:
         n = F.size(t)
         size = F.ceil((n - depth) / blocks).cast("int")
-        keys = [_even(F.xxhash64(F.lit(-1), t)) + F.when(n >= LONG_TOKENS, 1).otherwise(0)]
+        keys = [_even(F.xxhash64(F.lit(-1), t)) + F.when(n >= long_tokens, 1).otherwise(0)]
         for b in range(blocks):
             head, tail = F.slice(t, F.lit(1), depth + b * size), F.slice(t, depth + (b + 1) * size + 1, n)
             keys.append(_even(F.xxhash64(F.lit(b), n, head, tail)))
@@ -61,10 +61,10 @@ def templates(line: Column, depth: int = DEPTH, blocks: int = BLOCKS, min_tokens
     return F.when(F.length(plain) > 0, F.get(F.transform(holder, of), F.lit(0))).otherwise(F.array().cast("array<bigint>"))
 
 
-def parsed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def parsed(docs: DataFrame, doc_id: str, text: str, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """_id, _h and ``lines``: for each line of a text, in order, its templates."""
     rows = docs.select(docs[doc_id].alias("_did"), docs[text].alias("_dt")).where(F.col("_dt").isNotNull())
-    return rows.select(*doc_key("_did", "_dt"), F.transform(F.split("_dt", "\n"), lambda line: templates(line)).alias("lines"))
+    return rows.select(*doc_key("_did", "_dt"), F.transform(F.split("_dt", "\n"), lambda line: templates(line, long_tokens=long_tokens)).alias("lines"))
 
 
 def recurring(tree: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -74,9 +74,9 @@ def recurring(tree: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return held.groupBy("template").agg(F.count("*").alias("n"), F.min("_id").alias("first")).where(F.col("n") >= least).select("template", "first")
 
 
-def _deduped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> tuple[DataFrame, dict[str, Column]]:
+def _deduped(docs: DataFrame, doc_id: str, text: str, min_docs: int, long_tokens: int = LONG_TOKENS) -> tuple[DataFrame, dict[str, Column]]:
     """The packed documents with their recurring lines, and what ``deduped`` adds."""
-    tree = stored(parsed(docs, doc_id, text), "line-tree")
+    tree = stored(parsed(docs, doc_id, text, long_tokens), "line-tree")
     known = bounded(stored(recurring(tree, min_docs), "line-templates"))
     lines = tree.select("_id", "_h", F.posexplode("lines").alias("line", "keys")).select("_id", "_h", "line", F.explode("keys").alias("template"))
     gone = lines.join(known, "template").where(~F.col("_id").eqNullSafe(F.col("first"))).groupBy("_id", "_h").agg(F.collect_set("line").alias("_gone"))
@@ -84,7 +84,9 @@ def _deduped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> tuple[Da
     keyed = packed(docs, _id=doc_id, _text=text).withColumn("_h", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")))
     rows = keyed.join(gone, keyed["_id"].eqNullSafe(F.col("_gid")) & (keyed["_h"] == F.col("_gh")), "left")
     all_lines = F.split("_text", "\n")
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    # in a row of one, so that the text is split once; places left by a set, so that time grows with the lines
+    stays = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "_gone"), lambda i: F.get(ls, i)), "\n")
+    left = F.get(F.transform(F.array(all_lines), stays), F.lit(0))
     return rows, {
         text: F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("_text")),
         "n_lines": F.coalesce(F.when(F.col("_text").isNotNull(), F.size(all_lines)), F.lit(0)).cast("long"),
@@ -92,9 +94,9 @@ def _deduped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> tuple[Da
     }
 
 
-def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """``docs`` with the text's recurring lines gone, n_lines and n_dropped."""
-    rows, new = _deduped(docs, doc_id, text, min_docs)
+    rows, new = _deduped(docs, doc_id, text, min_docs, long_tokens)
     return unpacked(rows, docs.columns, new, replaced=text)
 
 

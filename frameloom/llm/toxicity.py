@@ -9,7 +9,7 @@ long text. Vectors and softmax are trained together by full-batch Adam in numpy.
 only the difference of the two softmax rows matters, so each subword acts through
 one number, its vector times that difference; passes over the corpus use these numbers.
 
-Learning takes at most ``SAMPLE_ROWS`` labelled documents, those with the smallest hash
+Learning takes at most ``SAMPLE_ROWS`` labelled documents and ``SAMPLE_BYTES`` of text, those with the smallest hash
 of their id: a documented bound on what reaches the driver. Scoring is one narrow
 pass over all texts with 2**16 numbers a task and a bounded memo of words.
 
@@ -28,10 +28,13 @@ from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from frameloom.llm.common import arrow_bounds, kept_names
 
 SAMPLE_ROWS = 4000
+#: Bytes of text that the fitting sample holds at most; one text at most a sixteenth of it.
+SAMPLE_BYTES = 64 << 20
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 NGRAMS = (3, 4, 5)
@@ -152,18 +155,24 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 120, seed: i
     return Model((vectors @ (softmax[1] - softmax[0])).tolist(), float(bias))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, learn: Column, most: int = SAMPLE_ROWS) -> DataFrame:
-    """text and label of at most ``most`` labelled documents that ``learn`` allows, by smallest hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, learn: Column, most: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
+    """_lid, text and _label of at most ``most`` labelled documents that ``learn`` allows, by smallest hash of the id, and of at most ``size`` bytes.
 
-    Ids are chosen from the labels alone; only the texts of the chosen are then read.
+    Ids are chosen from the labels alone; then their texts' lengths are read, and only texts that fit into
+    what is left of ``size`` when their turn comes. Of documents that share an id the text of smallest hash counts.
     """
     ids = labels.where(labels[label].isin(0, 1) & learn).select(labels[doc_id].alias("_lid"), labels[label].cast("int").alias("_label"))
-    chosen = ids.groupBy("_lid").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_lid"), "_lid").limit(most)
-    return docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_lid")).select(docs[text].alias("text"), "_label", "_lid")
+    chosen = F.broadcast(ids.groupBy("_lid").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_lid"), "_lid").limit(most))
+    body = F.coalesce(docs[text], F.lit(""))
+    rows = docs.join(chosen, docs[doc_id] == F.col("_lid")).select("_lid", "_label", F.xxhash64(body).alias("_h"), F.octet_length(body).alias("_n"), docs[text].alias("text"))
+    one = rows.groupBy("_lid", "_label").agg(F.min(F.struct("_h", "_n")).alias("_x")).select("_lid", "_label", "_x.*")
+    turn = F.sum("_n").over(Window.orderBy(F.xxhash64("_lid"), "_lid"))  # of at most ``most`` rows
+    fits = F.broadcast(one.where(F.col("_n") <= size // 16).withColumn("_sum", turn).where(F.col("_sum") <= size).select(F.col("_lid").alias("_fid"), F.col("_h").alias("_fh")))
+    return rows.join(fits, (F.col("_lid") == F.col("_fid")) & (F.col("_h") == F.col("_fh"))).groupBy("_lid", "_label").agg(F.any_value("text").alias("text"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, learn: Column, most: int = SAMPLE_ROWS) -> Model:
-    rows = labelled_sample(docs, labels, doc_id, text, label, learn, most).orderBy("_lid", "text").collect()
+def fitted(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, learn: Column, most: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
+    rows = labelled_sample(docs, labels, doc_id, text, label, learn, most, size).orderBy("_lid").collect()
     return train([r["text"] for r in rows], [r["_label"] for r in rows])
 
 
