@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from frameloom.operators.segments import scanned, segmented
 
 SAMPLES = 20_000
 SPAN = 96
@@ -39,16 +40,17 @@ class Layout:
     fields: tuple[Field, ...]
 
 
-def unit_starts(nals: DataFrame) -> DataFrame:
+def unit_starts(nals: DataFrame, segments: int | None = None) -> DataFrame:
     """image, start, next_start, is_idr of each access unit: parameter sets go with the slice that follows.
 
-    Start codes with other types are chance hits in headers and do not count.
+    Start codes with other types are chance hits in headers and do not count. An image's codes are scanned in segments.
     """
-    w = Window.partitionBy("image").orderBy("offset")
-    rows = nals.where(F.col("nal_type").isin(1, 5, 6, 7, 8)).withColumn("_v", F.col("nal_type").isin(1, 5).cast("int"))
-    rows = rows.withColumn("_u", F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    units = rows.groupBy("image", "_u").agg(F.min("offset").alias("start"), F.max("_v").alias("_has"), F.max((F.col("nal_type") == 5).cast("int")).alias("i")).where("_has = 1")
-    return units.select("image", "start", F.lead("start").over(Window.partitionBy("image").orderBy("start")).alias("next_start"), (F.col("i") == 1).alias("is_idr"))
+    slices = F.col("nal_type").isin(1, 5)
+    laid = segmented(nals.where(F.col("nal_type").isin(1, 5, 6, 7, 8)), ["image"], ["offset"], segments)
+    rows = scanned(laid, ["image"], ["offset"], sums={"_upto": slices.cast("int")}).withColumn("_u", F.col("_upto") - slices.cast("int"))
+    units = rows.groupBy("image", "_u").agg(F.min("offset").alias("start"), F.bool_or(slices).alias("_has"), F.bool_or(F.col("nal_type") == 5).alias("is_idr")).where("_has")
+    starts = segmented(units.select("image", "start", "is_idr"), ["image"], ["start"], segments)
+    return scanned(starts, ["image"], ["start"], lead={"next_start": F.col("start")}).select("image", "start", "next_start", "is_idr")
 
 
 def samples(units: DataFrame, image: bytes, most: int = SAMPLES) -> list[tuple[int, int | None, bool, bytes]]:

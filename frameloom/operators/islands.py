@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from frameloom.operators.segments import chained, scanned, segmented
+
 
 def run_ids(rows: DataFrame, keys: list[str], order: list[Column], breaks: Column, name: str = "run") -> DataFrame:
     """``rows`` with the number of ``breaks`` up to each row within its key; breaks may use lag over the same window."""
@@ -61,13 +65,15 @@ def merge_close(spans: DataFrame, keys: list[str], start: str, end: str, gap: in
 def thinned(rows: DataFrame, keys: list[str], ts: str, step: int, most: int) -> DataFrame:
     """Keep the first time of each key and then each that is ``step`` or more after the last one kept; at most ``most``.
 
-    If more stay, those at places int(i * n / most) are taken. Which row is kept
-    depends on the one kept before, so times fold in one sorted array per key.
+    If more stay, those at places int(i * n / most) are taken. Times are chained and numbered in segments, so a key of
+    any length is spread over tasks.
     """
-    times = F.sort_array(F.collect_list(ts))
-    start = F.array().cast("array<bigint>")
-    kept = F.aggregate("_t", start, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= step), F.concat(acc, F.array(x))).otherwise(acc))
-    out = rows.where(F.col(ts).isNotNull()).groupBy(*keys).agg(times.alias("_t")).withColumn("_k", kept)
-    n = F.size("_k")
-    picked = F.when(n > most, F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(F.col("_k"), F.floor(i * n / most).cast("int")))).otherwise(F.col("_k"))
-    return out.select(*keys, F.explode(picked).alias(ts))
+    ends = rows.where(F.col(ts).isNotNull()).select(*keys, F.col(ts), (F.col(ts) + step).alias("_until"))
+    kept = segmented(chained(ends, keys, ts, "_until").drop("_until"), keys, [ts])
+    totals = kept.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("*").alias("_n"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    rows = scanned(kept, keys, [ts], sums={"_upto": F.lit(1)}).withColumn("_at", F.col("_upto") - 1).join(totals, same)
+    # place p is int(i * n / most) for some i exactly if it is that of the least i with i * n >= p * most
+    least = F.ceil(F.col("_at") * most / F.col("_n"))
+    picked = (F.col("_n") <= most) | ((least < most) & (F.floor(least * F.col("_n") / most) == F.col("_at")))
+    return rows.where(picked).select(*keys, ts)

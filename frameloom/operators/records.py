@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from frameloom.operators.bytescan import _mapped, start_codes, unit_kind
-from frameloom.operators.islands import run_ids
+from frameloom.operators.segments import chained, scanned, segmented
 
 # Fixed values of the formats.
 DHAV, DHAV_END = b"DHAV", b"dhav"
@@ -156,14 +156,15 @@ def _row(image: str, run: int, base: int, f: Frame) -> tuple:
     return image, run, base + f.header_offset, base + f.payload_offset, f.payload_len, base + f.end_offset, f.channel, f.kind, f.ts_us, f.pts, f.width, f.height
 
 
-def carved(ranges: DataFrame, family: str) -> DataFrame:
+def carved(ranges: DataFrame, family: str, segments: int | None = None) -> DataFrame:
     """Frames found in ranges (image, core_start, core_end, before, data) without an index.
 
     A task gives each record that starts at a signature in its core and holds by itself; data
     must reach beyond the core by the largest record. Of records that overlap, the first
     stays and those within it go, as in one walk over the whole image, so the cut into
     windows does not matter. A run is a chain of records without a byte between them; runs
-    are numbered within their image by place. Only frames are shuffled, never bytes.
+    are numbered within their image by place. Only frames are shuffled, never bytes, and an image's frames
+    are scanned in ``segments``, whose number changes nothing.
     """
     signature, place, walk = WALKS[family]
     records, closing = UNITS.get(family, (walk, ()))
@@ -178,20 +179,17 @@ def carved(ranges: DataFrame, family: str) -> DataFrame:
             at = data.find(signature, at + 1)
 
     found = _mapped(ranges, of, FRAME_COLUMNS)
-    along = Window.partitionBy("image").orderBy("header_offset")
-    reach = F.max("end_offset").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    heaps = run_ids(found, ["image"], [F.col("header_offset")], F.coalesce(F.col("header_offset") >= reach, F.lit(True)), "_heap")
-    columns = [c for c in found.columns if c not in ("image", "header_offset")]
-    heaps = heaps.groupBy("image", "_heap").agg(F.array_sort(F.collect_list(F.struct("header_offset", *columns))).alias("_l"))
-    none = F.filter("_l", lambda x: F.lit(False))
-    kept = F.aggregate("_l", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["header_offset"] >= F.try_element_at(acc, F.lit(-1))["end_offset"]), F.concat(acc, F.array(x))).otherwise(acc))
-    first = heaps.select("image", F.inline(kept))
-    out = run_ids(first.drop("run"), ["image"], [F.col("header_offset")], F.coalesce(F.lag("end_offset").over(along) != F.col("header_offset"), F.lit(True)))
+    laid = segmented(chained(found, ["image"], "header_offset", "end_offset", segments), ["image"], ["header_offset"], segments)
+    where = (["image"], ["header_offset"])
+    follows = scanned(laid, *where, lag={"_end": F.col("end_offset")})
+    begins = F.coalesce(F.col("_end") != F.col("header_offset"), F.lit(True))
+    out = scanned(follows, *where, sums={"_run": begins.cast("int")})
     if closing:
-        rest = Window.partitionBy("image", "run").orderBy("header_offset").rowsBetween(0, Window.unboundedFollowing)
-        out = out.withColumn("_c", F.max(F.col("kind").isin(*closing)).over(rest)).where("_c").drop("_c")
-    number = F.dense_rank().over(Window.partitionBy("image").orderBy("run")) - 1
-    return out.withColumn("run", number.cast("int")).select(*found.columns)
+        # of each run what its last closing record ends, and runs without one are not counted
+        ends = out.where(F.col("kind").isin(*closing)).groupBy("image", "_run").agg(F.max("header_offset").alias("_last"))
+        ends = scanned(segmented(ends, ["image"], ["_run"], segments), ["image"], ["_run"], sums={"_number": F.lit(1)})
+        out = out.join(ends.select("image", "_run", "_last", "_number"), ["image", "_run"]).where("header_offset <= _last").withColumn("_run", F.col("_number"))
+    return out.withColumn("run", (F.col("_run") - 1).cast("int")).select(*found.columns)
 
 
 def walked(ranges: DataFrame, family: str, skip: int = 0) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from frameloom.operators import bytescan, custody, infer, intervals, islands, records
+from frameloom.operators import bytescan, custody, infer, intervals, records, segments
 from frameloom.sources.tables import FRAME_SCHEMA
 
 STAGES = ("index", "carved", "inferred")
@@ -124,29 +124,34 @@ def acquire(source: str, target: str) -> dict:
 # Carving ----------------------------------------------------------------------------------------
 
 
-def generic_carve(windows: DataFrame, codec: str = "h264") -> DataFrame:
+def generic_carve(windows: DataFrame, codec: str = "h264", pieces: int | None = None) -> DataFrame:
     """Access units of any image by start codes alone: place, length, kind, size, and a channel guessed by parameter set.
 
     Units end where the next begins, the last one of a range with the range; what no slice follows in
     its range goes. Width, height and profile of the first parameter set of a unit name its cluster;
     clusters are numbered by first appearance and carried forward; before the first there is none, and
-    parameter sets that cannot be read name none.
+    parameter sets that cannot be read name none. An image is scanned in ``pieces``, whose number changes nothing.
     """
     marks = records.scan_units(windows, codec).where(F.col("nal_type").isin(-2, -1, 1, 5, 6, 7, 8, 9))
     same = Window.partitionBy("image", "offset")
     marks = marks.withColumn("_m", F.count(F.when(F.col("nal_type") < 0, 1)).over(same)).where("nal_type > 0 OR nal_type = -1 AND _m = 1").drop("_m")
-    order = [F.col("offset"), F.col("nal_type")]
-    w = Window.partitionBy("image").orderBy(*order)
-    ranged = islands.run_ids(marks, ["image"], order, F.col("nal_type") == -1, "range").withColumn("end", F.lead("offset").over(w))
-    units = islands.attach_to_next(ranged.where("nal_type > 0"), ["image", "range"], "offset", F.col("nal_type").isin(1, 5))
+    where = (["image"], ["offset", "nal_type"])
+    closes = F.col("nal_type").isin(1, 5)
+    laid = segments.segmented(marks, *where, pieces)
+    rows = segments.scanned(laid, *where, sums={"range": (F.col("nal_type") == -1).cast("int"), "_upto": closes.cast("int")}, lead={"end": F.col("offset")})
+    rows = rows.where("nal_type > 0").withColumn("unit", F.col("_upto") - closes.cast("int"))
     size = F.struct("width", "height", "profile")
     set_ = F.min_by(F.when(F.col("width").isNotNull(), size), F.when(F.col("nal_type") == 7, F.col("offset")))
-    out = units.groupBy("image", "range", "unit").agg(F.min("offset").alias("payload_offset"), F.max("end").alias("end"), F.bool_or(F.col("nal_type") == 5).alias("key"), set_.alias("set"))
-    along = Window.partitionBy("image").orderBy("payload_offset").rowsBetween(Window.unboundedPreceding, 0)
-    first = out.withColumn("_f", F.when(F.col("set").isNotNull(), F.min("payload_offset").over(Window.partitionBy("image", "set"))))
-    named = first.withColumn("_f", F.last("_f", ignorenulls=True).over(along))
-    ranks = F.dense_rank().over(Window.partitionBy("image").orderBy(F.col("_f").asc_nulls_last()))
-    return named.select("image", "payload_offset", (F.col("end") - F.col("payload_offset")).alias("payload_len"), F.when(F.col("key"), "I").otherwise("P").alias("frame_type"), F.when(F.col("_f").isNotNull(), ranks).alias("channel"), "set.width", "set.height", F.lit("carved").alias("source"), F.lit(True).alias("deleted"))
+    out = rows.groupBy("image", "range", "unit").agg(F.min("offset").alias("payload_offset"), F.max("end").alias("end"), F.bool_or(F.col("nal_type") == 5).alias("key"), F.bool_or(closes).alias("_has"), set_.alias("set"))
+    where = (["image"], ["payload_offset"])
+    units = segments.segmented(out.where("_has").drop("_has"), *where, pieces)
+    # clusters by the place where their set is first seen
+    first = units.where("set IS NOT NULL").groupBy("image", "set").agg(F.min("payload_offset").alias("_f"))
+    ranks = segments.scanned(segments.segmented(first.withColumnRenamed("image", "_i"), ["_i"], ["_f"], pieces), ["_i"], ["_f"], sums={"_rank": F.lit(1)})
+    ranks = ranks.select("_i", F.col("set").alias("_s"), F.col("_rank").cast("int").alias("_rank"))
+    seen = units.join(ranks, (F.col("image") == F.col("_i")) & (F.col("set") == F.col("_s")), "left")
+    named = segments.scanned(seen.drop("_i", "_s"), *where, last={"channel": F.col("_rank")})
+    return named.select("image", "payload_offset", (F.col("end") - F.col("payload_offset")).alias("payload_len"), F.when(F.col("key"), "I").otherwise("P").alias("frame_type"), "channel", "set.width", "set.height", F.lit("carved").alias("source"), F.lit(True).alias("deleted"))
 
 
 def unindexed(index: DataFrame, low: Column, high: Column) -> DataFrame:
