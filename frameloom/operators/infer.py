@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.operators.segments import scanned, segmented
+from frameloom.sources.images import bytes_of
 
 SAMPLES = 20_000
 SPAN = 96
@@ -53,10 +54,16 @@ def unit_starts(nals: DataFrame, segments: int | None = None) -> DataFrame:
     return scanned(starts, ["image"], ["start"], lead={"next_start": F.col("start")}).select("image", "start", "next_start", "is_idr")
 
 
-def samples(units: DataFrame, image: bytes, most: int = SAMPLES) -> list[tuple[int, int | None, bool, bytes]]:
-    """(start, next_start, is_idr, bytes before) of the first units that have a whole span before them."""
-    rows = units.where(F.col("start") >= SPAN).orderBy("start").limit(most).collect()
-    return [(r.start, r.next_start, r.is_idr, image[r.start - SPAN : r.start]) for r in rows]
+def heads(units: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """``units`` that have a whole span before them, with its bytes (``head``), read as of ``images.bytes_of``."""
+    spans = units.where(F.col("start") >= SPAN).withColumn("_a", F.col("start") - SPAN).withColumn("_n", F.lit(SPAN))
+    return bytes_of(spans, source, "_a", "_n", "head").drop("_a", "_n")
+
+
+def samples(units: DataFrame, source: DataFrame | None = None, most: int = SAMPLES) -> list[tuple[int, int | None, bool, bytes]]:
+    """(start, next_start, is_idr, bytes before) of the first units that have a whole span before them: ``most`` times ``SPAN`` bytes at most."""
+    first = units.where(F.col("start") >= SPAN).orderBy("start").limit(most)
+    return [(r.start, r.next_start, r.is_idr, bytes(r.head)) for r in heads(first, source).orderBy("start").collect()]
 
 
 def _entropy(column) -> float:
@@ -168,10 +175,10 @@ def infer(sampled: list[tuple[int, int | None, bool, bytes]]) -> Layout | None:
     return Layout(header_len, magic, tuple(sorted(fields, key=lambda f: f.offset)))
 
 
-_FRAME = "channel long, header_offset long, payload_offset long, payload_len long, ts_us long, kind string"
+_FRAME = "image string, channel long, header_offset long, payload_offset long, payload_len long, ts_us long, kind string"
 
 
-def _frame(layout: Layout, start: int, follow: int | None, is_idr: bool, head: bytes) -> tuple:
+def _frame(layout: Layout, image: str, start: int, follow: int | None, is_idr: bool, head: bytes) -> tuple:
     """A unit's frame, its header read through the layout."""
     by = {f.name: f for f in layout.fields}
     lead = SPAN - layout.header_len
@@ -183,27 +190,20 @@ def _frame(layout: Layout, start: int, follow: int | None, is_idr: bool, head: b
     ts, length = read("timestamp"), read("length")
     scale = 1_000_000 // UNITS[by["timestamp"].unit] if ts is not None else 0
     size = length if length is not None else (follow - layout.header_len - start if follow else None)
-    return read("channel"), start - layout.header_len, start, size, None if ts is None else ts * scale, "I" if is_idr else "P"
-
+    return image, read("channel"), start - layout.header_len, start, size, None if ts is None else ts * scale, "I" if is_idr else "P"
 
-def replayed(spark: SparkSession, sampled: list[tuple[int, int | None, bool, bytes]], layout: Layout) -> DataFrame:
-    """One frame for each sampled unit, read through the layout."""
-    return spark.createDataFrame([_frame(layout, *s) for s in sampled], _FRAME)
 
-
-def replayed_units(units: DataFrame, image: bytes, layout: Layout) -> DataFrame:
-    """One frame for every unit that has a whole span before it, read through the layout on executors."""
+def replayed_units(units: DataFrame, source: DataFrame | None, layout: Layout) -> DataFrame:
+    """One frame for every unit that has a whole span before it, read through the layout where its bytes are."""
     import pyarrow as pa
 
-    data = units.sparkSession.sparkContext.broadcast(image)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_frame(layout, start, follow, idr, data.value[start - SPAN : start]) for start, follow, idr in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
-            kinds = (*[pa.int64()] * 5, pa.string())
+            rows = [_frame(layout, *cells) for cells in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+            kinds = (pa.string(), *[pa.int64()] * 5, pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in _FRAME.split(", ")])
 
-    return units.where(F.col("start") >= SPAN).select("start", "next_start", "is_idr").mapInArrow(run, _FRAME)
+    return heads(units, source).select("image", "start", "next_start", "is_idr", "head").mapInArrow(run, _FRAME)
 
 
 def summary(layout: Layout) -> str:

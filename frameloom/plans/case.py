@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from frameloom.operators import bytescan, custody, infer, intervals, records, segments
+from frameloom.sources.images import bytes_of
 from frameloom.sources.tables import FRAME_SCHEMA
 
 STAGES = ("index", "carved", "inferred")
@@ -169,28 +170,31 @@ def identified(windows: DataFrame, genome: dict[str, list[tuple[bytes, float]]],
     return hits.join(F.broadcast(known), "pattern").groupBy("image", "family").agg(score.alias("confidence")).where(F.col("confidence") >= least)
 
 
-def carve_with(windows: DataFrame, image: bytes, family: str | None) -> DataFrame:
-    """By the family's own records if it has a walk, else by start codes; layouts are inferred for unknown ones."""
+def carve_with(windows: DataFrame, family: str | None) -> DataFrame:
+    """By the family's own records if it has a walk, else by start codes; layouts are inferred for unknown ones.
+
+    Windows must reach beyond their core by the largest record, and by ``infer.SPAN`` bytes for unknown recorders.
+    """
     if family in records.WALKS:
         return records.carved(windows, family)
     units = infer.unit_starts(bytescan.scan_annexb(windows))
-    layout = infer.infer(infer.samples(units, image))
-    return infer.replayed_units(units, image, layout) if layout and layout.fields else generic_carve(windows)
+    layout = infer.infer(infer.samples(units, windows))
+    return infer.replayed_units(units, windows, layout) if layout and layout.fields else generic_carve(windows)
 
 
 # Views and exports ------------------------------------------------------------------------------
 
 
-def hex_view(frames: DataFrame, image: bytes, before: int = 16, after: int = 16) -> DataFrame:
-    """Bytes about each frame, the sector of its start, and whether its payload still has its hash."""
-    size = len(image)
+def hex_view(frames: DataFrame, source: DataFrame | None = None, before: int = 16, after: int = 16) -> DataFrame:
+    """Bytes about each frame (image, frame_id, payload_offset, payload_len, payload_sha256), the sector of its start, and whether its payload still has its hash.
 
-    def of(row: dict):
-        a, b = row["payload_offset"], row["payload_offset"] + row["payload_len"]
-        now = hashlib.sha256(image[a:b]).hexdigest()
-        yield row["frame_id"], image[max(0, a - before) : min(size, b + after)].hex(), a // 512, now, now == row["payload_sha256"]
-
-    return bytescan._mapped(frames.select("frame_id", "payload_offset", "payload_len", "payload_sha256"), of, "frame_id string, shown string, sector long, sha256 string, intact boolean")
+    Bytes are read by place where the task is, from the image's path or from windows (``images.bytes_of``).
+    """
+    lead = F.least(F.lit(before), F.col("payload_offset"))
+    spans = frames.select("image", "frame_id", "payload_offset", "payload_len", "payload_sha256", (F.col("payload_offset") - lead).alias("start"), (lead + F.col("payload_len") + after).alias("length"))
+    shown = bytes_of(spans, source)
+    now = F.sha2(F.substring(F.col("data"), (lead + 1).cast("int"), F.col("payload_len").cast("int")), 256)
+    return shown.select("frame_id", F.lower(F.hex("data")).alias("shown"), F.floor(F.col("payload_offset") / 512).cast("long").alias("sector"), now.alias("sha256"), (now == F.col("payload_sha256")).alias("intact"))
 
 
 def manifest(frames: DataFrame, key: str = "recording_id") -> DataFrame:

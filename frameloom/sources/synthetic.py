@@ -26,17 +26,20 @@ def access_unit(key: bool, rnd: random.Random) -> bytes:
     return (parameter_set() + nal(8, rnd, 4) + nal(5, rnd)) if key else nal(1, rnd, rnd.randrange(8, 40))
 
 
-def dhav(channel: int, seconds: int, ms: int, key: bool, seq: int, rnd: random.Random) -> bytes:
+def dhav_record(channel: int, seconds: int, ms: int, key: bool, seq: int, body: bytes) -> bytes:
     import time
 
     t = time.gmtime(seconds)
     packed = t.tm_sec | t.tm_min << 6 | t.tm_hour << 12 | t.tm_mday << 17 | t.tm_mon << 22 | (t.tm_year - 2000) << 26
-    body = access_unit(key, rnd)
     length = 24 + len(body) + 8
     head = b"DHAV" + bytes([0xFD if key else 0xFC, 0, channel, 0]) + struct.pack("<IIIHB", seq, length, packed, ms, 0)
     return head + bytes([sum(head) & 255]) + body + b"dhav" + struct.pack("<I", length)
 
 
+def dhav(channel: int, seconds: int, ms: int, key: bool, seq: int, rnd: random.Random) -> bytes:
+    return dhav_record(channel, seconds, ms, key, seq, access_unit(key, rnd))
+
+
 def pack(clock: int, body: bytes, anchor: tuple[int, int, int] | None = None) -> bytes:
     bits = 1 << 78 | (clock >> 30 & 7) << 75 | 1 << 74 | (clock >> 15 & 0x7FFF) << 59 | 1 << 58 | (clock & 0x7FFF) << 43 | 1 << 42
     out = b"\x00\x00\x01\xba" + bits.to_bytes(10, "big")

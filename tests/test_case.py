@@ -71,9 +71,9 @@ def test_generic_carve_and_identification(spark):
     assert len(rows) == 36 and rows[0].frame_type == "I" and rows[0].channel == 1 and rows[1].frame_type == "P"
     got = case.identified(as_range(spark, image), {"dhsim": [(records.DH_MAGIC, 0.6), (records.DHAV, 0.6)], "hiksim": [(records.HIK_MAGIC, 0.9)]}).collect()
     assert [(r.family, r.confidence) for r in got] == [("dhsim", 1.0)]
-    assert case.carve_with(as_range(spark, image), image, "dhsim").count() == 36
+    assert case.carve_with(as_range(spark, image), "dhsim").count() == 36
     unknown = synthetic.unknown_image()
-    assert case.carve_with(as_range(spark, unknown), unknown, None).count() > 100
+    assert case.carve_with(as_range(spark, unknown), None).count() > 100
 
 
 @pytest.mark.parametrize("size", [50, 1 << 20])
@@ -106,12 +106,17 @@ def test_unindexed_ranges(spark):
     assert gaps[0].gap_start < freed.offset and gaps[0].gap_end > freed.offset + freed.length
 
 
-def test_hex_view_manifest_and_export(spark):
+def test_hex_view_manifest_and_export(spark, tmp_path):
     image = bytes(range(256)) * 8
     sha = hashlib.sha256(image[600:610]).hexdigest()
     rows = [frame(frame_id="a", payload_offset=600, payload_len=10, payload_sha256=sha, recording_id="r", ts_header_us=5), frame(frame_id="b", payload_offset=20, payload_len=4, payload_sha256="0", recording_id="r", ts_header_us=9)]
     df = spark.createDataFrame([tuple(r.values()) for r in rows], tables.FRAME_SCHEMA)
-    got = {r.frame_id: r for r in case.hex_view(df, image, 2, 1).collect()}
+    path = tmp_path / "image.raw"
+    path.write_bytes(image)
+    placed = df.withColumn("image", F.lit(str(path)))
+    for source in (None, as_range(spark, image, name=str(path)), images.evidence(spark, str(path), overlap=64, window=500)):
+        got = {r.frame_id: r for r in case.hex_view(placed, source, 2, 1).collect()}
+        assert got["a"].shown == image[598:611].hex() and got["a"].intact and got["b"].sha256 != "0"
     assert got["a"].intact and got["a"].sector == 1 and got["a"].shown == image[598:611].hex() and not got["b"].intact
     m = case.manifest(df).first()
     assert m.frame_ids == ["a", "b"] and [tuple(x) for x in m.ranges] == [(20, 4), (600, 10)] and (m.first_us, m.last_us) == (5, 9)

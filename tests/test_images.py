@@ -129,27 +129,61 @@ def test_parameter_sets():
 
 
 def test_layout_is_found(spark):
-    sampled, layout = layout_of(spark, synthetic.unknown_image())
+    windows = as_range(spark, synthetic.unknown_image())
+    _, layout = layout_of(windows)
     got = {f.name: (f.offset, f.width, f.endian, f.unit) for f in layout.fields}
     assert layout.magic == b"XQ7RECV2" and layout.header_len == 32
     assert got["timestamp"] == (16, 8, "little", "ms") and got["length"][:3] == (12, 4, "big")
     assert got["channel"][0] == 8 and got["sequence"][0] == 24 and got["flags"][0] == 28
-    frames = infer.replayed(spark, sampled, layout).orderBy("payload_offset").collect()
-    assert frames[0].payload_offset == frames[0].header_offset + 32 and {f.channel for f in frames} == {1, 2, 3, 4}
+    frames = infer.replayed_units(infer.unit_starts(bytescan.scan_annexb(windows)), windows, layout).orderBy("payload_offset").collect()
+    assert frames[0].payload_offset == frames[0].header_offset + 32 and {f.channel for f in frames} == {1, 2, 3, 4} and len(frames) == 160
     assert "timestamp: 8 bytes at 16, little-endian, in ms" in infer.summary(layout)
     assert infer.infer([]) is None
 
 
-def test_replay_goes_past_the_sample(spark, monkeypatch):
-    from frameloom.plans import case, images as plans
+@pytest.mark.parametrize("size", [700, 1 << 20])
+def test_replay_goes_past_the_sample_and_reads_by_place(spark, tmp_path, size):
+    """The same frames from one range in memory, from windows of a file, and from the file by path; the layout from half of them."""
+    from frameloom.plans import case
 
-    image = synthetic.unknown_image()
-    sampled, layout = layout_of(spark, image)
-    whole = sorted(map(tuple, infer.replayed(spark, sampled, layout).collect()))
-    monkeypatch.setattr(infer.samples, "__defaults__", (80,))
-    assert len(layout_of(spark, image)[0]) == 80 and len(whole) == 160
-    assert sorted(map(tuple, case.carve_with(as_range(spark, image), image, None).collect())) == whole
-    assert sorted(tuple(r)[:-1] for r in plans.replay_layout(spark, "").collect()) == whole
+    path = tmp_path / "image.raw"
+    path.write_bytes(synthetic.unknown_image())
+    whole = as_range(spark, path.read_bytes(), name=str(path))
+    cut = images.evidence(spark, str(path), overlap=256, window=size)
+    want = sorted(map(tuple, case.carve_with(whole, None).collect()))
+    assert len(want) == 160 and sorted(map(tuple, case.carve_with(cut, None).collect())) == want
+    units = infer.unit_starts(bytescan.scan_annexb(cut))
+    few = infer.samples(units, most=80)
+    assert len(few) == 80 and sorted(map(tuple, infer.replayed_units(units, None, infer.infer(few)).collect())) == want
+
+
+def test_evidence_plans_windows_and_takes_conditions(spark, tmp_path):
+    data = bytes(range(256)) * 40
+    path = tmp_path / "image.raw"
+    path.write_bytes(data)
+    rows = images.evidence(spark, str(path), overlap=16, window=1000)
+    got = rows.orderBy("core_start").collect()
+    assert [(r.core_start, r.core_end, r.before) for r in got] == [(a, min(a + 1000, len(data)), data[a - 1] if a else -1) for a in range(0, len(data), 1000)]
+    assert all(bytes(r.data) == data[r.core_start : r.core_end + 16] for r in got)
+    some = rows.where("core_start < 3000 AND core_end > 1000")
+    assert sorted(r.core_start for r in some.collect()) == [1000, 2000] and some.rdd.getNumPartitions() == 2
+    assert [r.core_start for r in images.evidence(spark, str(path), window=1000, start=500, end=1600).collect()] == [500, 1500]
+    (tmp_path / "x.E01").write_bytes(images.EWF_MAGIC + b"rest")
+    with pytest.raises(Exception, match="E01"):
+        images.evidence(spark, str(tmp_path / "x.E01")).collect()
+    (tmp_path / "none.raw").write_bytes(b"")
+    assert images.evidence(spark, str(tmp_path / "none.raw")).count() == 0
+
+
+def test_bytes_of_spans(spark, tmp_path):
+    data = bytes(random.Random(1).randrange(256) for _ in range(3000))
+    path = tmp_path / "image.raw"
+    path.write_bytes(data)
+    spans = [(str(path), a, n) for a, n in ((0, 5), (999, 3), (1000, 1), (2990, 50), (2999, 1), (0, 0))]
+    df = spark.createDataFrame(spans, "image string, start long, length int")
+    want = sorted((a, n, data[a : a + n]) for _, a, n in spans)
+    for source in (None, images.evidence(spark, str(path), overlap=60, window=1000), images.read_windows(spark, str(path), overlap=60, start=0, size=777), as_range(spark, data, name=str(path))):
+        assert sorted((r.start, r.length, bytes(r.data)) for r in images.bytes_of(df, source).collect()) == want
 
 
 def test_sessions_close_after_the_gap(spark, tmp_path):

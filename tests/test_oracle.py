@@ -9,7 +9,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from frameloom.plans import registry, relational, sequences  # noqa: F401
+from frameloom.plans import images, registry, relational, sequences  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
