@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from frameloom.operators.segments import scanned, segmented
+
 
 def canonical(fields: dict[str, tuple[Column, bool]]) -> Column:
     """Canonical JSON of a flat record: keys sorted, no spaces, nulls written. ``fields``: (value, is_text)."""
@@ -21,13 +23,18 @@ def content_id(prefix: str, text: Column, digits: int = 16) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(text, 256), 1, digits))
 
 
-def first_broken(log: DataFrame, keys: list[str], seq: str, prev: str, own: str, expected: Column, genesis: str) -> DataFrame:
-    """Per chain: entries, and the first sequence number whose number, link or hash is wrong (null if none)."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    link = F.coalesce(F.lag(own).over(w), F.lit(genesis))
-    place = F.row_number().over(w)
-    bad = (F.col(prev) != link) | (F.col(own) != expected) | (F.col(seq) != place)
-    return log.withColumn("_bad", bad).groupBy(*keys).agg(F.count("*").alias("n_entries"), F.min(F.when(F.col("_bad"), F.col(seq))).alias("first_bad"))
+def first_broken(log: DataFrame, keys: list[str], seq: str, prev: str, own: str, expected: Column, genesis: str, holds: Column | None = None, segments: int | None = None) -> DataFrame:
+    """Per chain: entries, the first sequence number whose number, link, hash or (with ``holds``) signature is wrong, null if none, and then the head's hash.
+
+    A chain is verified in ranges of its numbers, and links are compared across their edges: one chain of any length is
+    spread over tasks. Null links, hashes and signatures are wrong.
+    """
+    rows = log.select(*keys, F.col(seq).alias("_seq"), F.col(prev).alias("_prev"), F.col(own).alias("_own"), expected.alias("_expected"), (F.lit(True) if holds is None else holds).alias("_holds"))
+    where = (keys, ["_seq"])
+    linked = scanned(segmented(rows, *where, segments), *where, sums={"_place": F.lit(1)}, lag={"_before": F.col("_own")})
+    right = (F.col("_prev") == F.coalesce("_before", F.lit(genesis))) & (F.col("_own") == F.col("_expected")) & (F.col("_seq") == F.col("_place")) & F.col("_holds")
+    out = linked.groupBy(*keys).agg(F.count("*").alias("n_entries"), F.min(F.when(~F.coalesce(right, F.lit(False)), F.col("_seq"))).alias("first_bad"), F.max_by("_own", "_seq").alias("head_hash"))
+    return out.withColumn("head_hash", F.when(F.col("first_bad").isNull(), F.col("head_hash")))
 
 
 def merkle_root(leaves: DataFrame, keys: list[str], place: str, leaf: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from frameloom.operators import bytescan, custody, infer, intervals, records, segments
+from frameloom.operators import bytescan, custody, infer, intervals, records, segments, signatures
 from frameloom.sources.images import bytes_of
 from frameloom.sources.tables import FRAME_SCHEMA
 
@@ -43,23 +43,33 @@ def custody_log(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a custody mirror, one canonical JSON line each, with the raw line kept."""
     raw = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     field = lambda name, kind: F.get_json_object("value", f"$.{name}").cast(kind).alias(name)
-    return raw.select(field("seq", "long"), field("prev_hash", "string"), field("entry_hash", "string"), field("actor", "string"), field("action", "string"), F.col("value").alias("line"))
+    return raw.select(field("seq", "long"), field("prev_hash", "string"), field("entry_hash", "string"), field("actor", "string"), field("action", "string"), field("signature", "string"), F.col("value").alias("line"))
 
 
-def custody_verified(log: DataFrame, genesis: str) -> DataFrame:
-    """Entries, and the first whose number, link or hash is wrong. The hash is over the line without its own hash."""
-    body = F.regexp_replace("line", '"entry_hash":"[0-9a-f]*",?', "")
+def custody_verified(log: DataFrame, genesis: str, keys: dict[str, str] | None = None, pieces: int | None = None) -> DataFrame:
+    """Entries, the first whose number, link, hash or signature is wrong, and the head's hash if none is.
+
+    The hash is over the line without its own hash and signature. With ``keys`` (hex Ed25519 keys by actor) each entry must be signed by its actor.
+    """
+    body = F.regexp_replace("line", '"(entry_hash|signature)":"[^"]*",', "")
+    body = F.regexp_replace(body, ',"(entry_hash|signature)":"[^"]*"(?=})', "")
     one = log.withColumn("chain", F.lit("log")).withColumn("expected", F.sha2(body, 256))
-    return custody.first_broken(one, ["chain"], "seq", "prev_hash", "entry_hash", F.col("expected"), genesis)
+    holds = None
+    if keys is not None:
+        known = F.create_map(*(F.lit(x) for pair in keys.items() for x in pair)) if keys else F.create_map().cast("map<string,string>")
+        one = signatures.verified(one.withColumn("_key", F.try_element_at(known, F.col("actor"))), "_key", "entry_hash", "signature", "_signed")
+        holds = F.col("_signed")
+    return custody.first_broken(one, ["chain"], "seq", "prev_hash", "entry_hash", F.col("expected"), genesis, holds, pieces)
 
 
-def custody_lines(entries: list[dict], genesis: str, start: int = 0) -> list[str]:
-    """Canonical lines that continue a chain."""
+def custody_lines(entries: list[dict], genesis: str, start: int = 0, sign: Callable[[str, str], str] | None = None) -> list[str]:
+    """Canonical lines that continue a chain; ``sign`` gives an actor's signature of a hash, in base64."""
     prev, out = genesis, []
     for seq, entry in enumerate(entries, start + 1):
         body = json.dumps({**entry, "seq": seq, "prev_hash": prev}, sort_keys=True, separators=(",", ":"))
         prev = hashlib.sha256(body.encode()).hexdigest()
-        out.append(json.dumps({**json.loads(body), "entry_hash": prev}, sort_keys=True, separators=(",", ":")))
+        signed = {"signature": sign(entry["actor"], prev)} if sign else {}
+        out.append(json.dumps({**json.loads(body), "entry_hash": prev, **signed}, sort_keys=True, separators=(",", ":")))
     return out
 
 
@@ -205,15 +215,25 @@ def manifest(frames: DataFrame, key: str = "recording_id") -> DataFrame:
     return out.withColumn("manifest_sha256", F.sha2(F.concat_ws("|", F.array_join("frame_ids", ","), shown), 256))
 
 
-def export_verified(claims: DataFrame, found: DataFrame, key: str = "export_id") -> DataFrame:
-    """Whether each export's bytes and manifest match its claim, and why not."""
+def export_verified(claims: DataFrame, found: DataFrame, key: str = "export_id", keys: dict[str, str] | None = None) -> DataFrame:
+    """Whether each export's bytes, manifest and signature match its claim, and why not.
+
+    With ``keys`` (hex Ed25519 keys by examiner) claims also hold ``manifest`` (its text), ``examiner`` and ``signature`` (base64).
+    """
     f = found.select(F.col(key).alias("_k"), F.col("video_sha256").alias("_v"), F.col("manifest_sha256").alias("_m"))
+    why = [
+        F.when(F.col("_k").isNull(), "missing"),
+        F.when(F.col("_v") != F.col("video_sha256"), "video hash differs"),
+        F.when(F.col("_m") != F.col("manifest_sha256"), "manifest hash differs"),
+    ]
+    if keys is not None:
+        known = F.create_map(*(F.lit(x) for pair in keys.items() for x in pair)) if keys else F.create_map().cast("map<string,string>")
+        claims = signatures.verified(claims.withColumn("_key", F.try_element_at(known, F.col("examiner"))), "_key", "manifest", "signature", "_signed")
+        why += [
+            F.when(F.col("signature").isNull(), "not signed"),
+            F.when(F.col("_key").isNull(), F.concat(F.lit("no key of examiner "), F.coalesce("examiner", F.lit("?")))),
+            F.when(F.col("signature").isNotNull() & F.col("_key").isNotNull() & ~F.col("_signed"), "signature does not hold"),
+        ]
+    reasons = F.array_compact(F.array(*why))
     out = claims.join(f, claims[key] == F.col("_k"), "left")
-    why = F.array_compact(
-        F.array(
-            F.when(F.col("_k").isNull(), "missing"),
-            F.when(F.col("_v") != F.col("video_sha256"), "video hash differs"),
-            F.when(F.col("_m") != F.col("manifest_sha256"), "manifest hash differs"),
-        )
-    )
-    return out.select(key, (F.size(why) == 0).alias("valid"), why.alias("reasons"))
+    return out.select(key, (F.size(reasons) == 0).alias("valid"), reasons.alias("reasons"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from frameloom.operators import bytescan, infer, records
+from frameloom.operators import bytescan, genome, infer, records
 from frameloom.plans.registry import query
 from frameloom.sources import rendered
 from frameloom.sources.images import bytes_of
@@ -130,3 +130,28 @@ def replay_layout(spark, sf):
     whole = images(spark, sf, rendered.unheard)
     _, layout = layout_of(whole.where("image = 'img0'"))
     return infer.replayed_units(infer.unit_starts(bytescan.scan_annexb(whole)), whole, layout)
+
+
+#: Signatures and their regions are fixed values of the formats.
+GENOME = [
+    genome.Family("hiksim", (genome.Signature(b"HIKVISION@HANGZHOU", 0.7, 0, 0x10000), genome.Signature(b"HIKBTREE", 0.2, 0, 0x4000000), genome.Signature(b"IMKH", 0.1, 0, genome.ANYWHERE)), tier="A", model_at=(0x300, 32), serial_at=(0x320, 48)),
+    genome.Family("dhsim", (genome.Signature(b"DHFS4.1\0", 0.7, 0, 0x10000), genome.Signature(b"DHAV", 0.2, 0, genome.ANYWHERE), genome.Signature(b"DHLG", 0.1, 0, genome.ANYWHERE)), tier="A", model_at=(0x40, 32), serial_at=(0x80, 48)),
+    genome.Family("hwsim", (genome.Signature(b"HONEYWELL-NVR-SIM", 0.7, 0, 0x400000), genome.Signature(b"HWSYS", 0.2, 0, 0x40000000)), tier="A"),
+    genome.Family("xsim", (genome.Signature(b"XVR-GENERIC-2026", 0.3, 0, 0x1000),), tier="B"),
+    genome.Family("gensim"),
+]
+_FAMILIES = ", ".join(f"({k}, '{f.family}')" for k, f in enumerate(GENOME))
+
+
+@query(
+    "genome_match",
+    f"WITH {_DH}, im AS (SELECT image, count(*) AS n, min(event_id) AS e FROM ev GROUP BY 1), k AS (SELECT 'dh-' || image AS image, n, e, true AS dh FROM im UNION ALL SELECT 'un-' || image, n, e, false FROM im),"
+    f" s AS (SELECT image, n, e, place, family, CASE WHEN dh AND family = 'dhsim' THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence FROM k, (VALUES {_FAMILIES}) AS g(place, family))"
+    " SELECT image, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, place) AS place, family, confidence, CASE WHEN confidence > 0 THEN 2 ELSE 0 END AS n_evidence, CASE WHEN confidence > 0 THEN 'XVR-' || n END AS model, CASE WHEN confidence > 0 THEN 'SN' || lpad(CAST(e AS VARCHAR), 6, '0') END AS serial FROM s",
+)
+def genome_match(spark, sf):
+    """Every family's confidence for known and unknown recorders' images, with model and serial of those that match."""
+    kinds = {"dh-": rendered.indexed, "un-": rendered.unheard}
+    known, unknown = (images(spark, sf, render).withColumn("image", F.concat(F.lit(name), F.col("image"))) for name, render in kinds.items())
+    out = genome.matched(known.union(unknown), GENOME)
+    return out.select("image", "place", "family", "confidence", F.size("evidence").alias("n_evidence"), "model", "serial")

@@ -353,7 +353,7 @@ def timeline_bucket(spark, sf):
     return frames(spark, sf).where("ts_us IS NOT NULL").groupBy("channel", F.expr(f"ts_us div {24 * H}").alias("day")).agg(F.count("*").alias("n"), F.count_if("deleted").alias("n_deleted"), F.round(F.max("value"), 6).alias("peak"))
 
 
-@query("chain_verify", "WITH o AS (SELECT o_custkey % 50 AS chain, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS seq, o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders), l AS (SELECT chain, seq, CASE WHEN o_orderkey % 997 = 5 THEN 'x' ELSE h END AS own, h AS expected, coalesce(lag(h) OVER (PARTITION BY chain ORDER BY seq), 'genesis') AS prev FROM o), b AS (SELECT *, prev <> coalesce(lag(own) OVER (PARTITION BY chain ORDER BY seq), 'genesis') OR own <> expected AS bad FROM l) SELECT chain, count(*) AS n_entries, min(seq) FILTER (bad) AS first_bad FROM b GROUP BY 1")
+@query("chain_verify", "WITH o AS (SELECT o_custkey % 50 AS chain, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS seq, o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders), l AS (SELECT chain, seq, CASE WHEN o_orderkey % 997 = 5 THEN 'x' ELSE h END AS own, h AS expected, coalesce(lag(h) OVER (PARTITION BY chain ORDER BY seq), 'genesis') AS prev FROM o), b AS (SELECT *, prev <> coalesce(lag(own) OVER (PARTITION BY chain ORDER BY seq), 'genesis') OR own <> expected AS bad FROM l) SELECT chain, count(*) AS n_entries, min(seq) FILTER (bad) AS first_bad, CASE WHEN NOT bool_or(bad) THEN arg_max(own, seq) END AS head_hash FROM b GROUP BY 1")
 def chain_verify(spark, sf):
     w = Window.partitionBy("chain").orderBy("o_orderkey")
     o = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("chain"), "o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("expected"))
