@@ -8,6 +8,7 @@ given out one after the other to places that are still free.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,12 @@ from frameloom.sources.images import bytes_of
 SAMPLES = 20_000
 SPAN = 96
 CONSTANT_BITS = 0.2
-YEARS_S = (946_684_800, 2_145_916_800)  # 2000 to 2038
+YEARS_S = (946_684_800, 2_082_758_400)  # 2000 to 2035
+FPS = (0.25, 240.0)
+RISING, MATCHES, AGREE = 0.98, 0.95, 0.9
+#: Numbers of values that a channel may take, and how much of their range they fill.
+FEW, DENSE = (2, 64), 0.3
+WIDENED = 0.03
 UNITS = {"s": 1, "ms": 1_000, "us": 1_000_000}
 
 
@@ -66,12 +72,48 @@ def samples(units: DataFrame, source: DataFrame | None = None, most: int = SAMPL
     return [(r.start, r.next_start, r.is_idr, bytes(r.head)) for r in heads(first, source).orderBy("start").collect()]
 
 
-def _entropy(column) -> float:
+def _columns(head) -> tuple[list[bool], list[int]]:
+    """Which bytes of the span hardly vary, and the most frequent value of each."""
     import numpy as np
 
-    p = np.bincount(column, minlength=256)
-    p = p[p > 0] / len(column)
-    return float(-(p * np.log2(p)).sum())
+    flat, mode = [], []
+    for i in range(SPAN):
+        count = np.bincount(head[:, i], minlength=256)
+        p = count[count > 0] / len(head)
+        flat.append(float(-(p * np.log2(p)).sum()) < CONSTANT_BITS)
+        mode.append(int(count.argmax()))
+    return flat, mode
+
+
+def _like_a_field(head, at: int) -> bool:
+    """Whether this byte and the next, in either order, take a few values that lie close together: a small number, no part of a magic."""
+    import numpy as np
+
+    for big in (True, False):
+        values = np.unique(_values(head, at, 2, "big" if big else "little"))
+        if FEW[0] <= len(values) <= FEW[1] and len(values) >= DENSE * (int(values[-1]) - int(values[0]) + 1):
+            return True
+    return False
+
+
+def magic_of(head) -> tuple[bytes, int] | None:
+    """(magic, its distance to the unit): the first three or more bytes that hardly vary, at the place that nine in ten samples share.
+
+    It grows to both sides over bytes that hardly vary, but not into what looks like a small number with its neighbour.
+    """
+    flat, mode = _columns(head)
+    first = next((i for i in range(SPAN - 2) if all(flat[i : i + 3]) and any(mode[i : i + 3])), None)
+    if first is None:
+        return None
+    last = first + 3
+    while last < SPAN and flat[last] and not (last + 1 < SPAN and _like_a_field(head, last)):
+        last += 1
+    while first and flat[first - 1] and any(mode[first - 1 : first]) and not (first > 1 and _like_a_field(head, first - 2)):
+        first -= 1
+    magic = bytes(mode[first:last])
+    places = Counter(row.tobytes().rfind(magic) for row in head)
+    place, votes = max(((k, n) for k, n in places.items() if k >= 0), key=lambda x: x[1], default=(-1, 0))
+    return (magic, SPAN - place) if votes >= AGREE * len(head) else None
 
 
 def _values(head, offset: int, width: int, endian: str):
@@ -85,93 +127,110 @@ def _values(head, offset: int, width: int, endian: str):
     return v
 
 
-def _rising(ts, channel) -> tuple[float, int]:
-    """Share of steps within a channel that do not go back, and the median positive step."""
+def _rising(ts, channel) -> tuple[float, float]:
+    """Share of steps within a channel that do not go back, each step counting alike, and the median of these."""
     import numpy as np
 
     order = np.lexsort((np.arange(len(ts)), channel))
-    t, c = ts[order].astype(np.float64), channel[order]
-    step = np.diff(t)[c[1:] == c[:-1]]
-    up = step[step > 0]
-    return (float((step > 0).mean()) if len(step) else 0.0), int(np.median(up)) if len(up) else 0
+    t, same = ts[order], np.diff(channel[order]) == 0
+    onward = (t[1:] >= t[:-1])[same]
+    steps = (t[1:] - t[:-1])[same][onward]
+    return (float(onward.mean()) if len(onward) else 0.0), float(np.median(steps)) if len(steps) else 0.0
 
 
 def infer(sampled: list[tuple[int, int | None, bool, bytes]]) -> Layout | None:
-    """The layout that the samples agree on; None without a magic of three or more constant bytes."""
+    """The layout that the samples agree on; None without a magic of three or more bytes.
+
+    Time and channel are found together: the channel is what makes times rise best, of equal ones the narrowest and densest.
+    Length, sequence and flags follow, each at the narrowest place that explains most, which then takes zero bytes beside it up to a
+    natural width and place, at a little less confidence.
+    """
     import numpy as np
 
     if len(sampled) < 8:
         return None
     head = np.frombuffer(b"".join(s[3] for s in sampled), dtype=np.uint8).reshape(-1, SPAN)
-    flat = [_entropy(head[:, i]) < CONSTANT_BITS and np.bincount(head[:, i], minlength=256).argmax() != 0 for i in range(SPAN)]
-    runs, at = [], 0
-    while at < SPAN:
-        end = at
-        while end < SPAN and flat[end]:
-            end += 1
-        if end - at >= 3:
-            runs.append((at, end))
-        at = max(end, at + 1)
-    if not runs:
+    found = magic_of(head)
+    if found is None:
         return None
-    first, last = runs[0]
-    header_len = SPAN - first
-    magic = bytes(int(np.bincount(head[:, i], minlength=256).argmax()) for i in range(first, last))
-    places = [(o, w, e) for o in range(last, SPAN) for w in (8, 4, 2) if o + w <= SPAN and (o - first) % min(w, 4) == 0 for e in ("big", "little")]
+    magic, header_len = found
+    first = SPAN - header_len
+    places = [(o, w, e) for o in range(first + len(magic), SPAN) for w in (8, 4, 2) if o + w <= SPAN for e in ("big", "little")]
     values = {p: _values(head, *p) for p in places}
     start = np.array([s[0] for s in sampled], dtype=np.int64)
     follow = np.array([s[1] if s[1] is not None else -1 for s in sampled], dtype=np.int64)
     idr = np.array([s[2] for s in sampled])
     fields: list[Field] = []
-    free = lambda p: all(p[0] + p[1] <= f.offset + first or p[0] >= f.offset + first + f.width for f in fields)
 
-    def give(name: str, place: tuple, score: float, unit: str = "none") -> None:
+    def free(a: int, b: int) -> bool:
+        return a >= first + len(magic) and b <= SPAN and all(b <= f.offset + first or a >= f.offset + first + f.width for f in fields)
+
+    def give(name: str, place: tuple, score: float, unit: str = "none", widen: bool = True) -> None:
         offset, width, endian = place
-        fields.append(Field(name, offset - first, width, endian, unit, round(score, 4)))
-
-    stamps = []
-    for p, v in values.items():
-        for unit, scale in UNITS.items():
-            if p[1] >= 4 and ((v >= YEARS_S[0] * scale) & (v < YEARS_S[1] * scale)).mean() > 0.98:
-                stamps.append((p, unit))
-    channels = [p for p, v in values.items() if 1 < len(np.unique(v)) <= 64 and v.max() < 256]
+        grown = False
+        while widen and width < 8:
+            wide = offset - width if endian == "big" else offset
+            pad = (wide, offset) if endian == "big" else (offset + width, offset + 2 * width)
+            natural = (wide - first) % (2 * width) == 0 or (wide - first - len(magic)) % (2 * width) == 0
+            if not natural or not free(wide, wide + 2 * width) or head[:, pad[0] : pad[1]].any():
+                break
+            offset, width, grown = wide, 2 * width, True
+        fields.append(Field(name, offset - first, width, endian, unit, round(score - WIDENED * grown, 4)))
+
+    none = np.zeros(len(start), dtype=np.uint64)
+    channels = [p for p, v in values.items() if p[1] <= 4 and 1 < len(np.unique(v)) <= FEW[1] and v.max() < 256]
     best = None
-    for p, unit in stamps:
+    for p, unit in ((p, u) for p in places if p[1] >= 4 for u in UNITS):
+        v = values[p]
+        if not ((v >= YEARS_S[0] * UNITS[unit]) & (v < YEARS_S[1] * UNITS[unit])).all():
+            continue
         for c in [*channels, None]:
             if c is not None and not (c[0] + c[1] <= p[0] or p[0] + p[1] <= c[0]):
                 continue
-            share, step = _rising(values[p], values[c] if c else np.zeros(len(start)))
-            fps = UNITS[unit] / step if step else 0
-            key = (round(share, 3), 0.2 <= fps <= 250, c is not None, -(c[1] if c else 0), p[1], -p[0])
+            share, step = _rising(v, values[c] if c else none)
+            if share < RISING or not step or not FPS[0] <= UNITS[unit] / step <= FPS[1]:
+                continue
+            few = np.unique(values[c]) if c else none[:1]
+            key = (round(share, 3), c is not None, -(c[1] if c else 0), len(few) / (int(few[-1]) - int(few[0]) + 1), p[1], -p[0])
             if best is None or key > best[0]:
                 best = (key, p, unit, c, share)
+    own = none
     if best:
         _, p, unit, c, share = best
         if c:
-            give("channel", c, share)
+            own = values[c]
+            give("channel", c, min(0.99, 0.8 + max(0.0, share - _rising(values[p], none)[0])), widen=False)
         give("timestamp", p, share, unit)
-    own = values[best[3]] if best and best[3] else np.zeros(len(start))
+    elif channels:
+        c = min(channels, key=lambda c: (c[1], len(np.unique(values[c])) / -(int(values[c].max()) - int(values[c].min()) + 1), values[c].max()))
+        own = values[c]
+        give("channel", c, 0.5, widen=False)
+
+    def pick(name: str, scores: dict[tuple, float], least: float) -> None:
+        def rank(p: tuple) -> tuple:
+            leading = head[:, p[0] if p[2] == "big" else p[0] + p[1] - 1]
+            return scores[p], bool((leading != leading[0]).any()), -p[1], -p[0]
 
-    def pick(name: str, scored: list[tuple[float, tuple]], least: float) -> None:
-        good = [(s, p[1], -p[0], p) for s, p in scored if s >= least and free(p)]
+        good = [p for p, s in scores.items() if s >= least and free(p[0], p[0] + p[1])]
         if good:
-            top = max(good)
-            give(name, top[3], top[0])
+            top = max(good, key=rank)
+            give(name, top, scores[top])
 
     known = follow >= 0
     size = (follow - header_len - start)[known]
-    pick("length", [(float((v[known].astype(np.int64) == size).mean()), p) for p, v in values.items() if p[1] <= 4 and len(size)], 0.9)
+    pick("length", {p: float((v[known].astype(np.int64) == size).mean()) for p, v in values.items() if len(size)}, MATCHES)
     order = np.lexsort((np.arange(len(start)), own))
     same = np.diff(own[order]) == 0
 
     def counted(v) -> float:
-        whole = float((np.diff(v.astype(np.float64)) == 1).mean())
-        step = np.diff(v[order].astype(np.float64))[same]
-        return max(whole, float((step == 1).mean()) if len(step) else 0.0)
-
-    pick("sequence", [(counted(v), p) for p, v in values.items() if len(np.unique(v)) > 4], 0.9)
-    agree = [(max(float(((v & np.uint64(1)) == idr).mean()), float(((v & np.uint64(1)) != idr).mean())), p) for p, v in values.items() if p[1] == 2 and len(np.unique(v)) > 1]
-    pick("flags", agree, 0.95)
+        """Steps of one, over all units or within a channel."""
+        along = v[order]
+        step = (along[1:] == along[:-1] + np.uint64(1))[same]
+        return max(float((v[1:] == v[:-1] + np.uint64(1)).mean()), float(step.mean()) if len(step) else 0.0)
+
+    pick("sequence", {p: counted(v) for p, v in values.items()}, MATCHES)
+    agree = {p: float(((v & np.uint64(1)) == idr).mean()) for p, v in values.items() if 1 < len(np.unique(v)) <= 8}
+    pick("flags", {p: max(a, 1 - a) for p, a in agree.items()}, 0.9)
     return Layout(header_len, magic, tuple(sorted(fields, key=lambda f: f.offset)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from frameloom.operators import bytescan, genome, infer, records
 from frameloom.plans.registry import query
-from frameloom.sources import rendered
+from frameloom.sources import rendered, synthetic
 from frameloom.sources.images import bytes_of
 from frameloom.sources.rendered import EV
 from frameloom.sources.tables import table
@@ -114,7 +114,7 @@ def layout_of(windows):
     return sampled, infer.infer(sampled)
 
 
-@query("infer_layout", "SELECT * FROM (VALUES ('channel', 8, 2, 'little', 'none'), ('length', 12, 4, 'big', 'none'), ('timestamp', 16, 8, 'little', 'ms'), ('sequence', 24, 4, 'little', 'none'), ('flags', 28, 2, 'little', 'none')) AS f(field, \"offset\", width, endian, unit) WHERE EXISTS (SELECT 1 FROM events)")
+@query("infer_layout", "SELECT * FROM (VALUES ('channel', 8, 2, 'little', 'none'), ('length', 12, 4, 'big', 'none'), ('timestamp', 16, 8, 'little', 'ms'), ('sequence', 24, 4, 'little', 'none'), ('flags', 28, 4, 'little', 'none')) AS f(field, \"offset\", width, endian, unit) WHERE EXISTS (SELECT 1 FROM events)")
 def infer_layout(spark, sf):
     """The fields of an unknown recorder's header, from the units of its first image."""
     _, layout = layout_of(images(spark, sf, rendered.unheard).where("image = 'img0'"))
@@ -124,7 +124,7 @@ def infer_layout(spark, sf):
 _UN = EV + f", un AS (SELECT *, CASE WHEN event_type = 'error' THEN 15 + 3 * n ELSE 5 + n END AS size FROM ev), pl AS (SELECT *, {rendered.LEAD} + {_along('32 + size')} AS header_offset FROM un)"
 
 
-@query("replay_layout", f"WITH {_UN} SELECT image, user_id % 4 + 1 AS channel, header_offset, header_offset + 32 AS payload_offset, size AS payload_len, us // 1000 * 1000 AS ts_us, CASE WHEN event_type = 'error' THEN 'I' ELSE 'P' END AS kind FROM pl")
+@query("replay_layout", f"WITH {_UN} SELECT image, user_id % 4 + 1 AS channel, header_offset, header_offset + 32 AS payload_offset, size AS payload_len, ({synthetic.EPOCH} * 1000 + 40 * event_id) * 1000 AS ts_us, CASE WHEN event_type = 'error' THEN 'I' ELSE 'P' END AS kind FROM pl")
 def replay_layout(spark, sf):
     """Every unit of all images read through the layout that the first one shows."""
     whole = images(spark, sf, rendered.unheard)

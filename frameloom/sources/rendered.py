@@ -106,12 +106,12 @@ def logged(rows: list[dict]) -> bytes:
 
 
 def unheard(rows: list[dict]) -> bytes:
-    """Units behind headers of 32 bytes: magic, channel, length, time in milliseconds, sequence by channel, flag of key units."""
+    """Units behind headers of 32 bytes: magic, channel, length, time in milliseconds (25 units a second), sequence by channel, flag of key units."""
     image, seq = bytes([0xD7]) * LEAD, [0] * 5
     for r in rows:
         own, key = r["user_id"] % 4 + 1, r["event_type"] == "error"
         unit = body(r, kind=7) + body(r, kind=8) + body(r, kind=5) if key else body(r, kind=1)
-        image += b"XQ7RECV2" + struct.pack("<HH", own, 0) + struct.pack(">I", len(unit)) + struct.pack("<QIHH", r["us"] // 1000, seq[own], int(key), 0) + unit
+        image += b"XQ7RECV2" + struct.pack("<HH", own, 0) + struct.pack(">I", len(unit)) + struct.pack("<QIHH", synthetic.EPOCH * 1000 + 40 * r["event_id"], seq[own], int(key), 0) + unit
         seq[own] += 1
     return image
 
