@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.operators.segments import chained, scanned, segmented
+from frameloom.operators.segments import chained, scanned
 
 
 def run_ids(rows: DataFrame, keys: list[str], order: list[Column], breaks: Column, name: str = "run") -> DataFrame:
@@ -69,7 +69,7 @@ def thinned(rows: DataFrame, keys: list[str], ts: str, step: int, most: int) ->
     any length is spread over tasks.
     """
     ends = rows.where(F.col(ts).isNotNull()).select(*keys, F.col(ts), (F.col(ts) + step).alias("_until"))
-    kept = segmented(chained(ends, keys, ts, "_until").drop("_until"), keys, [ts])
+    kept = chained(ends, keys, ts, "_until", laid_out=True)
     totals = kept.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("*").alias("_n"))
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
     rows = scanned(kept, keys, [ts], sums={"_upto": F.lit(1)}).withColumn("_at", F.col("_upto") - 1).join(totals, same)

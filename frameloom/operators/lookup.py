@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 PAGE_DEFAULT, PAGE_MOST, SEARCH_MOST = 50, 500, 50
 DAY_US = 86_400_000_000
@@ -132,3 +134,61 @@ def over_budget(calls: DataFrame, asked: DataFrame, case: str, cap_total: int, c
     out = asked.join(by_case, case, "left").withColumn("spent_case", F.coalesce("spent_case", F.lit(0))).join(F.broadcast(total))
     refused = F.when(F.col("_total") + F.col("estimated") > cap_total, "total").when(F.col("spent_case") + F.col("estimated") > cap_case, "case")
     return out.withColumn("refused", refused).drop("_total")
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of three characters of a text in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1)))
+
+
+def gram_index(rows: DataFrame, ref: str, text: str) -> DataFrame:
+    """Postings gram, ref of a text column; write them by gram to search them often."""
+    return rows.select(F.explode(grams(F.col(text))).alias("gram"), F.col(ref).alias("ref")).distinct()
+
+
+def containing(rows: DataFrame, ref: str, text: str, sought: str, index: DataFrame | None = None) -> DataFrame:
+    """``rows`` whose text contains ``sought``, without case.
+
+    With an index the postings of all grams of the sought text are intersected, and only rows that hold all of them are
+    read; shorter texts than three characters are compared with every row.
+    """
+    holds = F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(sought.lower()))
+    low = sought.lower()
+    wanted = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    if index is None or not wanted:
+        return rows.where(holds)
+    all_of = index.where(F.col("gram").isin(wanted)).groupBy("ref").agg(F.count_distinct("gram").alias("_n")).where(F.col("_n") == len(wanted))
+    return rows.join(all_of.select(F.col("ref").alias("_ref")), rows[ref].eqNullSafe(F.col("_ref")), "left_semi").where(holds)
+
+
+#: Frames at a sought time that each case gives at most.
+FRAMES_A_CASE = 5
+KINDS = ("case", "evidence", "recording", "finding", "frame")
+
+
+def global_search(sought: str, cases: DataFrame, evidence: DataFrame, recordings: DataFrame, findings: DataFrame, frames: DataFrame, most: int = SEARCH_MOST) -> DataFrame:
+    """kind, id, case_id, label, detail: the first ``most`` hits by case, kind and id.
+
+    cases: case_id, number, title. evidence: id, case_id, path, sha256. recordings: id, case_id, channel, source. findings: id,
+    case_id, method, reasons (array). frames: id, case_id, channel, payload_offset, ts_us. A text is looked for without case in
+    numbers and titles, paths and ids, recording ids, methods and each reason; a time hh:mm:ss finds frames within a
+    second of it on any day, ``FRAMES_A_CASE`` of each case at most.
+    """
+    low = sought.strip().lower()
+    shape = lambda kind, rows, label, detail: rows.select(F.lit(KINDS.index(kind)).alias("_k"), F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.col("case_id").cast("string").alias("case_id"), label.cast("string").alias("label"), detail.cast("string").alias("detail"))
+    has = lambda c: F.coalesce(F.contains(F.lower((F.col(c) if isinstance(c, str) else c).cast("string")), F.lit(low)), F.lit(False))
+    out = shape("case", cases.where(has("number") | has("title")).withColumn("id", F.col("case_id")), F.col("title"), F.col("number"))
+    out = out.unionByName(shape("evidence", evidence.where(has("path") | has("id")), F.col("path"), F.concat(F.lit("sha256="), F.substring("sha256", 1, 12), F.lit("…"))))
+    out = out.unionByName(shape("recording", recordings.where(has("id")), F.concat(F.lit("channel "), F.col("channel").cast("string")), F.col("source")))
+    told = findings.where(has("method") | F.coalesce(F.exists("reasons", has), F.lit(False)))
+    out = out.unionByName(shape("finding", told, F.col("method"), F.substring(F.array_join("reasons", "; "), 1, 200)))
+    clock = re.fullmatch(r"(\d{1,2}):(\d{2}):(\d{2})", low, re.ASCII)
+    if clock:
+        h, m, s = map(int, clock.groups())
+        near = time_of_day(frames, "ts_us", 3600 * h + 60 * m + s, 1)
+        first = Window.partitionBy("case_id").orderBy("channel", "ts_us", "payload_offset")
+        near = near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= FRAMES_A_CASE)  # Spark keeps so many a case in each task
+        out = out.unionByName(shape("frame", near, F.concat(F.lit("channel "), F.col("channel").cast("string"), F.lit(f" @ {low}")), F.concat(F.lit("payload_offset="), F.col("payload_offset").cast("string"))))
+    if not low:
+        out = out.where("false")
+    return out.orderBy("case_id", "_k", "id").limit(most).drop("_k")

@@ -179,7 +179,7 @@ def carved(ranges: DataFrame, family: str, segments: int | None = None) -> DataF
             at = data.find(signature, at + 1)
 
     found = _mapped(ranges, of, FRAME_COLUMNS)
-    laid = segmented(chained(found, ["image"], "header_offset", "end_offset", segments), ["image"], ["header_offset"], segments)
+    laid = chained(found, ["image"], "header_offset", "end_offset", segments, laid_out=True)
     where = (["image"], ["header_offset"])
     follows = scanned(laid, *where, lag={"_end": F.col("end_offset")})
     begins = F.coalesce(F.col("_end") != F.col("header_offset"), F.lit(True))

@@ -85,10 +85,11 @@ def _next_places(place, until):
     return np.maximum(np.searchsorted(place, until, side="left"), np.arange(1, len(place) + 1))
 
 
-def chained(rows: DataFrame, keys: list[str], place: str, until: str, segments: int | None = None) -> DataFrame:
+def chained(rows: DataFrame, keys: list[str], place: str, until: str, segments: int | None = None, laid_out: bool = False) -> DataFrame:
     """The rows kept by going through each key's rows by ``place``: the first, then each whose place is at or beyond ``until`` of the last one kept.
 
     Rows without a place or end are left out; of rows alike in key and place the one that ends first comes first.
+    ``laid_out``: stored in their segments of (keys, place), as ``scanned`` takes them.
     """
     import pyarrow as pa
 
@@ -146,4 +147,5 @@ def chained(rows: DataFrame, keys: list[str], place: str, until: str, segments:
     narrow = _beside(laid.select(SEGMENT, *keys, place, until), reach, keys)
     found = narrow.groupBy(SEGMENT, *keys).applyInArrow(ways, ways_schema)
     known = stored(found.groupBy(*keys).applyInArrow(entries, entry_schema), "entries")
-    return _beside(laid, known, keys).groupBy(SEGMENT, *keys).applyInArrow(keep, laid.schema).drop(SEGMENT)
+    kept = _beside(laid, known, keys).groupBy(SEGMENT, *keys).applyInArrow(keep, laid.schema)
+    return stored(kept, "chain") if laid_out else kept.drop(SEGMENT)

@@ -96,6 +96,60 @@ def global_search(spark, sf):
     return named("customer", "c_custkey", "c_name", "customer").unionByName(named("part", "p_partkey", "p_name", "part")).unionByName(noon).orderBy("kind", "ref").limit(lookup.SEARCH_MOST)
 
 
+_SEARCHED = (
+    REC
+    + ", ca AS (SELECT n_nationkey AS case_id, 'CASE-' || n_nationkey AS number, n_name AS title FROM nation), im AS (SELECT 'img_' || s_suppkey AS id, s_nationkey AS case_id, s_name AS path, sha256(s_name) AS sha FROM supplier),"
+    " rs AS (SELECT recording_id AS id, channel % 25 AS case_id, channel, n_frames, deleted, 'first at ' || first_off AS r1, n_frames || ' frames' AS r2 FROM rec)"
+)
+
+
+def _search_sql(sought: str, second: int | None = None) -> str:
+    has = lambda c: f"contains(lower({c}), '{sought}')"
+    parts = [
+        f"SELECT 0 AS k, 'case' AS kind, CAST(case_id AS VARCHAR) AS id, CAST(case_id AS VARCHAR) AS case_id, title AS label, number AS detail FROM ca WHERE {has('number')} OR {has('title')}",
+        f"SELECT 1, 'evidence', id, CAST(case_id AS VARCHAR), path, 'sha256=' || substr(sha, 1, 12) || '…' FROM im WHERE {has('path')} OR {has('id')}",
+        f"SELECT 2, 'recording', id, CAST(case_id AS VARCHAR), 'channel ' || channel, 'index' FROM rs WHERE {has('id')}",
+        f"SELECT 3, 'finding', id, CAST(case_id AS VARCHAR), 'deleted', r1 || '; ' || r2 FROM rs WHERE deleted AND ({has("'deleted'")} OR {has('r1')} OR {has('r2')})",
+    ]
+    if second is not None:
+        near = f"abs(ts_us % 86400000000 - {second} * 1000000) <= 1000000"
+        parts.append(f"SELECT 4, 'frame', CAST(off AS VARCHAR), CAST(channel % 25 AS VARCHAR), 'channel ' || channel || ' @ {sought}', 'payload_offset=' || off FROM (SELECT *, row_number() OVER (PARTITION BY channel % 25 ORDER BY channel, ts_us, off) AS r FROM fr WHERE {near}) WHERE r <= 5")
+    return f"WITH {_SEARCHED}, hits AS ({' UNION ALL '.join(parts)}) SELECT kind, id, case_id, label, detail FROM hits ORDER BY case_id, k, id LIMIT 50"
+
+
+def _searched(spark, sf, sought: str):
+    """Nations as cases, suppliers as their images, and the recordings and frames of every 25th channel as theirs."""
+    fr = frames(spark, sf)
+    case_id = (F.col("channel") % 25).alias("case_id")
+    nation, supplier, rec = table(spark, sf, "nation"), table(spark, sf, "supplier"), recordings(fr)
+    cases = nation.select(F.col("n_nationkey").alias("case_id"), F.concat(F.lit("CASE-"), F.col("n_nationkey").cast("string")).alias("number"), F.col("n_name").alias("title"))
+    evidence = supplier.select(F.concat(F.lit("img_"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_nationkey").alias("case_id"), F.col("s_name").alias("path"), F.sha2("s_name", 256).alias("sha256"))
+    reasons = F.array(F.concat(F.lit("first at "), F.col("first_off").cast("string")), F.concat(F.col("n_frames").cast("string"), F.lit(" frames")))
+    found = rec.where("deleted").select(F.col("recording_id").alias("id"), case_id, F.lit("deleted").alias("method"), reasons.alias("reasons"))
+    own = fr.select(F.col("off").alias("id"), case_id, "channel", F.col("off").alias("payload_offset"), "ts_us")
+    return lookup.global_search(sought, cases, evidence, rec.select(F.col("recording_id").alias("id"), case_id, "channel", F.lit("index").alias("source")), found, own)
+
+
+@query("case_search_text", _search_sql("12"))
+def case_search_text(spark, sf):
+    """The first fifty hits of a text in cases, images, recordings and reasons of findings."""
+    return _searched(spark, sf, " 12")
+
+
+@query("case_search_time", _search_sql("00:00:07", 7))
+def case_search_time(spark, sf):
+    """Frames at a time of day, five a case at most."""
+    return _searched(spark, sf, "00:00:07")
+
+
+@query("gram_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'ionea') UNION ALL SELECT doc_id FROM documents WHERE contains(lower(text), 'ß')")
+def gram_search(spark, sf):
+    """Documents that hold a text: candidates by postings of three characters, then the text itself; a shorter one in every document."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    index = lookup.gram_index(d, "doc_id", "text")
+    return lookup.containing(d, "doc_id", "text", "IONEA", index).unionByName(lookup.containing(d, "doc_id", "text", "ß", index)).select("doc_id")
+
+
 @query("asof_keyframe", f"WITH {FR} SELECT f.channel, f.off, k.off AS key_off FROM (SELECT * FROM fr WHERE kind <> 'view') f ASOF LEFT JOIN (SELECT channel, off FROM fr WHERE kind = 'view') k ON f.channel = k.channel AND f.off >= k.off")
 def asof_keyframe(spark, sf):
     fr = frames(spark, sf).select("channel", "off", "kind")
