@@ -131,3 +131,33 @@ def test_over_budget(spark):
     assert got == {("a", 5): (70, None), ("a", 31): (70, "case"), ("b", 30): (10, None), ("c", 100): (0, None), ("c", 121): (0, "total")}
     empty = lookup.over_budget(calls.limit(0), asked.where("case = 'c'"), "case", 110, 200)
     assert {r.refused for r in empty.collect()} == {None, "total"}
+
+
+def test_global_search_caps_reasons_and_order(spark):
+    cases = spark.createDataFrame([(1, "C-1", "Depot"), (2, "C-2", None)], "case_id int, number string, title string")
+    evidence = spark.createDataFrame([("i1", 1, "/x/Depot.raw", "a" * 64), ("i2", 2, None, None)], "id string, case_id int, path string, sha256 string")
+    recordings = spark.createDataFrame([("r-depot", 2, 4, "index")], "id string, case_id int, channel int, source string")
+    findings = spark.createDataFrame([("f1", 1, "overwrite", ["at the DEPOT", "later"]), ("f2", 1, "format", None), ("f3", 2, "depot", [])], "id string, case_id int, method string, reasons array<string>")
+    noon = 12 * 3_600_000_000
+    frames = spark.createDataFrame([(i, 1 + i % 2, 3, i, noon + i * 100_000 + (i % 3) * 86_400_000_000) for i in range(30)], "id long, case_id int, channel int, payload_offset long, ts_us long")
+    find = lambda q, **k: [(r.kind, r.id, r.case_id, r.detail) for r in lookup.global_search(q, cases, evidence, recordings, findings, frames, **k).collect()]
+    assert find(" depot ") == [
+        ("case", "1", "1", "C-1"),
+        ("evidence", "i1", "1", "sha256=" + "a" * 12 + "…"),
+        ("finding", "f1", "1", "at the DEPOT; later"),
+        ("recording", "r-depot", "2", "index"),
+        ("finding", "f3", "2", ""),
+    ]
+    at = find("12:00:00")
+    assert [(c, sum(x[2] == c for x in at)) for c in ("1", "2")] == [("1", 5), ("2", 5)] and {x[0] for x in at} == {"frame"}
+    assert find("12:00:00", most=3) == at[:3] and find("  ") == [] and find("99:99:99") == [] and len(find("i")) == 3
+
+
+def test_postings_of_grams(spark):
+    rows = spark.createDataFrame([(1, "The Cat sat"), (2, "scatter"), (3, "ca t"), (None, "cat"), (5, None), (6, "at"), (7, "catXcat\ncat")], "id int, t string")
+    index = lookup.gram_index(rows, "id", "t")
+    for q in ("cat", "CAT", "at", "tcat", "cat sat", "t\nc", ""):
+        want = sorted((r.id or 0) for r in rows.collect() if r.t is not None and q.lower() in r.t.lower()) if q else None
+        got = sorted((r.id or 0) for r in lookup.containing(rows, "id", "t", q, index).collect())
+        assert q == "" or got == want
+        assert got == sorted((r.id or 0) for r in lookup.containing(rows, "id", "t", q).collect())
