@@ -49,13 +49,29 @@ def nal_type(first: int, codec: str) -> int:
     return first & 31 if codec == "h264" else first >> 1 & 63
 
 
+# Types that are likely in streams of either codec, and those that tell them apart (parameter sets and key slices).
+PLAUSIBLE = {"h264": (1, 5, 7, 8), "h265": (1, 19, 20, 32, 33, 34)}
+TELLING = {"h264": (5, 7, 8), "h265": (19, 20, 33, 34)}
+
+
+def plain_type(kind: int, codec: str) -> int:
+    """A NAL type in terms of H.264: 1 and 5 slices, 6 side information, 7 and 8 parameter sets, 9 delimiters; others as they are."""
+    if codec == "h264":
+        return kind
+    if kind in (19, 20):
+        return 5
+    if kind < 10 or kind in (16, 17, 18, 21):
+        return 1
+    return {32: 6, 33: 7, 34: 8, 35: 9, 39: 6, 40: 6}.get(kind, 0)
+
+
 def start_codes(row: dict, codec: str) -> Iterator[tuple[int, bool, int]]:
-    """Place in the window's data, whether a zero stands before it, and the type of each start code in the core."""
+    """Place in the window's data, whether a zero stands before it, and the type of each start code in the core; ``codec`` "byte": the byte instead."""
     data, core = row["data"], row["core_end"] - row["core_start"]
     for m in re.finditer(b"\x00\x00\x01", data):
         at = m.start()
         if at < core and m.end() < len(data):
-            yield at, (data[at - 1] if at else row["before"]) == 0, nal_type(data[m.end()], codec)
+            yield at, (data[at - 1] if at else row["before"]) == 0, data[m.end()] if codec == "byte" else nal_type(data[m.end()], codec)
 
 
 def scan_annexb(rows: DataFrame, codec: str = "h264") -> DataFrame:
@@ -72,6 +88,33 @@ def scan_annexb(rows: DataFrame, codec: str = "h264") -> DataFrame:
     return _mapped(rows, of, "image string, offset long, sc_len int, nal_type int")
 
 
+def scan_either(rows: DataFrame) -> DataFrame:
+    """image, offset, sc_len, nal_type, codec of each start code, read as H.264 where its type is likely there, else as H.265 where it is there, else as H.264."""
+
+    def of(row: dict):
+        for at, four, first in start_codes(row, "byte"):
+            codec = next((c for c in PLAUSIBLE if nal_type(first, c) in PLAUSIBLE[c]), "h264")
+            yield row["image"], row["core_start"] + at - four, 3 + four, nal_type(first, codec), codec
+
+    return _mapped(rows, of, "image string, offset long, sc_len int, nal_type int, codec string")
+
+
+def codecs(rows: DataFrame) -> DataFrame:
+    """image, codec, h264, h265: what parameter sets and key slices of each codec an image holds, and the codec that has more; H.264 where equal.
+
+    Every window counts for itself, so what is shuffled is a row a window.
+    """
+    from pyspark.sql import functions as F
+
+    def of(row: dict):
+        seen = [first for _, _, first in start_codes(row, "byte")]
+        # the first bit of a header is zero in both
+        yield row["image"], *(sum(b < 128 and nal_type(b, c) in TELLING[c] for b in seen) for c in TELLING)
+
+    votes = _mapped(rows, of, "image string, h264 long, h265 long").groupBy("image").agg(F.sum("h264").alias("h264"), F.sum("h265").alias("h265"))
+    return votes.withColumn("codec", F.when(F.col("h265") > F.col("h264"), "h265").otherwise("h264"))
+
+
 def block_entropy(rows: DataFrame, block: int = 1 << 20) -> DataFrame:
     """image, offset, entropy in bits a byte of each block of a window; windows are whole numbers of blocks but the last."""
 

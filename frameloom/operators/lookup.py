@@ -78,21 +78,52 @@ def time_of_day(frames: DataFrame, ts: str, second: int, slack: int = 1) -> Data
 
 
 def parsed_datetime(text: Column) -> Column:
-    """Epoch microseconds of the first date and time in a text that is on the calendar: year first, day first, US with AM or PM."""
-    iso = r"([0-9]{4})-([0-9]{2})-([0-9]{2})[ T]([0-9]{2}):([0-9]{2}):([0-9]{2})"
-    dmy = r"([0-9]{2})-([0-9]{2})-([0-9]{4})[ T]([0-9]{2}):([0-9]{2}):([0-9]{2})"
-    us = r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}) ([0-9]{1,2}):([0-9]{2}):([0-9]{2}) ([AP])M"
-    g = lambda p, i: F.regexp_extract(text, p, i)
-    stamp = lambda y, m, d, h, mi, s: F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"), F.lit(" "), F.lpad(h, 2, "0"), F.lit(":"), mi, F.lit(":"), s)
-    hour = g(us, 4).cast("int") % 12 + F.when(g(us, 7) == "P", 12).otherwise(0)
-    tries = [
-        F.when(F.length(g(iso, 0)) > 0, stamp(*(g(iso, i) for i in range(1, 7)))),
-        F.when(F.length(g(dmy, 0)) > 0, stamp(g(dmy, 3), g(dmy, 2), g(dmy, 1), g(dmy, 4), g(dmy, 5), g(dmy, 6))),
-        F.when(F.length(g(us, 0)) > 0, stamp(g(us, 3), g(us, 1), g(us, 2), hour.cast("string"), g(us, 5), g(us, 6))),
+    """Epoch microseconds of the first date and time in a text that is on the calendar: year first, day first with hyphens, month first with slashes.
+
+    Each with 24 hours, or 12 and AM or PM; weekdays about it do not matter.
+    """
+    clock = r"([0-9]{1,2}):([0-9]{2}):([0-9]{2})(?:\s*(AM|PM|am|pm))?"
+    shapes = [  # pattern, and the places of year, month and day in it
+        (r"([0-9]{4})-([0-9]{2})-([0-9]{2})[ T]" + clock, (1, 2, 3)),
+        (r"([0-9]{2})-([0-9]{2})-([0-9]{4})(?:T|\s+)" + clock, (3, 2, 1)),
+        (r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\s+" + clock, (3, 1, 2)),
     ]
     epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
-    micros = [F.timestamp_diff("MICROSECOND", epoch, F.try_to_timestamp(t).cast("timestamp_ntz")) for t in tries]
-    return F.coalesce(*micros)
+
+    def micros(pattern: str, places: tuple[int, int, int]) -> Column:
+        g = lambda i: F.regexp_extract(text, pattern, i)
+        half, hour = F.upper(g(7)), F.try_to_number(F.lpad(g(4), 2, "0"), F.lit("00")).cast("int")
+        hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "PM", 12).otherwise(0))
+        year, month, day = (F.lpad(g(i), n, "0") for i, n in zip(places, (4, 2, 2), strict=True))
+        stamp = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), g(5), F.lit(":"), g(6))
+        return F.when(F.length(g(0)) > 0, F.timestamp_diff("MICROSECOND", epoch, F.try_to_timestamp(stamp).cast("timestamp_ntz")))
+
+    return F.coalesce(*(micros(*shape) for shape in shapes))
+
+
+def judged_sentences(sentences: DataFrame, facts: DataFrame) -> DataFrame:
+    """``sentences`` (id, text, evidence_ids) with ``reasons`` why each may not stand, none if it may.
+
+    Without evidence nothing else is checked. Ids that no fact (id, text) has are named; numbers, thousands' commas left out,
+    must all stand in the facts that are cited. Sentences meet their facts by id, so neither side is gathered.
+    """
+    numbers = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit(""))))
+    cited = sentences.select(F.col("id").alias("_s"), F.explode(F.array_distinct("evidence_ids")).alias("_e"))
+    known = facts.select(F.col("id").alias("_f"), numbers(F.col("text")).alias("_n"))
+    met = cited.join(known, F.col("_e") == F.col("_f"), "left").groupBy("_s").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_f").isNull(), F.col("_e")))).alias("_unknown"), F.flatten(F.collect_list("_n")).alias("_told")
+    )  # a sentence cites few
+    rows = sentences.join(met, F.col("id") == F.col("_s"), "left")
+    bare = F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0
+    left = F.sort_array(F.array_except(numbers(F.coalesce("text", F.lit(""))), F.coalesce("_told", F.array().cast("array<string>"))))
+    reasons = F.array_compact(
+        F.array(
+            F.when(bare, "cites nothing"),
+            F.when(~bare & (F.size("_unknown") > 0), F.concat(F.lit("cites what is not known: "), F.array_join("_unknown", ", "))),
+            F.when(~bare & (F.size(left) > 0), F.concat(F.lit("numbers that no cited fact has: "), F.array_join(left, ", "))),
+        )
+    )
+    return rows.select(*sentences.columns, reasons.alias("reasons"))
 
 
 def unsupported_numbers(sentence: Column, facts: Column) -> Column:

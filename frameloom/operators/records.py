@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.operators.bytescan import _mapped, start_codes, unit_kind
+from frameloom.operators.bytescan import _mapped, plain_type, start_codes, unit_kind
 from frameloom.operators.segments import chained, scanned, segmented
 
 # Fixed values of the formats.
@@ -380,7 +380,7 @@ def sps(rbsp: bytes) -> dict[str, int]:
 
 
 def scan_units(rows: DataFrame, codec: str = "h264") -> DataFrame:
-    """Start codes as of ``scan_annexb`` with width, height and profile of parameter sets that can be read, and markers.
+    """Start codes as of ``scan_annexb``, types in terms of H.264, with width, height and profile of parameter sets that can be read, and markers.
 
     A row of nal_type -1 stands at the end of each window and one of -2 at its start: where both
     meet, windows join; elsewhere a range ends. Data must reach beyond the core by a parameter set.
@@ -399,6 +399,6 @@ def scan_units(rows: DataFrame, codec: str = "h264") -> DataFrame:
                     pass
                 if not all(0 < read.get(side, 0) < 1 << 16 for side in ("width", "height")):
                     read = {}
-            yield row["image"], row["core_start"] + at - four, 3 + four, kind, read.get("width"), read.get("height"), read.get("profile")
+            yield row["image"], row["core_start"] + at - four, 3 + four, plain_type(kind, codec), read.get("width"), read.get("height"), read.get("profile")
 
     return _mapped(rows, of, "image string, offset long, sc_len int, nal_type int, width int, height int, profile int")

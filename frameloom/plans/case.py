@@ -141,9 +141,16 @@ def generic_carve(windows: DataFrame, codec: str = "h264", pieces: int | None =
     Units end where the next begins, the last one of a range with the range; what no slice follows in
     its range goes. Width, height and profile of the first parameter set of a unit name its cluster;
     clusters are numbered by first appearance and carried forward; before the first there is none, and
-    parameter sets that cannot be read name none. An image is scanned in ``pieces``, whose number changes nothing.
+    parameter sets that cannot be read name none (of H.265 none is read). ``codec`` "auto" decides by image, before units are
+    grouped. An image is scanned in ``pieces``, whose number changes nothing.
     """
-    marks = records.scan_units(windows, codec).where(F.col("nal_type").isin(-2, -1, 1, 5, 6, 7, 8, 9))
+    if codec == "auto":
+        told = bytescan.codecs(windows).select("image", "codec")
+        marks = [records.scan_units(windows.join(told.where(F.col("codec") == c), "image", "left_semi").select(windows.columns), c) for c in ("h264", "h265")]
+        marks = marks[0].unionByName(marks[1])
+    else:
+        marks = records.scan_units(windows, codec)
+    marks = marks.where(F.col("nal_type").isin(-2, -1, 1, 5, 6, 7, 8, 9))
     same = Window.partitionBy("image", "offset")
     marks = marks.withColumn("_m", F.count(F.when(F.col("nal_type") < 0, 1)).over(same)).where("nal_type > 0 OR nal_type = -1 AND _m = 1").drop("_m")
     where = (["image"], ["offset", "nal_type"])

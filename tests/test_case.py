@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.operators import records
+from frameloom.operators import bytescan, records
 from frameloom.plans import case
 from frameloom.plans.images import as_range
 from frameloom.sources import images, synthetic, tables
@@ -128,3 +128,20 @@ def test_hex_view_manifest_and_export(spark, tmp_path):
 def test_first_case(spark):
     ids = spark.createDataFrame([("x", "case-b"), ("x", "case-a"), ("y", "case-c")], "id string, case_id string")
     assert {r.id: r.case_id for r in case.first_case(ids).collect()} == {"x": "case-a", "y": "case-c"}
+
+
+def test_codecs_are_told_apart_before_grouping(spark):
+    rnd = random.Random(9)
+    unit = lambda header, n=20: b"\x00\x00\x00\x01" + header + bytes(rnd.randrange(4, 256) for _ in range(n))
+    key, cut = unit(b"\x40\x01") + unit(b"\x42\x01") + unit(b"\x44\x01") + unit(b"\x26\x01"), unit(b"\x02\x01")
+    new = key + cut + cut + key + cut
+    old = b"".join(synthetic.access_unit(i % 3 == 0, rnd) for i in range(7))
+    windows = as_range(spark, new, name="new").union(as_range(spark, old, name="old"))
+    told = {r.image: (r.codec, r.h264, r.h265) for r in bytescan.codecs(windows).collect()}
+    assert told["new"][0] == "h265" and told["old"][0] == "h264" and told["new"][2] == 6
+    rows = case.generic_carve(windows, "auto").orderBy("image", "payload_offset").collect()
+    assert [r.frame_type for r in rows if r.image == "new"] == ["I", "P", "P", "I", "P"]
+    assert [r.payload_len for r in rows if r.image == "new"] == [len(key), len(cut), len(cut), len(key), len(cut)]
+    assert sorted(map(str, (r for r in rows if r.image == "old"))) == sorted(map(str, case.generic_carve(windows.where("image = 'old'")).collect()))
+    either = [(r.nal_type, r.codec) for r in bytescan.scan_either(windows.where("image = 'new'")).orderBy("offset").collect()]
+    assert either[1:4] == [(33, "h265"), (34, "h265"), (19, "h265")]

@@ -161,3 +161,28 @@ def test_postings_of_grams(spark):
         got = sorted((r.id or 0) for r in lookup.containing(rows, "id", "t", q, index).collect())
         assert q == "" or got == want
         assert got == sorted((r.id or 0) for r in lookup.containing(rows, "id", "t", q).collect())
+
+
+def test_dates_of_all_shapes(spark):
+    cases = {
+        "Mon 2024-03-05 07:08:09 Tue": "2024-03-05 07:08:09",
+        "x 2024-03-05T7:08:09 PM": "2024-03-05 19:08:09",
+        "05-03-2024  12:00:01am": "2024-03-05 00:00:01",
+        "Fri 03/05/2024 17:00:00 Fri": "2024-03-05 17:00:00",
+        "3/5/2024 5:00:00 PM": "2024-03-05 17:00:00",
+        "03/05/2024 12:30:00 PM": "2024-03-05 12:30:00",
+        "2024-13-05 07:08:09 then 05-03-2024 01:02:03": "2024-03-05 01:02:03",
+        "2024-02-30 07:08:09": None,
+        "no date 12:00:00": None,
+        "2024-03-05 25:00:00": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", lookup.parsed_datetime(F.col("t")).alias("us"), F.timestamp_micros(lookup.parsed_datetime(F.col("t"))).cast("string").alias("s"))
+    assert {r.t: r.s for r in rows.collect()} == cases
+
+
+def test_sentences_against_their_facts(spark):
+    facts = spark.createDataFrame([("f1", "1,250 frames on channel 3"), ("f2", "at 12.5 s"), ("f3", None)], "id string, text string")
+    rows = [(1, "1250 frames", ["f1"]), (2, "1250 frames at 12.5", ["f1"]), (3, "nothing", []), (4, "nothing", None), (5, "3 and 12.5 and 9", ["f2", "f1", "x", "a", "f2"]), (6, None, ["f3"]), (7, "7", ["f3"])]
+    out = {r.id: list(r.reasons) for r in lookup.judged_sentences(spark.createDataFrame(rows, "id int, text string, evidence_ids array<string>"), facts).collect()}
+    assert out == {1: [], 2: ["numbers that no cited fact has: 12.5"], 3: ["cites nothing"], 4: ["cites nothing"], 5: ["cites what is not known: a, x", "numbers that no cited fact has: 9"], 6: [], 7: ["numbers that no cited fact has: 7"]}
