@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.operators import clock, custody, islands, motion, stats, timeline, verdict
+from frameloom.operators import clock, custody, islands, motion, segments, stats, timeline, verdict
 from frameloom.operators.intervals import complement, nearest_within
 from frameloom.plans.registry import query
 from frameloom.sources.tables import FR, REC, H, frames, recordings, table, updated
@@ -385,8 +385,8 @@ def channel_ffill(spark, sf):
     s = frames(spark, sf).select("source", "off", F.when(F.col("off") % 4 == 0, F.col("kind")).alias("key"))
     first = s.where("key IS NOT NULL").groupBy("source", "key").agg(F.min("off").alias("f"))
     ids = first.select("source", "key", F.dense_rank().over(Window.partitionBy("source").orderBy("f")).cast("long").alias("id"))
-    w = Window.partitionBy("source").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    return s.join(ids, ["source", "key"], "left").select("source", "off", F.last("id", ignorenulls=True).over(w).alias("guess"))
+    laid = segments.segmented(s.join(ids, ["source", "key"], "left").select("source", "off", "id"), ["source"], ["off"])
+    return segments.scanned(laid, ["source"], ["off"], last={"guess": F.col("id")}).select("source", "off", "guess")
 
 
 @query("roster_guess", f"WITH {_STRICT} SELECT DISTINCT channel, CAST(run AS BIGINT) AS run, [11, 12, 14, 19][CAST(run % 4 AS BIGINT) + 1]::BIGINT AS guess FROM runs")
@@ -419,10 +419,10 @@ def signature_scan(spark, sf):
 
 @query("block_entropy", "WITH c AS (SELECT page_id, (i - 1) // 1024 AS block, substr(html, CAST(i AS BIGINT), 1) AS ch FROM (SELECT page_id, html, unnest(range(1, length(html) + 1)) AS i FROM pages)), n AS (SELECT page_id, block, ch, count(*) AS n FROM c GROUP BY 1, 2, 3), s AS (SELECT page_id, block, sum(n) AS t, sum(n * log2(n)) AS x FROM n GROUP BY 1, 2) SELECT page_id, block, CAST(t AS BIGINT) AS n, round(log2(t) - x / t, 6) AS entropy FROM s")
 def block_entropy(spark, sf):
-    """Entropy of each block of 1024 characters. Blocks are cut before they are spread into characters."""
-    p = table(spark, sf, "pages").select("page_id", "html", F.explode(F.sequence(F.lit(0), F.expr("(char_length(html) - 1) div 1024"))).alias("block")).where("char_length(html) > 0")
-    chars = p.select("page_id", F.col("block").cast("long").alias("block"), F.explode(F.split(F.substring(F.col("html"), F.col("block") * 1024 + 1, F.lit(1024)), "")).alias("ch")).where("ch <> ''")
-    return stats.entropy(chars, ["page_id", "block"], "ch").select("page_id", "block", "n", F.round("entropy", 6).alias("entropy"))
+    """Entropy of each block of 1024 characters, counted within the block's row: nothing is shuffled."""
+    p = table(spark, sf, "pages").where("char_length(html) > 0").select("page_id", "html", F.explode(F.sequence(F.lit(0), F.expr("(char_length(html) - 1) div 1024"))).alias("block"))
+    chars = F.sort_array(F.filter(F.split(F.substring(F.col("html"), F.col("block") * 1024 + 1, F.lit(1024)), ""), lambda c: c != ""))
+    return p.select("page_id", F.col("block").cast("long").alias("block"), stats.entropy_of(chars).alias("e")).select("page_id", "block", F.col("e.n").alias("n"), F.round("e.entropy", 6).alias("entropy"))
 
 
 @query("column_entropy_mode", "WITH c AS (SELECT i AS col, substr(text, CAST(i AS BIGINT), 1) AS ch FROM (SELECT text, unnest(range(1, 33)) AS i FROM documents WHERE length(text) >= 32)), n AS (SELECT col, ch, count(*) AS n FROM c GROUP BY 1, 2) SELECT col, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy, arg_max(ch, {'n': n, 'c': -unicode(ch)}) AS mode FROM n GROUP BY 1")
