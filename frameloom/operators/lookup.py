@@ -101,6 +101,23 @@ def parsed_datetime(text: Column) -> Column:
     return F.coalesce(*(micros(*shape) for shape in shapes))
 
 
+def export_selection(frames: DataFrame, recordings: DataFrame, recording_id: str | None = None, channel: int | None = None, from_us: int | None = None, to_us: int | None = None, ts: str = "ts_us") -> DataFrame:
+    """The frames of a recording, or of a channel in an inclusive time range.
+
+    KeyError if the recording is not there; ValueError if neither is asked for, or no frame of the channel fits.
+    """
+    if recording_id is not None:
+        if recordings.where(F.col("recording_id") == recording_id).isEmpty():
+            raise KeyError(recording_id)
+        return frames.where(F.col("recording_id") == recording_id)
+    if channel is None:
+        raise ValueError("ask for a recording, or for a channel with or without a time range")
+    out = frame_filter(frames, ts, from_us, to_us, channel=channel)
+    if out.isEmpty():
+        raise ValueError("no frames of this channel in this range")
+    return out
+
+
 def judged_sentences(sentences: DataFrame, facts: DataFrame) -> DataFrame:
     """``sentences`` (id, text, evidence_ids) with ``reasons`` why each may not stand, none if it may.
 

@@ -222,6 +222,33 @@ def manifest(frames: DataFrame, key: str = "recording_id") -> DataFrame:
     return out.withColumn("manifest_sha256", F.sha2(F.concat_ws("|", F.array_join("frame_ids", ","), shown), 256))
 
 
+def listed(rows: DataFrame, buckets: int = 4) -> DataFrame:
+    """count and sha256 of a list's rows, whatever their order: rows hash as JSON of their columns by name, nulls written.
+
+    Hashes meet in buckets by their first ``buckets`` digits, each in order, and the buckets' hashes in order make the list's, so no
+    task holds more than a bucket's share.
+    """
+    whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(rows.columns))), {"ignoreNullFields": "false"})
+    hashes = rows.select(F.sha2(whole, 256).alias("h"))
+    held = hashes.groupBy(F.substring("h", 1, buckets).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"))
+    named = F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
+    return held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.sha2(F.array_join(named, ""), 256).alias("sha256"))
+
+
+def case_manifest(facts: dict, lists: dict[str, DataFrame], limitations: Iterable[str] = ()) -> tuple[dict, str]:
+    """(manifest, its hash) over a case's facts and all of its lists (evidence, matches, recordings, findings, clocks, logs, drafts, anchors), each by count and hash.
+
+    The same rows in any order, and facts in any order, give the same bytes.
+    """
+    told = {}
+    for name in sorted(lists):
+        r = listed(lists[name]).first()
+        told[name] = {"count": r["count"], "sha256": r["sha256"]}
+    whole = {"facts": facts, "lists": told, "limitations": list(limitations)}
+    raw = json.dumps(whole, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return json.loads(raw), hashlib.sha256(raw.encode()).hexdigest()
+
+
 def export_verified(claims: DataFrame, found: DataFrame, key: str = "export_id", keys: dict[str, str] | None = None) -> DataFrame:
     """Whether each export's bytes, manifest and signature match its claim, and why not.
 

@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.operators import bytescan, records
+from frameloom.operators import bytescan, lookup, records
 from frameloom.plans import case
 from frameloom.plans.images import as_range
 from frameloom.sources import images, synthetic, tables
@@ -145,3 +145,24 @@ def test_codecs_are_told_apart_before_grouping(spark):
     assert sorted(map(str, (r for r in rows if r.image == "old"))) == sorted(map(str, case.generic_carve(windows.where("image = 'old'")).collect()))
     either = [(r.nal_type, r.codec) for r in bytescan.scan_either(windows.where("image = 'new'")).orderBy("offset").collect()]
     assert either[1:4] == [(33, "h265"), (34, "h265"), (19, "h265")]
+
+
+def test_case_manifest_does_not_depend_on_order(spark):
+    rows = spark.range(500).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("channel"))
+    none = rows.limit(0)
+    one = case.case_manifest({"number": "C-1", "title": "x"}, {"recordings": rows, "findings": none}, ["synthetic"])
+    two = case.case_manifest({"title": "x", "number": "C-1"}, {"findings": none, "recordings": rows.orderBy(F.rand(1)).repartition(7).select("channel", "id")}, ["synthetic"])
+    assert one == two and one[0]["lists"]["recordings"]["count"] == 500 and one[0]["lists"]["findings"]["count"] == 0
+    other = rows.withColumn("channel", F.when(F.col("id") == "r9", F.lit(1).cast("long")).otherwise(F.col("channel")))
+    assert case.case_manifest({"number": "C-1", "title": "x"}, {"recordings": other, "findings": none}, ["synthetic"])[1] != one[1]
+    assert case.case_manifest({"number": "C-1", "title": "x"}, {"recordings": rows.union(rows.where("id = 'r1'")), "findings": none}, ["synthetic"])[1] != one[1]
+
+
+def test_export_selection(spark):
+    frames = spark.createDataFrame([("r1", 1, 5), ("r1", 1, None), ("r2", 2, 9)], "recording_id string, channel int, ts_us long")
+    recordings = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "recording_id string")
+    pick = lambda **k: lookup.export_selection(frames, recordings, **k).count()
+    assert pick(recording_id="r1") == 2 and pick(recording_id="r3") == 0 and pick(channel=1) == 2 and pick(channel=1, from_us=5, to_us=5) == 1
+    for bad, error in (({"recording_id": "r9"}, KeyError), ({}, ValueError), ({"from_us": 1}, ValueError), ({"channel": 3}, ValueError), ({"channel": 1, "from_us": 6}, ValueError)):
+        with pytest.raises(error):
+            pick(**bad)
