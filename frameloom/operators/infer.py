@@ -86,12 +86,12 @@ def _columns(head) -> tuple[list[bool], list[int]]:
 
 
 def _like_a_field(head, at: int) -> bool:
-    """Whether this byte and the next, in either order, take a few values that lie close together: a small number, no part of a magic."""
+    """Whether this byte and the next, in either order, are a small number of a few values that lie close together, so no part of a magic."""
     import numpy as np
 
     for big in (True, False):
         values = np.unique(_values(head, at, 2, "big" if big else "little"))
-        if FEW[0] <= len(values) <= FEW[1] and len(values) >= DENSE * (int(values[-1]) - int(values[0]) + 1):
+        if FEW[0] <= len(values) <= FEW[1] and values[-1] < 256 and len(values) >= DENSE * (int(values[-1]) - int(values[0]) + 1):
             return True
     return False
 
