@@ -124,7 +124,7 @@ def infer_layout(spark, sf):
 _UN = EV + f", un AS (SELECT *, CASE WHEN event_type = 'error' THEN 15 + 3 * n ELSE 5 + n END AS size FROM ev), pl AS (SELECT *, {rendered.LEAD} + {_along('32 + size')} AS header_offset FROM un)"
 
 
-@query("replay_layout", f"WITH {_UN} SELECT image, user_id % 4 + 1 AS channel, header_offset, header_offset + 32 AS payload_offset, size AS payload_len, ({synthetic.EPOCH} * 1000 + 40 * event_id) * 1000 AS ts_us, CASE WHEN event_type = 'error' THEN 'I' ELSE 'P' END AS kind FROM pl")
+@query("replay_layout", f"WITH {_UN} SELECT image, user_id % 4 + 1 AS channel, header_offset, header_offset + 32 AS payload_offset, size AS payload_len, (CAST({synthetic.EPOCH} AS BIGINT) * 1000 + 40 * event_id) * 1000 AS ts_us, CASE WHEN event_type = 'error' THEN 'I' ELSE 'P' END AS kind FROM pl")
 def replay_layout(spark, sf):
     """Every unit of all images read through the layout that the first one shows."""
     whole = images(spark, sf, rendered.unheard)
