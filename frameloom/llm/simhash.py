@@ -150,10 +150,14 @@ def hex_fingerprint(fp: Column) -> Column:
 #: Near-duplicate groups: places of a signature, and how many of them 0.8 alike texts share at least.
 PLACES = 64
 LEAST_SHARED = 40
-#: Bytes of a key and number of keys: at first, and for what stays in long lists.
-KEYS = ((4, 16), (8, 80), (16, 120))
+#: Bytes of a key and number of keys.
+KEY_BYTES, KEYS = 4, 16
 #: Entries that a random part of a list holds on average.
 PART = 6
+#: Classes of shingles by their first 16 bits, counted to put common shingles last.
+CLASSES = 1 << 16
+#: Bounds of similarity give way by so much, that rounding loses no pair.
+SLACK = 1e-6
 
 
 def _orders():
@@ -215,27 +219,26 @@ def shared_places(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def _places(level: int) -> list[list[int]]:
-    """The positions of each key of a level: random orders of all places, cut into keys."""
-    width, n = KEYS[level]
-    rnd = random.Random(level)
-    orders = [rnd.sample(range(PLACES), PLACES) for _ in range(n * width // PLACES)]
-    return [order[i : i + width] for order in orders for i in range(0, PLACES, width)]
+def _places() -> list[list[int]]:
+    """The positions of each key: random orders of all places, cut into keys."""
+    rnd = random.Random(0)
+    orders = [rnd.sample(range(PLACES), PLACES) for _ in range(KEYS * KEY_BYTES // PLACES)]
+    return [order[i : i + KEY_BYTES] for order in orders for i in range(0, PLACES, KEY_BYTES)]
 
 
-def _lists(nodes: DataFrame, level: int) -> DataFrame:
-    """list, node: ``nodes`` (node, signature) under the level's keys; lists of one are gone."""
-    keys = F.transform(F.lit(_places(level)), lambda key: F.xxhash64(F.transform(key, lambda i: F.get("signature", i))))
+def _lists(nodes: DataFrame) -> DataFrame:
+    """list, node: ``nodes`` (node, signature) under their keys; lists of one are gone."""
+    keys = F.transform(F.lit(_places()), lambda key: F.xxhash64(F.transform(key, lambda i: F.get("signature", i))))
     cells = nodes.select("node", F.posexplode(keys).alias("key", "value")).select(F.xxhash64("key", "value").alias("list"), "node")
     several = cells.groupBy("list").agg(F.count("*").alias("_n")).where("_n > 1").select("list")
     return cells.join(several, "list")
 
 
 def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """list, node, root, n: the lists whose entries are not all in one group yet, with their lengths."""
+    """``lists`` with root and n: those whose entries are not all in one group yet, with their lengths."""
     rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("list").agg(F.min("root").alias("_r0"), F.max("root").alias("_r1"), F.count("*").alias("n")).where("_r0 < _r1")
-    return rooted.join(split, "list").select("list", "node", "root", "n")
+    return rooted.join(split, "list").select(*lists.columns, "root", "n")
 
 
 def _stars(mixed: DataFrame) -> DataFrame:
@@ -279,17 +282,89 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "_text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def _alike(pairs: DataFrame, heads: DataFrame, keyed: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of at least ``least``, stored."""
-    pairs = stored(_tallied(pairs, heads, least), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(heads, "node")
-    wanted = stored(wanted.select("node", F.col("head._key").alias("_key")), "near-wanted")
-    sets = stored(_shingle_sets(keyed.join(bounded(wanted), "_key"), width).dropDuplicates(["node"]), "near-shingles")
+def _texts_of(nodes: DataFrame, heads: DataFrame, keyed: DataFrame, width: int, label: str) -> DataFrame:
+    """``_shingle_sets`` of the distinct ``nodes``, stored."""
+    wanted = stored(nodes.distinct().join(heads, "node").select("node", F.col("head._key").alias("_key")), f"{label}-wanted")
+    return stored(_shingle_sets(keyed.join(bounded(wanted), "_key"), width).dropDuplicates(["node"]), label)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose shingle sets (stored) have a Jaccard similarity of at least ``least``, stored."""
+    sets = bounded(sets)
     left, right = (sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}")) for name in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
     return stored(both.where(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"), "near-edges")
 
 
+def _class_counts(sets: DataFrame):
+    """How often shingles of each class occur, as far as tasks see them more than once: at most ``CLASSES`` sums."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(CLASSES, dtype=np.int64)
+        for batch in batches:
+            shingles = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            own += np.bincount((shingles >> np.uint64(48)).astype(np.int64), minlength=CLASSES)
+        several = np.nonzero(own > 1)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(several), pa.array(own[several])], names=["class", "n"])
+
+    out = np.zeros(CLASSES, dtype=np.int64)
+    for row in sets.select("shingles").mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        out[row["class"]] = row["n"]
+    return out
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """list, node, at, size: the first shingles of each set, rare ones first, with their places.
+
+    Sets of a similarity of at least ``least`` share one of them, whatever the order, so the
+    counts that make it need not be exact.
+    """
+    import pyarrow as pa
+
+    shared = sets.sparkSession.sparkContext.broadcast(_class_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            lists, nodes, places, sizes = [], [], [], []
+            for node, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = own.values.to_numpy(zero_copy_only=False)
+                classes = own.view(np.uint64) >> np.uint64(48)
+                n = len(own) - int(np.ceil(least * len(own) - SLACK)) + 1
+                lists.append(own[np.lexsort((own, shared.value[classes.astype(np.int64)]))[:n]])
+                nodes.append(np.full(n, node))
+                places.append(np.arange(n))
+                sizes.append(np.full(n, len(own)))
+            columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64)) for c in (lists, nodes, places, sizes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["list", "node", "at", "size"])
+
+    return sets.mapInArrow(run, "list long, node long, at long, size long")
+
+
+def _within_reach(x: str, y: str, least: float) -> Column:
+    """Whether two sets can be alike whose first common shingle is this one: from here on the shorter rest must do."""
+    rest = F.least(*(F.col(f"{z}.size") - F.col(f"{z}.at") for z in (x, y)))
+    return rest >= least / (1 + least) * (F.col(f"{x}.size") + F.col(f"{y}.size")) - SLACK
+
+
+def _prefix_stars(mixed: DataFrame, least: float) -> DataFrame:
+    """a, b: one entry of each list of prefixes, drawn by hash, with those of other groups within its reach."""
+    entry = F.struct("node", "root", "at", "size")
+    heads = mixed.groupBy("list").agg(F.min_by(entry, F.xxhash64("list", "node")).alias("h"))
+    both = mixed.select("list", entry.alias("x")).join(heads, "list").where("x.root <> h.root").where(_within_reach("x", "h", least))
+    return both.select(F.least("x.node", "h.node").alias("a"), F.greatest("x.node", "h.node").alias("b"))
+
+
+def _prefix_crossing(mixed: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs of one list of prefixes that are in different groups and within reach."""
+    left, right = (mixed.select("list", F.struct("node", "root", "at", "size").alias(name)) for name in "xy")
+    both = left.join(right, "list").where("x.node < y.node and x.root <> y.root").where(_within_reach("x", "y", least))
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def near_groups(docs: DataFrame, doc_id: str, text: str, width: int = 5, least: float = 0.8) -> DataFrame:
     """_id, _key, root: documents with equal ``root`` are exact or near copies, linked directly or in a chain.
 
@@ -301,11 +376,11 @@ def near_groups(docs: DataFrame, doc_id: str, text: str, width: int = 5, least:
     Entries of a list are compared with its smallest one, then within random parts, which
     is in proportion to its length and joins most copies. Of lists that are not one group
     then, short ones give all pairs between groups. Entries of long ones are indexed anew
-    under longer keys, of which alike texts share some of many, and at the last
-    level all pairs between groups are compared: no list is capped. Of pairs at 0.8
-    about one in five hundred shares no list of the first two levels or too few bytes; of those
-    left to the last level, in families of hundreds of texts around 0.8 that the comparisons before did
-    not join, about one in four at 0.80 shares none of it (recall there: 0.76 at 0.80, 0.85 at 0.82, 0.94 at 0.85). Exact copies are collapsed before.
+    by prefixes: their shingles from rare to common, of which alike texts share one
+    among the first fifth. Of each such list one entry meets the others, and then all pairs of
+    different groups whose places leave room for ``least`` are compared. That is exact: no
+    list is capped, and no pair that shares a list is lost there. Of pairs at 0.8 about one in
+    five hundred shares no list or too few bytes. Exact copies are collapsed before.
     """
     spark = docs.sparkSession
     marked = stored(_marked_texts(docs, doc_id, text, width), "near-marks")
@@ -313,23 +388,27 @@ def near_groups(docs: DataFrame, doc_id: str, text: str, width: int = 5, least:
     heads = stored(heads.withColumn("node", F.monotonically_increasing_id()), "near-heads")
     keyed = docs.select(_key(docs[doc_id], docs[text]).alias("_key"), docs[text].alias("_text"))
 
-    def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-        edges = _alike(pairs, heads, keyed, width, least)
+    def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
         return stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges)), "near-roots")
 
-    lists = stored(_lists(heads.where("n > 0").select("node", "signature"), 0), "near-lists")
-    roots = joined(spark.createDataFrame([], "node long, root long"), _stars(lists.withColumn("root", F.col("node"))))
-    roots = joined(roots, _parts(_mixed(lists, roots)))
-    for level in range(1, len(KEYS) + 1):
-        mixed = stored(_mixed(lists, roots), "near-mixed")
-        if mixed.isEmpty():
-            break
-        pairs = _crossing(mixed if level == len(KEYS) else mixed.where(F.col("n") <= LIST_LENGTH))
-        if level < len(KEYS):
-            crowded = mixed.where(F.col("n") > LIST_LENGTH).select("node").distinct()
-            lists = stored(_lists(crowded.join(heads.select("node", "signature"), "node"), level), "near-lists")
-            pairs = pairs.union(_stars(_mixed(lists, roots)))
-        roots = joined(roots, pairs)
+    def tallied(pairs: DataFrame) -> DataFrame:
+        pairs = stored(_tallied(pairs, heads, least), "near-pairs")
+        return _alike(pairs, _texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), heads, keyed, width, "near-shingles"), least)
+
+    lists = stored(_lists(heads.where("n > 0").select("node", "signature")), "near-lists")
+    roots = joined(spark.createDataFrame([], "node long, root long"), tallied(_stars(lists.withColumn("root", F.col("node")))))
+    roots = joined(roots, tallied(_parts(_mixed(lists, roots))))
+    mixed = stored(_mixed(lists, roots), "near-mixed")
+    crowded = mixed.where(F.col("n") > LIST_LENGTH).select("node")
+    if crowded.isEmpty():
+        roots = joined(roots, tallied(_crossing(mixed)))
+    else:
+        sets = _texts_of(crowded, heads, keyed, width, "near-crowded")
+        prefixes = stored(_prefixes(sets, least), "near-prefixes")
+        short = _crossing(mixed.where(F.col("n") <= LIST_LENGTH))
+        roots = joined(roots, tallied(short.union(_prefix_stars(_mixed(prefixes, roots), least))))
+        pairs = stored(_prefix_crossing(stored(_mixed(prefixes, roots), "near-left"), least).distinct(), "near-crossing")
+        roots = joined(roots, _alike(pairs, sets, least))
     named = heads.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return marked.select("_id", "_key", "digest").join(named, "digest").select("_id", "_key", "root")
 

@@ -164,6 +164,33 @@ def test_long_lists_are_compared_whole(docs):
     assert {r.doc_id for r in simhash.near_deduped(docs(texts)).collect()} == set(parent)
 
 
+def test_no_link_of_a_crowded_list_is_lost(docs):
+    rnd = random.Random(23)
+    words = ["t%d" % i for i in range(184)]
+    texts = []  # each at 0.8 to the last text alone, and below it to one another
+    for m in range(320):
+        other = list(words)
+        for at in rnd.sample(range(5, 179, 5), 4):
+            other[at] = "r%d_%d" % (m, at)
+        texts.append(" ".join(other))
+    texts.append(" ".join(words))
+    assert {jaccard(texts[-1], t) for t in texts[:-1]} == {0.8} and jaccard(texts[0], texts[1]) < 0.8
+    assert [r.doc_id for r in simhash.near_deduped(docs(texts)).collect()] == [0]
+
+
+def test_prefixes_share_a_list_within_reach(spark):
+    rnd = random.Random(6)
+    sets = []
+    for i in range(160):
+        size = rnd.choice((1, 2, 4, 5, 9, 10, 40, 41))
+        sets.append(sorted(rnd.sample(sets[-1], min(len(sets[-1]), size)) if i % 2 else {rnd.getrandbits(64) - (1 << 63) for _ in range(size)}))
+    data = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    lists = simhash._prefixes(data, 0.8).selectExpr("*", "node as root")
+    got = {(r.a, r.b) for r in simhash._prefix_crossing(lists, 0.8).collect()}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len({*sets[i]} & {*sets[j]}) >= 4 * len({*sets[i]} | {*sets[j]})}
+    assert want and want <= got
+
+
 def test_every_kind_of_edit_is_found_in_families_of_any_size(docs):
     rnd = random.Random(31)
     texts, pairs = [], []
