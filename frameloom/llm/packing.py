@@ -23,10 +23,12 @@ an empty table has no rows; very long texts are cut into pieces; kept columns wh
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from struct import pack
+from unicodedata import category
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +42,11 @@ TRIALS = ((2, 128), (3, 96), (4, 64), (8, 40))
 #: Chunks of text whose ids a worker remembers before it forgets all of them, and their longest.
 MEMO = 1_000_000
 MEMO_CHARS = 64
-#: Letters before this one do not change under composition, and each has one lower-case letter or is skipped.
-LATIN_END = "\u0180"
-#: Marks that are cut off a chunk's end: none joins a letter before it to one character.
-MARKS = tuple(".,;:!?")
+#: Visible characters that do not change under composition, and of which each has one lower-case letter.
+LATIN = "".join(chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180)) if c != 0x130)
+
+#: Formats of so many ids.
+FORMATS = [f"<{n}I" for n in range(MEMO_CHARS)]
 
 _CODERS: dict[str, WordCoder] = {}
 
@@ -54,11 +57,30 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in seen)}
 
 
+def _pre_tokens() -> re.Pattern:
+    """The pattern of pre-tokens in lower-case text of ``LATIN`` characters: endings, runs of letters, single numbers, runs of marks."""
+    letters, numbers = (re.escape("".join(c for c in LATIN if category(c)[0] == kind)) for kind in "LN")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+")
+
+
+class _Memo(dict):
+    """The ids of chunks; what is not there is learned at the first use, and kept if it is short."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self.learn(chunk)
+        if len(chunk) <= MEMO_CHARS:
+            self[chunk] = out
+        return out
+
+
 class WordCoder:
     """Ids of a ``tokenizers`` file that lower-cases and whose pre-tokens end at white space and between letters and marks.
 
-    Chunks between blanks are encoded once and remembered, apart from a mark at their end. Of a chunk of Latin letters the
-    whole is one pre-token, so only the merges are asked for, where the file proves to be of that kind.
+    Chunks between blanks are encoded once and remembered. Those of Latin characters are cut into pre-tokens
+    here, of which only the merges are asked for, where the file proves to be of that kind.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,36 +88,32 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges = self.tokenizer.model.tokenize
         self.letters = byte_letters()
-        self.memo: dict[str, bytes] = {}
-        probes = ["a", "xyzzy", "plural", "\u00e9t\u00e9", "\u00fcber", "na\u00efve", "\u0161koda"]
-        self.by_merges = all(self._merged(w) == self.tokenizer.encode(w.upper(), add_special_tokens=False).ids for w in probes)
-
-    def _merged(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-
-    def _learn(self, missing: list[str]) -> None:
-        memo, cut, others = self.memo, [], set()
-        for chunk in missing:
-            stem, mark = (chunk[:-1], chunk[-1:]) if chunk[-1:] in MARKS else (chunk, "")
-            key = stem.lower()
-            if not (stem.isalpha() and max(stem) < LATIN_END and len(key) == len(stem)):
-                key, mark = chunk, ""
-                others.add(key)
-            elif key not in memo:
-                if self.by_merges:
-                    memo[key] = _packed(self._merged(key))
-                else:
-                    others.add(key)
-            if mark:
-                others.add(mark)
-            cut.append((key, mark))
-        others = [c for c in others if c not in memo]
-        for part, coded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            memo[part] = _packed(coded.ids)
-        for chunk, (stem, mark) in zip(missing, cut, strict=True):
-            if chunk not in memo:
-                memo[chunk] = memo[stem] + memo[mark] if mark else memo[stem]
+        self.latin = re.compile(f"[{re.escape(LATIN)}]+").fullmatch
+        self.pre_tokens = _pre_tokens().findall
+        self.memo = _Memo(self._learned)
+        probes = ["a", "xyzzy", "plural", "\u00e9t\u00e9", "\u00fcber", "na\u00efve", "\u0161koda", "it's", "we'LL,'tis''s", "a1b23", "x\u00b2\u00bd", "(no).?!", "a_b-c\u00d7d", "<|endoftext|>"]
+        self.by_merges = True
+        self.by_merges = all(self._learned(w) == self._whole(w) for w in probes)
+        self.memo.clear()
+
+    def _whole(self, chunk: str) -> bytes:
+        return _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    def _merged(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.merges(word)])
+
+    def _learned(self, chunk: str) -> bytes:
+        if not (self.by_merges and self.latin(chunk)):
+            return self._whole(chunk)
+        key = chunk.lower()
+        if key.isalpha():
+            return self._merged(key) if key == chunk else self.memo[key]
+        parts = self.pre_tokens(key)
+        return self._merged(key) if len(parts) == 1 else b"".join(map(self.memo.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -103,20 +121,15 @@ class WordCoder:
         if len(memo) >= MEMO:
             memo.clear()
         chunks = text.replace("\n", " ").split(" ")
-        missing = [c for c in set(chunks) if c not in memo]
-        if missing:
-            self._learn(missing)
-        out = b"".join(map(memo.__getitem__, chunks))
-        for chunk in missing:
-            if len(chunk) > MEMO_CHARS:
-                memo.pop(chunk, None)
-                memo.pop(chunk.lower(), None)
-                memo.pop(chunk.lower()[:-1], None)
-        return out
+        if not text.isascii():
+            others = [c for c in set(chunks) if c not in memo and not (self.by_merges and self.latin(c)) and len(c) <= MEMO_CHARS]
+            coded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else []
+            memo.update((chunk, _packed(c.ids)) for chunk, c in zip(others, coded, strict=True))
+        return b"".join(map(memo.__getitem__, chunks))
 
 
 def _packed(ids: list[int]) -> bytes:
-    return pack(f"<{len(ids)}I", *ids)
+    return pack(FORMATS[len(ids)], *ids) if len(ids) < len(FORMATS) else pack(f"<{len(ids)}I", *ids)
 
 
 def pieces(docs: DataFrame, text: str, keep: list[str], path: str, capacity: int = 2048, end: int = 0, ids: bool = True) -> DataFrame:

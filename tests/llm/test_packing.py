@@ -45,6 +45,19 @@ def test_chunks_encode_as_the_whole_text(text):
     assert np.frombuffer(coder().encode(text), dtype="<u4").tolist() == coder().tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from([*packing.LATIN, *"\u0130\u0301 \xa0\x85\n'stdmrelv"]), max_size=40))
+def test_pre_tokens_of_latin_text(text):
+    assert np.frombuffer(coder().encode(text), dtype="<u4").tolist() == coder().tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_latin_text_takes_the_merges_alone():
+    text = "Costs: $$40,000 (it's 1A2b)... \u00e9T\u00e9\u00b2! a_b-c**\nwe'll,%% x&&&"
+    fresh, want = packing.WordCoder(path()), tokenizer().encode(text, add_special_tokens=False).ids
+    fresh.tokenizer = None
+    assert np.frombuffer(fresh.encode(text), dtype="<u4").tolist() == want
+
+
 def test_special_strings_are_text():
     ids = np.frombuffer(coder().encode("a <|endoftext|> b<|startoftext|>"), dtype="<u4").tolist()
     assert not {49406, 49407} & set(ids) and ids == tokenizer().encode("a <|endoftext|> b<|startoftext|>", add_special_tokens=False).ids
