@@ -156,6 +156,8 @@ KEY_BYTES, KEYS = 4, 16
 PART = 6
 #: Classes of shingles by their first 16 bits, counted to put common shingles last.
 CLASSES = 1 << 16
+#: Bytes of shingle sets that may be broadcast.
+SETS_BYTES = 16 << 20
 #: Bounds of similarity give way by so much, that rounding loses no pair.
 SLACK = 1e-6
 
@@ -290,7 +292,8 @@ def _texts_of(nodes: DataFrame, heads: DataFrame, keyed: DataFrame, width: int,
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs whose shingle sets (stored) have a Jaccard similarity of at least ``least``, stored."""
-    sets = bounded(sets)
+    held = sets.agg(F.coalesce(F.sum(F.size("shingles") + 4), F.lit(0))).first()[0] * 8  # summed where it lies: sets are too large for one task
+    sets = F.broadcast(sets) if held <= SETS_BYTES else sets
     left, right = (sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}")) for name in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
     return stored(both.where(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"), "near-edges")
