@@ -4,7 +4,7 @@ A sequence (the rows of an image, a channel, a chain) is dealt to tasks by range
 segment is scanned by itself and summed up in one row; summaries, as many as there are segments, are scanned in turn, and what
 comes before a segment (or after it) is carried over its edge. Results are the same for any number of segments.
 
-``scanned`` does this for sums, maxima, last known values and neighbours. ``chained`` does it for the
+``scanned`` does this for sums, maxima, last and next known values and neighbours. ``chained`` does it for the
 greedy choice "keep a row, then the first one at or beyond where it ends": a segment is summed up as where
 it is left for each way in, and ways in are few, as they lie within the reach of what came before.
 """
@@ -45,16 +45,20 @@ def scanned(
     last: dict[str, Column] | None = None,
     lag: dict[str, Column] | None = None,
     lead: dict[str, Column] | None = None,
+    next_: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Segmented rows with, by name: sums up to the row, maxima before it, last known values up to it, and neighbours' values.
+    """Segmented rows with, by name: sums up to the row, maxima before it, last known values up to it, next ones from it on, and neighbours' values.
 
     A neighbour that is not there is null. Nulls count as nothing in sums and maxima; sums start from zero.
     """
-    sums, reaches, last, lag, lead = (x or {} for x in (sums, reaches, last, lag, lead))
+    sums, reaches, last, lag, lead, next_ = (x or {} for x in (sums, reaches, last, lag, lead, next_))
     at = F.struct(*order)
     here, over = Window.partitionBy(SEGMENT, *keys).orderBy(*order), Window.partitionBy(*keys).orderBy(SEGMENT)
     upto, before = (here.rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
     earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    # from the far end, as Spark goes over all that follows again for each row
+    onward = Window.partitionBy(SEGMENT, *keys).orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys).orderBy(F.col(SEGMENT).desc()).rowsBetween(Window.unboundedPreceding, -1)
     own, totals, carries, whole = {}, [], [], {}
 
     def add(name: str, value: Column, local: Column, total: Column, carry: Column, both) -> None:
@@ -69,6 +73,8 @@ def scanned(
         add(name, v, F.max(v).over(before), F.max(v), F.max(f"_t_{name}").over(earlier), lambda a, c: F.greatest(a, c))
     for name, v in last.items():
         add(name, v, F.last(v, ignorenulls=True).over(upto), F.max_by(v, F.when(v.isNotNull(), at)), F.last(f"_t_{name}", ignorenulls=True).over(earlier), lambda a, c: F.coalesce(a, c))
+    for name, v in next_.items():
+        add(name, v, F.last(v, ignorenulls=True).over(onward), F.min_by(v, F.when(v.isNotNull(), at)), F.last(f"_t_{name}", ignorenulls=True).over(later), lambda a, c: F.coalesce(a, c))
     for name, v in lag.items():
         add(name, v, F.lag(F.struct(v.alias("v"))).over(here), F.max_by(F.struct(v.alias("v")), at), F.lag(f"_t_{name}").over(over), lambda a, c: F.coalesce(a, c)["v"])
     for name, v in lead.items():
