@@ -45,6 +45,15 @@ def test_a_tie_goes_by_the_order_asked_for(spark):
     assert [r.j for r in nearest_within(left, right, "q", "at", "t", ["j"], 10).collect()] == [5]
 
 
+def test_many_rows_of_one_time_make_no_pairs(spark):
+    n = 2000
+    left = spark.range(n).select(F.col("id").alias("q"), F.lit(1000).cast("long").alias("at"))
+    right = spark.range(n).select(F.col("id").alias("j"), (F.lit(1000) + F.col("id") % 3).cast("long").alias("t"))
+    out = nearest_within(left, right, "q", "at", "t", ["t", "j"], 50)
+    assert {r.j for r in out.collect()} == {0} and out.count() == n
+    assert most_rows(out) <= 4 * n
+
+
 def test_verdicts_of_many_spans_about_one_time_make_no_pairs(spark):
     n = 2000
     spans = spark.range(n).selectExpr("id AS channel", "0L AS run", "1000L AS start_us", "1200L AS end_us", "3L AS n_frames", "9L AS n_bytes")
