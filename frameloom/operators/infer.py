@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.operators.bytescan import _mapped
 from frameloom.operators.segments import scanned, segmented
 from frameloom.sources.images import bytes_of
 
@@ -47,13 +48,21 @@ class Layout:
     fields: tuple[Field, ...]
 
 
-def unit_starts(nals: DataFrame, segments: int | None = None) -> DataFrame:
+def unit_starts(nals: DataFrame, segments: int | None = None, headers: DataFrame | None = None) -> DataFrame:
     """image, start, next_start, is_idr of each access unit: parameter sets go with the slice that follows.
 
-    Start codes with other types are chance hits in headers and do not count. An image's codes are scanned in segments.
+    Start codes with other types are chance hits in headers and do not count. Of a known layout ``headers`` (of ``header_ends``) tells
+    the other chance hits: those between a header's magic and a start code where the header ends. An image's codes are scanned in segments.
     """
     slices = F.col("nal_type").isin(1, 5)
-    laid = segmented(nals.where(F.col("nal_type").isin(1, 5, 6, 7, 8)), ["image"], ["offset"], segments)
+    counted = nals.where(F.col("nal_type").isin(1, 5, 6, 7, 8))
+    if headers is not None:
+        counted = counted.join(headers.withColumnsRenamed({"image": "_i", "end": "_end"}), (F.col("image") == F.col("_i")) & (F.col("offset") == F.col("_end")), "left").drop("_i")
+    laid = segmented(counted, ["image"], ["offset"], segments)
+    if headers is not None:
+        known = scanned(laid, ["image"], ["offset"], next_={"_ahead": F.when(F.col("_end").isNotNull(), F.struct("_end", "_len"))})
+        inside = F.col("_end").isNull() & (F.col("offset") > F.col("_ahead._end") - F.col("_ahead._len"))
+        laid = known.where(~F.coalesce(inside, F.lit(False))).drop("_ahead")
     rows = scanned(laid, ["image"], ["offset"], sums={"_upto": slices.cast("int")}).withColumn("_u", F.col("_upto") - slices.cast("int"))
     units = rows.groupBy("image", "_u").agg(F.min("offset").alias("start"), F.bool_or(slices).alias("_has"), F.bool_or(F.col("nal_type") == 5).alias("is_idr")).where("_has")
     starts = segmented(units.select("image", "start", "is_idr"), ["image"], ["start"], segments)
@@ -234,6 +243,18 @@ def infer(sampled: list[tuple[int, int | None, bool, bytes]]) -> Layout | None:
     return Layout(header_len, magic, tuple(sorted(fields, key=lambda f: f.offset)))
 
 
+def header_ends(windows: DataFrame, layout: Layout) -> DataFrame:
+    """image, end, _len: where a header ends, for each place of the layout's magic. Data must reach beyond the core by the magic."""
+
+    def of(row: dict):
+        at = row["data"].find(layout.magic)
+        while 0 <= at < row["core_end"] - row["core_start"]:
+            yield row["image"], row["core_start"] + at + layout.header_len, layout.header_len
+            at = row["data"].find(layout.magic, at + 1)
+
+    return _mapped(windows, of, "image string, end long, _len int")
+
+
 _FRAME = "image string, channel long, header_offset long, payload_offset long, payload_len long, ts_us long, kind string"
 
 
@@ -242,14 +263,15 @@ def _frame(layout: Layout, image: str, start: int, follow: int | None, is_idr: b
     by = {f.name: f for f in layout.fields}
     lead = SPAN - layout.header_len
 
-    def read(name: str) -> int | None:
+    def read(name: str, scale: int = 1) -> int | None:
         f = by.get(name)
-        return int.from_bytes(head[lead + f.offset : lead + f.offset + f.width], f.endian) if f else None
+        value = int.from_bytes(head[lead + f.offset : lead + f.offset + f.width], f.endian) * scale if f else 1 << 63
+        return value if value < 1 << 63 else None  # a damaged header may hold more than 64 bits with sign
 
-    ts, length = read("timestamp"), read("length")
-    scale = 1_000_000 // UNITS[by["timestamp"].unit] if ts is not None else 0
+    scale = 1_000_000 // UNITS[by["timestamp"].unit] if "timestamp" in by else 1
+    ts, length = read("timestamp", scale), read("length")
     size = length if length is not None else (follow - layout.header_len - start if follow else None)
-    return image, read("channel"), start - layout.header_len, start, size, None if ts is None else ts * scale, "I" if is_idr else "P"
+    return image, read("channel"), start - layout.header_len, start, size, ts, "I" if is_idr else "P"
 
 
 def replayed_units(units: DataFrame, source: DataFrame | None, layout: Layout) -> DataFrame:

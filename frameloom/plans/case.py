@@ -194,9 +194,11 @@ def carve_with(windows: DataFrame, family: str | None) -> DataFrame:
     """
     if family in records.WALKS:
         return records.carved(windows, family)
-    units = infer.unit_starts(bytescan.scan_annexb(windows))
-    layout = infer.infer(infer.samples(units, windows))
-    return infer.replayed_units(units, windows, layout) if layout and layout.fields else generic_carve(windows)
+    nals = bytescan.scan_annexb(windows)
+    layout = infer.infer(infer.samples(infer.unit_starts(nals), windows))
+    if not layout or not layout.fields:
+        return generic_carve(windows)
+    return infer.replayed_units(infer.unit_starts(nals, headers=infer.header_ends(windows, layout)), windows, layout)
 
 
 # Views and exports ------------------------------------------------------------------------------

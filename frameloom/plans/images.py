@@ -24,6 +24,11 @@ def images(spark, sf, render):
     return rendered.images_of(table(spark, sf, "events"), render)
 
 
+def first_image(spark, sf, render):
+    """img0 alone; no other image is rendered for it."""
+    return rendered.images_of(table(spark, sf, "events").where(F.col("event_id").between(0, rendered.PER_IMAGE - 1)), render)
+
+
 def _along(length: str, part: str = "image") -> str:
     """The bytes before an event in its image."""
     return f"coalesce(CAST(sum({length}) OVER (PARTITION BY {part} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0)"
@@ -117,7 +122,7 @@ def layout_of(windows):
 @query("infer_layout", "SELECT * FROM (VALUES ('channel', 8, 2, 'little', 'none'), ('length', 12, 4, 'big', 'none'), ('timestamp', 16, 8, 'little', 'ms'), ('sequence', 24, 4, 'little', 'none'), ('flags', 28, 4, 'little', 'none')) AS f(field, \"offset\", width, endian, unit) WHERE EXISTS (SELECT 1 FROM events)")
 def infer_layout(spark, sf):
     """The fields of an unknown recorder's header, from the units of its first image."""
-    _, layout = layout_of(images(spark, sf, rendered.unheard).where("image = 'img0'"))
+    _, layout = layout_of(first_image(spark, sf, rendered.unheard))
     return spark.createDataFrame([(f.name, f.offset, f.width, f.endian, f.unit) for f in layout.fields] if layout else [], "field string, offset int, width int, endian string, unit string")
 
 
@@ -128,8 +133,8 @@ _UN = EV + f", un AS (SELECT *, CASE WHEN event_type = 'error' THEN 15 + 3 * n E
 def replay_layout(spark, sf):
     """Every unit of all images read through the layout that the first one shows."""
     whole = images(spark, sf, rendered.unheard)
-    _, layout = layout_of(whole.where("image = 'img0'"))
-    return infer.replayed_units(infer.unit_starts(bytescan.scan_annexb(whole)), whole, layout)
+    _, layout = layout_of(first_image(spark, sf, rendered.unheard))
+    return infer.replayed_units(infer.unit_starts(bytescan.scan_annexb(whole), headers=infer.header_ends(whole, layout)), whole, layout)
 
 
 #: Signatures and their regions are fixed values of the formats.
